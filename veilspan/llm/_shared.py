@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its written table has no more bytes than this.
 BROADCAST_BYTES = 16 << 20
 #: A key is hot if it has more than this share of the rows; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 0.001
+SALTS = 64
 _ARROW_ROWS = "1000"
 
 
@@ -62,11 +62,6 @@ def buckets_for(df: DataFrame, per_bucket: int) -> int:
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(df) // per_bucket))
 
 
-def salted(key: Column, row: Column, hot: Column, ways: int = 64) -> Column:
-    """A salt for the rows of hot keys; 0 for all others."""
-    return F.when(hot, F.pmod(F.xxhash64(row, key), F.lit(ways))).otherwise(F.lit(0)).cast("int")
-
-
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys with more than HOT_SHARE of the rows: 1 / HOT_SHARE rows at most, whatever the input's size.
 
@@ -76,6 +71,17 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col("n") > F.lit(total * HOT_SHARE)).select(F.col(key), F.lit(True).alias("hot"))
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, salt_by: str, how: str = "inner") -> DataFrame:
+    """``rows`` join ``table`` on ``key``. The table is written, has one row for each key, and in column ``n``
+    how many rows the key has. Rows of hot keys are dealt to SALTS tasks, the table's few hot rows are copied to them."""
+    hot = F.broadcast(hot_keys(table, key))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(salt_by, key), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    rows = rows.join(hot, key, "left").withColumn("salt", salt).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    table = table.drop("n").join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("hot")
+    return rows.join(table, [key, "salt"], how).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b) as rows (node, label), label the smallest node reachable.
 
@@ -98,7 +104,3 @@ def components(edges: DataFrame) -> DataFrame:
             return new.select("node", "label")
         labels = new.select("node", "label")
 
-
-def local_file(path: str) -> Path:
-    """A package data file that is present on every machine, such as a vocabulary."""
-    return Path(path)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, substring, suffix, toxicity
+from . import ann, bpe, langid, simhash, substring, suffix, toxicity, urls
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_reputation": urls.ORACLE_SQL}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of a page are those with its id; it is bad if they call it toxic or of low quality."""
+    labels = _table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    return urls.judge(_table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -35,6 +42,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(_table(spark, sf_dir, "documents"))
 
@@ -50,4 +61,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_language_id, op6_substring_dedup, op8_suffix_dedup, op9_simhash_near_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_url_reputation, op5_language_id, op6_substring_dedup, op7_nearest_vectors, op8_suffix_dedup, op9_simhash_near_dedup, op10_toxicity)}

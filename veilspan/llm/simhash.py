@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_rows, components, hot_keys, maybe_broadcast, salted, written
+from ._shared import arrow_rows, components, maybe_broadcast, salted_join, written
 from ._text import LOWER, slices, string_bytes
 
 SHINGLE = 3
@@ -34,7 +34,6 @@ SEED = 42
 #: Keys with more nodes than this are worked on in blocks.
 PAIRED = 32
 BLOCK = 512
-_WAYS = 64
 _CHUNK = 1 << 16
 
 
@@ -153,17 +152,8 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     named = written(nodes.join(label, "fp", "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label")))
     smallest = written(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
     # a component of very many fingerprints, and a fingerprint of very many rows, are salted
-    part = _salted_join(named.select("fp", "label", F.col("n").alias("rows")), smallest, "label", "fp")
+    part = salted_join(named.select("fp", "label", F.col("n").alias("rows")), smallest, "label", "fp")
     part = written(part.select("fp", "component_id", F.col("rows").alias("n")))
-    out = _salted_join(prints, part, "fp", "doc_id")
+    out = salted_join(prints, part, "fp", "doc_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def _salted_join(rows: DataFrame, table: DataFrame, key: str, salt_by: str) -> DataFrame:
-    """rows join table (a row for each key, with column n) on key; rows of hot keys are dealt to many tasks."""
-    hot = F.broadcast(hot_keys(table, key))
-    rows = rows.join(hot, key, "left").withColumn("salt", salted(F.col(key), F.col(salt_by), F.col("hot"), _WAYS)).drop("hot")
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(_WAYS - 1))).otherwise(F.array(F.lit(0)))
-    table = table.drop("n").join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("hot")
-    return rows.join(table, [key, "salt"]).drop("salt")
