@@ -149,6 +149,23 @@ def window_hash(units: np.ndarray, n: int, positions: np.ndarray | None = None,
     return mix(out)
 
 
+def stretch_hash(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray, longest: int, base: int = _B) -> np.ndarray:
+    """64-bit hashes of stretches of units, in order of start; they can overlap, and have ``longest`` units at most."""
+    out = np.empty(len(starts), np.uint64)
+    up, down = _powers(base, BLOCK + longest + 1)
+    k = 0
+    while k < len(starts):
+        a = int(starts[k])
+        k2 = int(np.searchsorted(starts, a + BLOCK, "left"))
+        s, e = starts[k:k2] - a, starts[k:k2] - a + lengths[k:k2]
+        b = a + int(e.max())
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(units[a:b] * up[: b - a], out=sums[1:])
+        out[k:k2] = mix((sums[e] - sums[s]) * down[s] + lengths[k:k2].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        k = k2
+    return out
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes (or other items) of the spans, one after the other."""
     total = int(lengths.sum())

@@ -5,8 +5,9 @@ positions there is a shift under v that takes both to cover positions. So if the
 two places are equal, the suffixes at a pair of cover positions within them are equal over
 200 - (v - 1) bytes. The cover sample is dealt to buckets and sorted one bucket at a time; a
 sample suffix that ties with another over that length marks the places where a long tie
-can be. Then the suffixes around the ties, and no others, are dealt to suffix buckets by their
-first 200 bytes and sorted one bucket at a time. Memory is bounded by a bucket; the whole
+can be. Content-defined chunks that occur more than once are ties too, and only one of them
+goes on. Then the suffixes around the ties that are left, and no others, are dealt to suffix
+buckets by their first 200 bytes and sorted one bucket at a time. Memory is bounded by a bucket; the whole
 suffix array is never held, nor written.
 
 Suffixes are only compared over their first 200 bytes, as the result depends on no more. Keys
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from .repeats import Spec, keyed, map_rows, repeated
 
 LENGTH = 200
-#: A perfect difference cover modulo 133 (made by ``difference_cover`` from the plane of order 11).
+#: Mean bytes of a content-defined chunk.
+CHUNK = 64
 
 
 def difference_cover(q: int) -> tuple[int, tuple[int, ...]]:
@@ -50,7 +52,7 @@ def spec(length: int = LENGTH) -> Spec:
     """Covers of at most two thirds of the length, so that a tie of the sample is still long."""
     q = max(q for q in (1, 2, 3, 5, 7, 11, 13, 17, 19, 23) if q == 1 or q * q + q + 1 <= 2 * length // 3)
     v, cover = (1, (0,)) if q == 1 else difference_cover(q)
-    return Spec("byte", length, length - v + 1, v, cover)
+    return Spec("byte", length, length - v + 1, v, cover, CHUNK if length >= 32 else 0)
 
 
 def dedup(df: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", keep_bytes: bool = False) -> DataFrame:
