@@ -89,22 +89,23 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def mask_runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True bytes; a run ends where a row ends."""
+    starts, ends = inside.copy(), inside.copy()
+    if len(inside):
+        full = offsets[1:] > offsets[:-1]
+        first, last = offsets[:-1][full], offsets[1:][full] - 1
+        starts[1:] &= ~inside[:-1]
+        starts[first] = inside[first]
+        ends[:-1] &= ~inside[1:]
+        ends[last] = inside[last]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of non-space bytes, and the first word of each row (one more than rows)."""
-    if not len(data):
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(len(offsets), np.int64)
-    inside = _NONSPACE[data]
-    full = offsets[1:] > offsets[:-1]
-    first, last = offsets[:-1][full], offsets[1:][full] - 1
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    starts[first] = inside[first]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    ends[last] = inside[last]
-    starts = np.flatnonzero(starts)
-    return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
+    starts, ends = mask_runs(_NONSPACE[data], offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, simhash, substring, suffix, toxicity, urls
+from . import ann, bpe, decontam, langid, secrets, simhash, substring, suffix, toxicity, urls
 
 ORACLES: dict[str, str] = {"op4_url_reputation": urls.ORACLE_SQL}
 
@@ -24,6 +24,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels of a page are those with its id; it is bad if they call it toxic or of low quality."""
     labels = _table(spark, sf_dir, "labels")
@@ -61,4 +69,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_url_reputation, op5_language_id, op6_substring_dedup, op7_nearest_vectors, op8_suffix_dedup, op9_simhash_near_dedup, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_benchmark_decontamination,
+        op3_secret_scan,
+        op4_url_reputation,
+        op5_language_id,
+        op6_substring_dedup,
+        op7_nearest_vectors,
+        op8_suffix_dedup,
+        op9_simhash_near_dedup,
+        op10_toxicity,
+    )
+}

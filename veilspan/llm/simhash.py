@@ -59,7 +59,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's bits as a signed long, for each input row."""
+    """(doc_id, fp, thash): the fingerprint's bits as a signed long and a hash of the text, for each input row."""
     arrow_rows(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +68,10 @@ def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
                 data, offsets = string_bytes(part.column(1))
                 raw = LOWER[data].tobytes()
                 out = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.view(np.int64)), part.column(2)], ["doc_id", "fp", "thash"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    thash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), thash.alias("thash")).mapInArrow(run, "doc_id long, fp long, thash long")
 
 
 def _byte(fp: Column, i: int) -> Column:
@@ -137,6 +138,18 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.union(close).union(forests)
 
 
+def _grouped(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of written fingerprints: (fp, n, label) for each distinct one, and (label, n, least) for each component.
+
+    ``least`` is the first row (is null, doc_id, thash) of a component, null ids last.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "thash")).alias("least")
+    nodes = written(prints.groupBy("fp").agg(first, F.count("*").alias("n")))
+    label = components(links(nodes)).select(F.col("node").alias("fp"), "label")
+    named = written(nodes.join(label, "fp", "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label")))
+    return named, written(named.groupBy("label").agg(F.min("least").alias("least"), F.count("*").alias("n")))
+
+
 def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """Fingerprint and component of each input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -147,13 +160,25 @@ def near_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     one row each; no rows give no rows; other columns aren't read.
     """
     prints = written(fingerprints(df, text, doc_id, shingle))
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    label = components(links(nodes)).select(F.col("node").alias("fp"), "label")
-    named = written(nodes.join(label, "fp", "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label")))
-    smallest = written(named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    named, groups = _grouped(prints)
     # a component of very many fingerprints, and a fingerprint of very many rows, are salted
-    part = salted_join(named.select("fp", "label", F.col("n").alias("rows")), smallest, "label", "fp")
-    part = written(part.select("fp", "component_id", F.col("rows").alias("n")))
+    part = salted_join(named.select("fp", "label", F.col("n").alias("rows")), groups, "label", "fp")
+    part = written(part.select("fp", F.col("least.doc_id").alias("component_id"), F.col("rows").alias("n")))
     out = salted_join(prints, part, "fp", "doc_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame) -> DataFrame:
+    """One row, with all its columns, of each component of ``doc_id`` and ``text``: that of the smallest doc_id.
+
+    Null ids come last; of rows with the same id in a component, that of the smallest text hash stays,
+    and of identical (doc_id, text) rows one.
+    """
+    prints = written(fingerprints(df, "text", "doc_id"))
+    keep = maybe_broadcast(written(_grouped(prints)[1].select(F.col("least.doc_id").alias("k_id"), F.col("least.thash").alias("k_hash"))))
+    thash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    out = df.join(keep, df["doc_id"].eqNullSafe(keep["k_id"]) & thash.eqNullSafe(keep["k_hash"]), "left_semi")
+    if prints.groupBy("doc_id", "thash").count().where("count > 1").limit(1).count():
+        out = out.withColumn("_hash", thash).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return out

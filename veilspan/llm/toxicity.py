@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows
-from ._text import LOWER, slices, span_hash, string_bytes, window_hash, words
+from ._text import LOWER, mask_runs, slices, span_hash, string_bytes, window_hash, words
 
 MAX_PER_CLASS = 3000
 MAX_TRAIN_BYTES = 32768
@@ -65,20 +65,18 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, np.append(np.searchsorted(inner, offsets[:-1], "left") + np.arange(len(offsets) - 1), len(at))
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words, and the first word of each row."""
+    a, b = mask_runs(_WORD[data], offsets)
+    return span_hash(LOWER[data], a, b, seed=3), np.searchsorted(a, offsets)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words and of their longer beginnings (PREFIXES, in bytes), and where each word begins.
 
     Beginnings stand for inflected and compounded forms of a word.
     """
-    inside = _WORD[data]
-    starts, ends = inside.copy(), inside.copy()
-    if len(data):
-        full = offsets[1:] > offsets[:-1]
-        starts[1:] &= ~inside[:-1]
-        starts[offsets[:-1][full]] = inside[offsets[:-1][full]]
-        ends[:-1] &= ~inside[1:]
-        ends[offsets[1:][full] - 1] = inside[offsets[1:][full] - 1]
-    a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    a, b = mask_runs(_WORD[data], offsets)
     low = LOWER[data]
     hashes, at = [span_hash(low, a, b, seed=3)], [a]
     for n in PREFIXES:
