@@ -125,6 +125,9 @@ def train(df: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     """Fits a model on a bounded sample of the rows with text and lang for which ``usable`` holds."""
     rows = df.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= MAX_TRAIN_BYTES))
     rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(text).alias("thash"))
+    # about twice as many as are wanted, by the hash, so that no language sends all its rows to one task
+    share = F.broadcast(rows.groupBy("lang").agg((2.0 * PER_LANGUAGE / F.count("*")).alias("share")))
+    rows = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "thash")
     few = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PER_LANGUAGE).select("doc_id", "lang", "thash").distinct()
     whole = df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES)
