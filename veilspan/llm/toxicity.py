@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from ._shared import arrow_rows
 from ._text import LOWER, mask_runs, slices, span_hash, string_bytes, window_hash, words
 
-MAX_PER_CLASS = 3000
-MAX_TRAIN_BYTES = 32768
+MAX_PER_CLASS = 2000
+MAX_TRAIN_BYTES = 16384
 #: Words in fewer training documents than this have no weight.
 MIN_DOCS = 3
 #: A word counts if its toxic documents are more than chance would give, by this many nats (Chernoff's bound).
