@@ -74,7 +74,7 @@ def digits_col(value: Column) -> Column:
 
 
 def luhn_col(digits: Column) -> Column:
-    return F.length(digits).between(13, 19) & F.luhn_check(digits)
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
 def _weighted(digits: Column, weights: tuple[int, ...]) -> Column:
@@ -101,4 +101,4 @@ def date_col(day: Column, month: Column, year: Column) -> Column:
     """Whether it is a day of the calendar in 1900 to 2100."""
     text = F.format_string("%04d-%02d-%02d", year, month, day)
     sane = year.between(1900, 2100) & month.between(1, 12) & day.between(1, 31)
-    return F.coalesce(F.when(sane, F.try_to_date(text, F.lit("yyyy-MM-dd")).isNotNull()), F.lit(False))
+    return F.coalesce(F.when(sane, F.try_to_date(text, "yyyy-MM-dd").isNotNull()), F.lit(False))
