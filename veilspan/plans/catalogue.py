@@ -54,7 +54,7 @@ _FOUND_SQL = f"""
 found AS (
   SELECT doc_id, lang, 'EMAIL' AS pii_type, unnest(regexp_extract_all(text, '{_EMAIL_SQL}', 1)) AS value FROM documents
   UNION ALL
-  SELECT doc_id, lang, 'CARD', value FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:[0-9][ -]?){{12,18}}[0-9])(?:[^0-9]|$)', 1)) AS value FROM documents)
+  SELECT doc_id, lang, 'CARD', value FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:[0-9][ -]?){{12,18}}[0-9])\\b', 1)) AS value FROM documents)
   WHERE length({_DIGITS.format('value')}) BETWEEN 13 AND 19 AND {_luhn_sql(_DIGITS.format('value'))})"""
 
 
