@@ -57,9 +57,14 @@ def maybe_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
 
 def buckets_for(df: DataFrame, per_bucket: int) -> int:
-    """As many buckets as keep each near ``per_bucket`` bytes of input, and four a shuffle partition at least."""
-    spark = df.sparkSession
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(df) // per_bucket))
+    """As many buckets as keep each near ``per_bucket`` bytes of input, and four a shuffle partition at least.
+
+    Where Spark knows no size (frames that aren't files), the texts are measured.
+    """
+    spark, size = df.sparkSession, plan_bytes(df)
+    if size >= 1 << 50:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_bucket))
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:

@@ -179,14 +179,6 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[index]
 
 
-def runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct positions as half-open runs."""
-    if not len(positions):
-        return positions, positions
-    cut = np.flatnonzero(np.diff(positions) != 1)
-    return positions[np.concatenate(([0], cut + 1))], positions[np.concatenate((cut, [len(positions) - 1]))] + 1
-
-
 def expand(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All positions in half-open spans, in order."""
     n = ends - starts

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Test items are cut into n-grams of three words. How many documents hold each is counted over all
-documents; of an item, the n-grams that are rare in the corpus, and its rarest half anyway, are its
-seeds. Documents that hold two different seeds of an item near each other are aligned with it over
+documents. An item's seeds are its n-grams but those that are common in the corpus and also far
+more common than its others; an item that has leaked into very many documents keeps its seeds. Documents that hold two different seeds of an item near each other are aligned with it over
 the words around them. The score is the best local alignment (match 2, mismatch and gap -1)
 over that of the whole item with itself, so edited and partial copies score in proportion.
 
@@ -25,8 +25,9 @@ from ._text import slices, string_bytes, window_hash
 from .toxicity import _BITS, look_up, word_hashes
 
 N = 3
-#: An n-gram in no more than this share of the documents is rare.
-RARE = 1e-4
+#: An n-gram in no more than this share of the documents, or in RARE_DOCS of them, is rare;
+#: so is one in no more than RARE_FACTOR times as many as the median n-gram of its item.
+RARE, RARE_DOCS, RARE_FACTOR = 1e-4, 20, 10
 THRESHOLD = 0.5
 BLOCK_ITEMS = 20000
 BLOCK_BYTES = 16 << 20
@@ -158,10 +159,10 @@ def seeds(docs: DataFrame, items: Items, text: str = "text") -> Items:
     each = np.repeat(df, np.diff(items.first))
     order = np.lexsort((each, items.owner))
     owner = items.owner[order]
-    begin = np.searchsorted(owner, owner)
-    half = (np.searchsorted(owner, owner, "right") - begin + 1) // 2
+    begin, end = np.searchsorted(owner, owner), np.searchsorted(owner, owner, "right")
+    median = each[order][(begin + end - 1) // 2]
     rare = np.zeros(len(each), bool)
-    rare[order] = (np.arange(len(owner)) - begin < half) | (each[order] <= RARE * documents)
+    rare[order] = each[order] <= np.maximum(max(RARE * documents, RARE_DOCS), RARE_FACTOR * median)
     return items.keep(rare)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows, buckets_for, maybe_broadcast, written
-from ._text import byte_table, expand, merge, mix, runs, slices, span_hash, string_bytes, stretch_hash, window_hash, words
+from ._text import byte_table, expand, mask_runs, merge, mix, slices, span_hash, string_bytes, stretch_hash, window_hash, words
 
 #: Input bytes for each bucket of a round.
 BUCKET_BYTES = 4 << 20
@@ -273,8 +273,8 @@ def _mask(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _by_row(mask: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Each row's runs as packed pairs, counted from the row's start. Windows of two rows never touch."""
-    a, b = runs(np.flatnonzero(mask))
+    """Each row's runs as packed pairs, counted from the row's start."""
+    a, b = mask_runs(mask, first)
     cut = np.searchsorted(a, first)
     return [np.stack((a[i:j] - f, b[i:j] - f), 1).astype("<i4").tobytes() if j > i else b"" for i, j, f in zip(cut[:-1].tolist(), cut[1:].tolist(), first[:-1].tolist())]
 

@@ -101,7 +101,7 @@ def _linked(a: Column, b: Column) -> Column:
 
 
 def _forest(table: pa.Table) -> pa.Table:
-    """A spanning forest of the links among a group of distinct fingerprints."""
+    """A star for each component of the links among a group of distinct fingerprints: edges to its least member."""
     fp = np.unique(table["fp"].to_numpy()).view(np.uint64)
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= MAX_BITS
     label = np.arange(len(fp))

@@ -22,6 +22,10 @@ RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow
 #: A host is blocked if it is that sure (standard deviations) that more than LIMIT of its pages are bad.
 DEVIATIONS = 1.645
 LIMIT = 0.5
+#: Before any outcome is seen, one page in ten is taken to be bad, with the weight of ten pages.
+FIRST_BAD, FIRST_PAGES = 1.0, 10.0
+#: Strength of a level whose spread can't be estimated.
+UNKNOWN_STRENGTH = 10.0
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,11 +63,12 @@ def _moments(units: DataFrame, rate: float) -> float:
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     m = units.where("n > 0").agg(F.count("*").alias("units"), F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.sum(n * (k / n - rate) * (k / n - rate)).alias("s")).first()
     if not m["units"]:
-        return 999.0
+        return UNKNOWN_STRENGTH
     noise = rate * (1 - rate)
     below = noise * (m["n"] - m["nn"] / m["n"] - (m["units"] - 1))
-    phi = (m["s"] - noise * (m["units"] - 1)) / below if below > 0 else 0.001
-    phi = min(0.999, max(0.001, phi))
+    if below <= 0:
+        return UNKNOWN_STRENGTH
+    phi = min(0.999, max(0.001, (m["s"] - noise * (m["units"] - 1)) / below))
     return 1 / phi - 1
 
 
@@ -82,7 +87,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("hosts")))
     suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("domains")))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-    rate = (total[1] + 0.5) / (total[0] + 1.0)
+    rate = (total[1] + FIRST_BAD) / (total[0] + FIRST_PAGES)
     s_host, s_domain, s_suffix = (_moments(x, rate) for x in (hosts, domains, suffixes))
     # each level's mean is shrunk towards the level above
     up = suffixes.select("suffix", F.col("domains").alias("n"), ((F.col("k") + s_suffix * rate) / (F.col("n") + s_suffix)).alias("above"))
@@ -112,8 +117,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
 
 
 def _strength(table: str) -> str:
-    return f"""(SELECT 1 / least(0.999, greatest(0.001, CASE WHEN count(*) = 0 OR r * (1 - r) * (sum(n) - sum(n * n) / sum(n) - (count(*) - 1)) <= 0 THEN 0.001
-      ELSE (sum(n * (k / n - r) * (k / n - r)) - r * (1 - r) * (count(*) - 1)) / (r * (1 - r) * (sum(n) - sum(n * n) / sum(n) - (count(*) - 1))) END)) - 1
+    below = "(r * (1 - r) * (sum(n) - sum(n * n) / sum(n) - (count(*) - 1)))"
+    phi = f"least(0.999::DOUBLE, greatest(0.001::DOUBLE, (sum(n * (k / n - r) * (k / n - r)) - r * (1 - r) * (count(*) - 1)) / {below}))"
+    return f"""(SELECT CASE WHEN {below} <= 0 THEN {UNKNOWN_STRENGTH} ELSE 1 / {phi} - 1 END
       FROM (SELECT n::DOUBLE AS n, k::DOUBLE AS k, rate.r FROM {table}, rate WHERE n > 0) GROUP BY r)"""
 
 
@@ -131,8 +137,8 @@ hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS dom
   FROM rows LEFT JOIN marks ON page_id = doc_id GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM domains GROUP BY ALL),
-rate AS (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1::DOUBLE) AS r FROM suffixes),
-strength AS (SELECT coalesce({_strength('hosts')}, 999) AS sh, coalesce({_strength('domains')}, 999) AS sd, coalesce({_strength('suffixes')}, 999) AS ss),
+rate AS (SELECT (coalesce(sum(k), 0) + {FIRST_BAD}::DOUBLE) / (coalesce(sum(n), 0) + {FIRST_PAGES}::DOUBLE) AS r FROM suffixes),
+strength AS (SELECT coalesce({_strength('hosts')}, {UNKNOWN_STRENGTH}) AS sh, coalesce({_strength('domains')}, {UNKNOWN_STRENGTH}) AS sd, coalesce({_strength('suffixes')}, {UNKNOWN_STRENGTH}) AS ss),
 up AS (SELECT suffix, (k + ss * r) / (n + ss) AS above FROM suffixes, strength, rate),
 mid AS (SELECT domain, (k + sd * above) / (n + sd) AS above FROM domains JOIN up USING (suffix), strength),
 post AS (SELECT host, k + sh * above AS a, n - k + sh * (1 - above) AS b FROM hosts JOIN mid USING (domain), strength),
