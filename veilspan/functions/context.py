@@ -22,10 +22,13 @@ HARD, SOFT, SOFT_FACTOR = frozenset(",.;!?\n"), frozenset(":—–"), 0.75
 _ABBREVIATION = re.compile(r"(?<=[^\W\d_])\.")
 
 
+_DIGITS, _CYRILLIC = re.compile("[0-9]+"), re.compile("[А-Яа-яЁё]")
+
+
 class Doc:
     """A text, its case-folded form of the same length, and where phrases occur in it."""
 
-    __slots__ = ("text", "folded", "_at", "_has_card")
+    __slots__ = ("text", "folded", "_at", "_has_card", "_digits", "_cyrillic")
 
     def __init__(self, text: str):
         self.text = text
@@ -34,6 +37,22 @@ class Doc:
         self.folded = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         self._at: dict[str, list[int]] = {}
         self._has_card: bool | None = None
+        self._digits: tuple[int, int] | None = None
+        self._cyrillic: bool | None = None
+
+    @property
+    def digits(self) -> tuple[int, int]:
+        """How many ASCII digits there are, and how many side by side at most."""
+        if self._digits is None:
+            runs = [len(r) for r in _DIGITS.findall(self.text)]
+            self._digits = sum(runs), max(runs, default=0)
+        return self._digits
+
+    @property
+    def cyrillic(self) -> bool:
+        if self._cyrillic is None:
+            self._cyrillic = not self.text.isascii() and _CYRILLIC.search(self.text) is not None
+        return self._cyrillic
 
     def places(self, phrase: str) -> list[int]:
         found = self._at.get(phrase)

@@ -49,6 +49,19 @@ def scored(kind: str, pattern: str, rule: Rule, limit: float = 0.0, keep: Callab
     return run
 
 
+def gated(test: Callable[[Doc], bool], detector: Detector) -> Detector:
+    """Spares a text the patterns of a detector that can't match in it. The tests are necessary conditions of a match."""
+    return lambda doc: detector(doc) if test(doc) else ()
+
+
+def digits_needed(total: int, run: int = 1) -> Callable[[Doc], bool]:
+    return lambda doc: doc.digits[0] >= total and doc.digits[1] >= run
+
+
+def word_needed(*words: str) -> Callable[[Doc], bool]:
+    return lambda doc: any(w in doc.folded for w in words)
+
+
 def joined(*parts: Detector) -> Detector:
     def run(doc: Doc) -> Iterator[Found]:
         for part in parts:
@@ -140,16 +153,25 @@ def _real_english(m: re.Match) -> bool:
     return not year or valid_date(int(day), P.MONTHS_EN.index(month.lower()) + 1, int(year))
 
 
+def _in_russian(doc: Doc) -> bool:
+    return doc.cyrillic and any(m in doc.folded for m in P.MONTHS_RU)
+
+
+def _in_english(doc: Doc) -> bool:
+    return doc.digits[0] > 0 and any(m in doc.folded for m in P.MONTHS_EN)
+
+
+_numeric = digits_needed(4)
 birth_date = joined(
-    scored("DATE_OF_BIRTH", P.DATE, P.BIRTH_DATE_RULE, keep=_real_numeric),
-    scored("DATE_OF_BIRTH", P.DATE_WORDS, P.BIRTH_DATE_RULE, keep=_real_words, ignore_case=True),
-    scored("DATE_OF_BIRTH", P.DATE_MONTH, P.BIRTH_DATE_RULE, OWN_LIMIT, _real_month, True),
-    scored("DATE_OF_BIRTH", P.DATE_ENGLISH, P.BIRTH_DATE_RULE, OWN_LIMIT, _real_english, True),
+    gated(_numeric, scored("DATE_OF_BIRTH", P.DATE, P.BIRTH_DATE_RULE, keep=_real_numeric)),
+    gated(_in_russian, scored("DATE_OF_BIRTH", P.DATE_WORDS, P.BIRTH_DATE_RULE, keep=_real_words, ignore_case=True)),
+    gated(_in_russian, scored("DATE_OF_BIRTH", P.DATE_MONTH, P.BIRTH_DATE_RULE, OWN_LIMIT, _real_month, True)),
+    gated(_in_english, scored("DATE_OF_BIRTH", P.DATE_ENGLISH, P.BIRTH_DATE_RULE, OWN_LIMIT, _real_english, True)),
 )
 issue_date = joined(
-    scored("PASSPORT_ISSUE_DATE", P.DATE, P.ISSUE_DATE_RULE, keep=_real_numeric),
-    scored("PASSPORT_ISSUE_DATE", P.DATE_WORDS, P.ISSUE_DATE_RULE, OWN_LIMIT, _real_words, True),
-    scored("PASSPORT_ISSUE_DATE", P.DATE_MONTH, P.ISSUE_DATE_RULE, OWN_LIMIT, _real_month, True),
+    gated(_numeric, scored("PASSPORT_ISSUE_DATE", P.DATE, P.ISSUE_DATE_RULE, keep=_real_numeric)),
+    gated(_in_russian, scored("PASSPORT_ISSUE_DATE", P.DATE_WORDS, P.ISSUE_DATE_RULE, OWN_LIMIT, _real_words, True)),
+    gated(_in_russian, scored("PASSPORT_ISSUE_DATE", P.DATE_MONTH, P.ISSUE_DATE_RULE, OWN_LIMIT, _real_month, True)),
 )
 
 # Values that follow a marker up to a delimiter.
@@ -253,7 +275,8 @@ def person(lexicon: Lexicon) -> Detector:
                 if not lexicon.is_known(m[0]):
                     yield "PERSON", m.start(), m.end(), sure
 
-    return joined(dictionary, latin, marked)
+    russian = joined(dictionary, marked)
+    return joined(gated(lambda doc: doc.cyrillic, russian), latin)
 
 
 def custom_terms(terms: Iterable[str]) -> Detector | None:
@@ -273,35 +296,39 @@ def _address(doc: Doc) -> Iterator[Found]:
 
 def registry(require_card_for_pin: bool = True, lexicon: Lexicon | None = None) -> dict[str, Detector]:
     """The default detectors by type, in order."""
+    n = digits_needed
     return {
-        "EMAIL": scan("EMAIL", P.EMAIL),
-        "PHONE": joined(
-            phone_strong,
-            scored("PHONE", P.digits(10), P.PHONE_RULE),
-            scored("PHONE", P.PHONE_FOREIGN, P.PHONE_FOREIGN_RULE, OWN_LIMIT),
+        "EMAIL": gated(word_needed("@"), scan("EMAIL", P.EMAIL)),
+        "PHONE": gated(
+            n(8),
+            joined(
+                gated(n(11), phone_strong),
+                gated(n(10, 10), scored("PHONE", P.digits(10), P.PHONE_RULE)),
+                gated(word_needed("+"), scored("PHONE", P.PHONE_FOREIGN, P.PHONE_FOREIGN_RULE, OWN_LIMIT)),
+            ),
         ),
         "PASSPORT": joined(
-            passport_internal,
-            scored("PASSPORT", P.PASSPORT_FOREIGN, P.PASSPORT_FOREIGN_RULE, OWN_LIMIT),
-            scored("PASSPORT", P.PASSPORT_ALPHA, P.PASSPORT_ALPHA_RULE, OWN_LIMIT),
-            scored("PASSPORT", P.MILITARY, P.PASSPORT_FOREIGN_RULE, OWN_LIMIT),
-            passport_in_words,
+            gated(n(10, 6), passport_internal),
+            gated(n(9, 7), scored("PASSPORT", P.PASSPORT_FOREIGN, P.PASSPORT_FOREIGN_RULE, OWN_LIMIT)),
+            gated(n(7, 7), scored("PASSPORT", P.PASSPORT_ALPHA, P.PASSPORT_ALPHA_RULE, OWN_LIMIT)),
+            gated(n(7, 7), scored("PASSPORT", P.MILITARY, P.PASSPORT_FOREIGN_RULE, OWN_LIMIT)),
+            gated(word_needed("сери"), passport_in_words),
         ),
-        "SNILS": snils_number,
-        "INN": joined(inn_number, scored("INN", P.digits(13), P.INN_RULE, OWN_LIMIT)),
-        "KPP": scored("KPP", P.digits(9), P.KPP_RULE, OWN_LIMIT),
-        "OGRN": scored("OGRN", P.digits(13), P.OGRN_RULE, OWN_LIMIT),
-        "CARD": card_number,
+        "SNILS": gated(n(11, 3), snils_number),
+        "INN": joined(gated(n(10, 10), inn_number), gated(n(13, 13), scored("INN", P.digits(13), P.INN_RULE, OWN_LIMIT))),
+        "KPP": gated(n(9, 9), scored("KPP", P.digits(9), P.KPP_RULE, OWN_LIMIT)),
+        "OGRN": gated(n(13, 13), scored("OGRN", P.digits(13), P.OGRN_RULE, OWN_LIMIT)),
+        "CARD": gated(n(13), card_number),
         "DATE_OF_BIRTH": birth_date,
         "BIRTH_PLACE": birth_place,
         "CITIZENSHIP": citizenship,
         "PASSPORT_AUTHORITY": authority,
-        "PASSPORT_UNIT_CODE": scored("PASSPORT_UNIT_CODE", P.UNIT_CODE, P.UNIT_CODE_RULE),
+        "PASSPORT_UNIT_CODE": gated(n(6, 3), scored("PASSPORT_UNIT_CODE", P.UNIT_CODE, P.UNIT_CODE_RULE)),
         "PASSPORT_ISSUE_DATE": issue_date,
-        "DRIVING_LICENSE": scored("DRIVING_LICENSE", P.LICENSE, P.LICENSE_RULE),
-        "ADDRESS": _address,
-        "CVV": scored("CVV", P.digits(3), P.CVV_RULE),
-        "PIN": pin(require_card_for_pin),
+        "DRIVING_LICENSE": gated(n(10, 6), scored("DRIVING_LICENSE", P.LICENSE, P.LICENSE_RULE)),
+        "ADDRESS": gated(lambda doc: doc.cyrillic or word_needed("address", "registered at", "lives at")(doc), _address),
+        "CVV": gated(n(3, 3), scored("CVV", P.digits(3), P.CVV_RULE)),
+        "PIN": gated(n(4, 4), pin(require_card_for_pin)),
         "CARD_HOLDER": scored("CARD_HOLDER", P.CARD_HOLDER, P.CARD_HOLDER_RULE),
         "PERSON": person(lexicon or Lexicon()),
     }

@@ -99,14 +99,28 @@ _COLUMNS = ["payload_id", "seq", "status", "result", "outcome"]
 
 
 def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT) -> DataFrame:
-    """Answers to a list of requests (seq, ts, payload_id, payload), as if they had come one by one. Null ids or payloads are 422."""
-    whole = events.where("payload_id is not null")
-    bad = events.where("payload_id is null").select("payload_id", F.col("seq").cast("long"), F.lit(422).alias("status"), F.lit(None).cast("string").alias("result"), F.lit("invalid").alias("outcome"))
+    """Answers to a list of requests (seq, ts, payload_id, payload), as if they had come one by one. Null ids or payloads are 422.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_run(rows, None, _masker(policy))[0], columns=_COLUMNS)
+    Rows are dealt by id and sorted; a task goes through them once and holds one session, however many
+    requests an id has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mask, key, session = _masker(policy), None, None
+        for rows in batches:
+            out = []
+            for seq, ts, who, payload in zip(rows["seq"], rows["ts"], rows["payload_id"], rows["payload"]):
+                if who != key:
+                    key, session = who, None
+                if not isinstance(who, str) or not isinstance(payload, str):
+                    out.append((who, seq, 422, None, "invalid"))
+                    continue
+                session, status, result, outcome = step(session, ts.timestamp(), payload, mask)
+                out.append((who, seq, status, result, outcome))
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return whole.select("seq", "ts", "payload_id", "payload").groupBy("payload_id").applyInPandas(run, RESULT).union(bad)
+    rows = events.select(F.col("seq").cast("long").alias("seq"), "ts", "payload_id", "payload")
+    return rows.repartition("payload_id").sortWithinPartitions("payload_id", "ts", "seq").mapInPandas(run, RESULT)
 
 
 def process_stream(events: DataFrame, policy: Policy = CONSUMER_DEFAULT) -> DataFrame:
@@ -152,12 +166,29 @@ def _chunks(rows: pd.DataFrame, following: int, held: str, waiting: dict, mappin
 
 
 def demask_batch(chunks: DataFrame) -> DataFrame:
-    """Restored chunks of (request_id, seq from 0, chunk, is_last, mapping); what waits for a missing chunk stays out."""
+    """Restored chunks of (request_id, seq from 0, chunk, is_last, mapping); what follows a missing chunk stays out.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_chunks(rows.sort_values("seq"), 0, "", {}, {})[0], columns=["request_id", "seq", "text"])
+    The mapping can be on any chunk up to the first placeholder, and null on the others. A task goes through
+    its sorted chunks once and holds what one request holds back.
+    """
 
-    return chunks.select("request_id", "seq", "chunk", "is_last", "mapping").groupBy("request_id").applyInPandas(run, CHUNK_RESULT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, following, d = None, 0, None
+        for rows in batches:
+            out = []
+            for who, seq, chunk, last, pairs in zip(rows["request_id"], rows["seq"], rows["chunk"], rows["is_last"], rows["mapping"]):
+                if who != key or d is None:
+                    key, following, d = who, 0, ChunkDemasker({})
+                if seq != following:
+                    continue
+                if pairs is not None and len(pairs):
+                    d = ChunkDemasker({e["placeholder"]: e["value"] for e in pairs}, d.held)
+                out.append((who, seq, d.feed(chunk or "") + (d.flush() if last else "")))
+                following = -1 if last else seq + 1
+            yield pd.DataFrame(out, columns=["request_id", "seq", "text"])
+
+    rows = chunks.select("request_id", "seq", "chunk", "is_last", "mapping")
+    return rows.repartition("request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, CHUNK_RESULT)
 
 
 def demask_stream(chunks: DataFrame, timeout: str = "5 minutes") -> DataFrame:
@@ -190,7 +221,7 @@ def echo_chunks(replies: DataFrame, size: int = 7, text: str = "masked") -> Data
     """Replies of a back end that echoes, cut to chunks of ``size`` characters, for tests of the way back."""
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / size).cast("int"))
     out = replies.select("request_id", "mapping", F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"), n.alias("_n"))
-    return out.select("request_id", F.col("seq").cast("long").alias("seq"), F.expr(f"substring(_t, seq * {size} + 1, {size})").alias("chunk"), (F.col("seq") == F.col("_n") - 1).alias("is_last"), "mapping")
+    return out.select("request_id", F.col("seq").cast("long").alias("seq"), F.expr(f"substring(_t, seq * {size} + 1, {size})").alias("chunk"), (F.col("seq") == F.col("_n") - 1).alias("is_last"), F.when(F.col("seq") == 0, F.col("mapping")).alias("mapping"))
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:
