@@ -246,3 +246,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec: str = "embedding"
     out = out.select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
     out = out.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.dist").alias("score"))
+
+
+#: The same result in SQL: the exact neighbours, which the search also finds where SEARCH_ROWS covers the table.
+ORACLE_SQL = """
+WITH fine AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum([(q.e[i] - v.e[i]) * (q.e[i] - v.e[i]) FOR i IN range(1, len(q.e) + 1)])) AS score
+  FROM fine q JOIN fine v ON q.vec_id <> v.vec_id AND q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""

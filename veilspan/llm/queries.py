@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, decontam, langid, secrets, simhash, substring, suffix, toxicity, urls
 
-ORACLES: dict[str, str] = {"op4_url_reputation": urls.ORACLE_SQL}
+#: Where SQL can express an operator; the others are tested against brute force, round trips and held-out rows.
+ORACLES: dict[str, str] = {
+    "op4_url_reputation": urls.ORACLE_SQL,
+    "op6_substring_dedup": substring.ORACLE_SQL,
+    "op7_nearest_vectors": ann.ORACLE_SQL,
+    "op8_suffix_dedup": suffix.ORACLE_SQL,
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -52,3 +52,15 @@ def dedup(df: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str =
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     columns = ["n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
     return map_rows(repeated(keyed(df, text, doc_id), the), the, row, schema, columns)
+
+
+#: The same result in SQL, by counting whole windows.
+ORACLE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM docs)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS k FROM again),
+words AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM docs),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM words ANTI JOIN gone USING (rid, k) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (rid)
+"""

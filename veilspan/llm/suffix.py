@@ -77,3 +77,18 @@ def dedup(df: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str =
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
     return map_rows(repeated(keyed(df, text, doc_id), the), the, row, schema, columns)
+
+
+#: The same result in SQL, by counting whole strings.
+ORACLE_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+windows AS (SELECT rid, i, md5(substr(hx, 2 * i + 1, 400)) AS h FROM (SELECT rid, hx, unnest(range(0, length(hx) // 2 - 199)) AS i FROM docs)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+marked AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM again),
+islands AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM marked) GROUP BY rid, k),
+cuts AS (SELECT rid, a, b, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS back FROM islands),
+heads AS (SELECT rid, string_agg(substr(hx, 2 * back + 1, 2 * (a - back)), '' ORDER BY a) AS head, max(b) AS tail, sum(b - a) AS gone, count(*) AS n FROM cuts JOIN docs USING (rid) GROUP BY rid)
+SELECT doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN heads USING (rid)
+"""
