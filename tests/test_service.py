@@ -272,3 +272,21 @@ def test_late_events_are_dropped(spark, tmp_path):
     assert out.awaitTermination(120)
     got = {r.window_start: r.n for r in spark.table("late").collect()}
     assert got.get(START) == 1 and START + timedelta(seconds=600) in got
+
+
+def test_annotation_of_cases(spark):
+    rows = [("1", "EMAIL", "a@b.co then c@d.co", "a@b.co; c@d.co"), ("2", "EMAIL", "none", None), ("3", "CVV", "😀 12 3", "12")]
+    df = spark.createDataFrame(rows, "id string, category string, text string, expected_span string")
+    got = readers.annotated(df).withColumn("e", readers.entities(F.col("expected_entities")))
+    assert {r.id: [(e.type, e.start, e.end, e.value) for e in r.e] for r in got.collect()} == {"1": [("EMAIL", 0, 6, "a@b.co"), ("EMAIL", 12, 18, "c@d.co")], "2": [], "3": [("CVV", 2, 4, "12")]}
+    with pytest.raises(Exception, match="exactly once"):
+        readers.annotated(spark.createDataFrame([("1", "A", "x x", "x")], "id string, category string, text string, expected_span string")).collect()
+
+
+def test_sql_functions(spark):
+    from veilspan.plans import sql
+
+    sql.register(spark, EMAIL)
+    spark.createDataFrame([(1, "mail a@b.co"), (2, None)], "id int, text string").createOrReplaceTempView("t_sql")
+    assert [tuple(r) for r in spark.sql("SELECT t.id, s.* FROM t_sql t, LATERAL detect_spans(t.text) s").collect()] == [(1, "EMAIL", "a@b.co", 5, 11, 1.0)]
+    assert [r[0] for r in spark.sql("SELECT pii_mask(text) FROM t_sql ORDER BY id").collect()] == ["mail __PII_EMAIL_1__", None]

@@ -554,3 +554,13 @@ def sse_demask(spark, sf_dir):
     lines = [f'data: {json.dumps({"choices": [{"delta": {"content": c}}]})}' for c in ("__PII_PER", "SON_1__ пишет")] + ["data: [DONE]"]
     d = restore.SseDemasker({"__PII_PERSON_1__": "Иван"})
     return small(spark, [(x,) for line in lines for x in d.feed(line)], "line string")
+
+
+@query("SELECT * FROM (VALUES (5::BIGINT, 'CARD', '4111 1111 1111 1111'), (5, 'CVV', '123'), (5, 'PIN', '4321'), (5, 'CARD_HOLDER', 'IVAN PETROV'), (6, 'PERSON', 'Смирнова Анна Ивановна'), (6, 'PHONE', '9123456789')) t(id, pii_type, value)")
+def sql_table_function(spark, sf_dir):
+    """The table function in SQL text."""
+    from . import sql
+
+    sql.register(spark)
+    small(spark, _FIXTURE[4:6], "id long, text string").createOrReplaceTempView("veilspan_fixture")
+    return spark.sql("SELECT f.id, s.pii_type, s.value FROM veilspan_fixture f, LATERAL detect_spans(f.text) s")

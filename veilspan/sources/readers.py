@@ -48,6 +48,23 @@ def entity_errors(text: Column, found: Column) -> Column:
     return F.filter(found, lambda e: F.substring(text, e["start"] + 1, e["end"] - e["start"]) != e["value"])
 
 
+def annotated(rows: DataFrame) -> DataFrame:
+    """Cases with expected_entities worked out from expected_span (spans with ; between them) and the case's category.
+
+    Fails on a span that isn't in the text exactly once, as its place would be a guess.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce("expected_span", F.lit("")), ";"), lambda s: F.trim(s)), lambda s: s != "")
+    times = lambda s: (F.length("text") - F.length(F.replace(F.col("text"), s, F.lit("")))) / F.length(s)
+    start = lambda s: F.position(s, F.col("text")) - 1
+
+    def entity(s: Column) -> Column:
+        made = F.struct(F.col("category").alias("type"), start(s).alias("start"), (start(s) + F.length(s)).alias("end"), s.alias("value"))
+        fail = F.raise_error(F.concat(F.lit("span is not in the text exactly once, case "), F.col("id"))).cast(ENTITY[6:-1])
+        return F.when(times(s) == 1, made).otherwise(fail)
+
+    return rows.withColumn("expected_entities", F.to_json(F.transform(parts, entity)))
+
+
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct trimmed lower-case lines of a text file, as column ``value``; a missing file is an empty list."""
     try:
