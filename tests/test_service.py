@@ -290,3 +290,28 @@ def test_sql_functions(spark):
     spark.createDataFrame([(1, "mail a@b.co"), (2, None)], "id int, text string").createOrReplaceTempView("t_sql")
     assert [tuple(r) for r in spark.sql("SELECT t.id, s.* FROM t_sql t, LATERAL detect_spans(t.text) s").collect()] == [(1, "EMAIL", "a@b.co", 5, 11, 1.0)]
     assert [r[0] for r in spark.sql("SELECT pii_mask(text) FROM t_sql ORDER BY id").collect()] == ["mail __PII_EMAIL_1__", None]
+
+
+LINES = "request_id string, seq long, line string, mapping array<struct<placeholder:string,value:string>>"
+
+
+def test_event_streams(spark, tmp_path):
+    event = lambda t: "data: " + json.dumps({"choices": [{"delta": {"content": t}}]})
+    lines = [event("x __PII_EMAIL"), event("_1__ y __P"), "", ": note", "data: [DONE]"]
+    rows = [("r", i, x, list(MAPPING.items()) if i == 0 else None) for i, x in enumerate(lines)] + [("s", 0, event("plain"), None)]
+    out = sorted(map(tuple, sessions.demask_sse_batch(spark.createDataFrame(rows, LINES).repartition(2)).collect()))
+    text = "".join(json.loads(x[3][6:])["choices"][0]["delta"]["content"] for x in out if x[3].startswith("data: {") and x[0] == "r")
+    assert text == "x x@y.zz y __P" and [x[3] for x in out if x[0] == "r"][-1] == "data: [DONE]"
+    mixed = [rows[0], rows[2], rows[1], *rows[3:]]
+    got = stream(spark, spark.createDataFrame(mixed, LINES), sessions.demask_sse_stream, tmp_path, LINES, 3)
+    assert sorted(map(tuple, got)) == out
+
+
+def test_synthetic_payloads_come_back(spark):
+    rows = readers.synthetic_payloads(spark, 50)
+    both = rows.select(F.lit(0).alias("seq"), F.lit(START).alias("ts"), "payload_id", "payload")
+    first = sessions.process_batch(both).select("payload_id", "result", "status")
+    assert first.where("status = 200 and result like '%__PII_EMAIL_1__%__PII_PHONE_1__'").count() == 50
+    again = both.union(first.select(F.lit(1), F.lit(START), "payload_id", "result"))
+    back = sessions.process_batch(again).where("seq = 1").join(rows, "payload_id")
+    assert back.where("result = payload and outcome = 'demask'").count() == 50

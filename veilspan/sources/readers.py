@@ -18,6 +18,13 @@ def payloads(spark: SparkSession, path: str, stream: bool = False, files_per_bat
     return reader.json(path)
 
 
+def synthetic_payloads(spark: SparkSession, n: int) -> DataFrame:
+    """n short payloads with one e-mail and one phone each, for load tests."""
+    no = F.lpad(F.pmod(F.col("id") * 7919, F.lit(10_000_000)).cast("string"), 7, "0")
+    text = F.concat(F.lit("Клиент "), F.col("id"), F.lit(", почта user"), F.col("id"), F.lit("@mail.example.com, телефон +7 912 "), F.substring(no, 1, 3), F.lit("-"), F.substring(no, 4, 2), F.lit("-"), F.substring(no, 6, 2))
+    return spark.range(n).select(text.alias("payload"), F.concat(F.lit("load-"), F.col("id")).alias("payload_id"))
+
+
 def chat_messages(requests: DataFrame, messages: str = "messages") -> DataFrame:
     """One row for each message of a chat request, with its place; extra fields of the request stay."""
     out = requests.select("*", F.posexplode(messages).alias("turn", "_m")).drop(messages)

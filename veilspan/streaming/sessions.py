@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.masking import CONSUMER_DEFAULT, Policy
-from ..operators.restore import ChunkDemasker, Masker
+from ..operators.restore import ChunkDemasker, Masker, SseDemasker
 
 ACTIVE_SECONDS, COMPLETED_SECONDS, TOMBSTONE_SECONDS = 900.0, 120.0, 60.0
 MAX_BYTES, MAX_TOKENS = 400_000, 100_000
@@ -217,6 +217,68 @@ def demask_stream(chunks: DataFrame, timeout: str = "5 minutes") -> DataFrame:
     return rows.groupBy("request_id").applyInPandasWithState(run, CHUNK_RESULT, CHUNK_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+SSE_RESULT = "request_id string, seq long, part int, line string"
+SSE_STATE = "next long, held string, last string, waiting array<struct<seq:long,line:string>>, mapping array<struct<placeholder:string,value:string>>"
+
+
+def demask_sse_batch(lines: DataFrame) -> DataFrame:
+    """Restored lines of event streams (request_id, seq from 0, line, mapping on the first line); a line can give none or several."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, following, d = None, 0, None
+        for rows in batches:
+            out = []
+            for who, seq, line, pairs in zip(rows["request_id"], rows["seq"], rows["line"], rows["mapping"]):
+                if who != key or d is None:
+                    key, following, d = who, 0, SseDemasker({e["placeholder"]: e["value"] for e in (pairs if pairs is not None else [])})
+                if seq != following:
+                    continue
+                out += [(who, seq, i, x) for i, x in enumerate(d.feed(line or ""))]
+                following += 1
+            yield pd.DataFrame(out, columns=["request_id", "seq", "part", "line"])
+
+    rows = lines.select("request_id", "seq", "line", "mapping")
+    return rows.repartition("request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, SSE_RESULT)
+
+
+def demask_sse_stream(lines: DataFrame, timeout: str = "5 minutes") -> DataFrame:
+    """The same as a streaming query: lines can come in any order; state ends with ``[DONE]`` or at the timeout, when held text comes out."""
+    millis = int(pd.Timedelta(timeout).total_seconds() * 1000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        following, held, last, waiting, pairs = 0, "", None, {}, []
+        if state.exists:
+            following, held, last, kept, found = state.get
+            waiting, pairs = {x["seq"]: x["line"] for x in kept}, [(x["placeholder"], x["value"]) for x in found]
+        rows = None if state.hasTimedOut else pd.concat(list(batches))
+        for r in () if rows is None else rows.itertuples():
+            if r.mapping is not None and len(r.mapping) and not pairs:
+                pairs = [(e["placeholder"], e["value"]) for e in r.mapping]
+            if r.seq >= following:
+                waiting[int(r.seq)] = r.line or ""
+        d = SseDemasker(dict(pairs), held, last)
+        out = []
+        if rows is None:
+            state.remove()
+            out = [(key[0], following, i, x) for i, x in enumerate(d.finish())]
+        else:
+            done = False
+            while following in waiting and not done:
+                line = waiting.pop(following)
+                done = line.startswith("data:") and line[5:].strip() == "[DONE]"
+                out += [(key[0], following, i, x) for i, x in enumerate(d.feed(line))]
+                following += 1
+            if done:
+                state.remove()
+            else:
+                state.update((following, d.held, d.last, sorted(waiting.items()), pairs))
+                state.setTimeoutDuration(millis)
+        yield pd.DataFrame(out, columns=["request_id", "seq", "part", "line"])
+
+    rows = lines.select("request_id", "seq", "line", "mapping")
+    return rows.groupBy("request_id").applyInPandasWithState(run, SSE_RESULT, SSE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def echo_chunks(replies: DataFrame, size: int = 7, text: str = "masked") -> DataFrame:
     """Replies of a back end that echoes, cut to chunks of ``size`` characters, for tests of the way back."""
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / size).cast("int"))
