@@ -6,16 +6,18 @@ all rows and an offset array, so no Python object is made per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
 #: Bytes of text that the kernels look at together; bounds the working memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Units covered by one table of powers.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _B = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -53,6 +55,23 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pows[base]
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Gives freed memory back when a task ends: workers live on between tasks, and share the executor's limit."""
+
+    @functools.wraps(run)
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that low and high bits are usable alone."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

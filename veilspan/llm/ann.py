@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._text import tidied
 from ._shared import arrow_rows, salted_join, written
 
 TREES = 10
@@ -195,6 +196,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec: str = "embedding"
     enough = max(SEARCH_ROWS, share * n)
     schema = "bucket long, way int, leaf int, leaves binary, k1 long, k2 long, embedding array<float>"
 
+    @tidied
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = ship.value
         for b in batches:
@@ -210,6 +212,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec: str = "embedding"
                         ["bucket", "way", "leaf", "leaves", "k1", "k2", "embedding"],
                     )
 
+    @tidied
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = ship.value
         for b in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows
-from ._text import gather, slices, span_hash, string_bytes
+from ._text import gather, slices, span_hash, string_bytes, tidied
 
 LONG_PIECE = 256
 _NONE = np.int32(2**31 - 1)
@@ -280,6 +280,7 @@ def encode(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
     arrow_rows(df.sparkSession)
     schema = SCHEMA + (", ids array<int>, decoded string" if keep_ids else "")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows
-from ._text import slices, string_bytes, window_hash
+from ._text import slices, string_bytes, tidied, window_hash
 from .toxicity import _BITS, look_up, word_hashes
 
 N = 3
@@ -32,6 +32,8 @@ THRESHOLD = 0.5
 BLOCK_ITEMS = 20000
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
+# names that no table of documents has
+_ITEM, _SCORE = "__veilspan_item", "__veilspan_score"
 
 
 @dataclass
@@ -138,6 +140,7 @@ def seeds(docs: DataFrame, items: Items, text: str = "text") -> Items:
     """The items with their rare n-grams only; document counts are taken over all documents."""
     ship = docs.sparkSession.sparkContext.broadcast(items)
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, total, rows = Finder(ship.value), np.zeros(len(ship.value.grams), np.int64), 0
         for batch in batches:
@@ -188,17 +191,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = mark(rows, benchmark, item_text, item_id)
-    return out.select("doc_id", (F.col("_score") >= threshold).cast("int").alias("contaminated"), F.col("_item").alias("item_id"), F.col("_score").alias("score"))
+    return out.select("doc_id", (F.col(_SCORE) >= threshold).cast("int").alias("contaminated"), F.col(_ITEM).alias("item_id"), F.col(_SCORE).alias("score"))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The rows with all their columns, and _item and _score of the best alignment."""
+    """The rows with all their columns, and columns _ITEM and _SCORE of the best alignment."""
     arrow_rows(docs.sparkSession)
     at = docs.columns.index("text")
-    out = docs.withColumns({"_item": F.lit(None).cast("long"), "_score": F.lit(0.0)})
+    out = docs.withColumns({_ITEM: F.lit(None).cast("long"), _SCORE: F.lit(0.0)})
     for block in _blocks(benchmark, item_text, item_id):
         ship = docs.sparkSession.sparkContext.broadcast(seeds(docs, items_of(block)))
 
+        @tidied
         def run(batches: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
             find = Finder(ship.value)
             for batch in batches:
@@ -217,4 +221,4 @@ def mark(docs: DataFrame, benchmark: DataFrame, item_text: str = "text", item_id
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, that hold no benchmark item."""
-    return mark(docs, benchmark).where(F.col("_score") < threshold).drop("_item", "_score")
+    return mark(docs, benchmark).where(F.col(_SCORE) < threshold).drop(_ITEM, _SCORE)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows
-from ._text import LOWER, byte_table, slices, string_bytes, window_hash
+from ._text import LOWER, byte_table, slices, string_bytes, tidied, window_hash
 
 N = 5
 SLOTS_BITS = 21
@@ -147,6 +147,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc
     arrow_rows(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)  # of fixed size by the number of languages
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:

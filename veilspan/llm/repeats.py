@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows, buckets_for, maybe_broadcast, written
-from ._text import byte_table, expand, mask_runs, merge, mix, slices, span_hash, string_bytes, stretch_hash, window_hash, words
+from ._text import byte_table, expand, mask_runs, merge, mix, slices, span_hash, stretch_hash, string_bytes, tidied, window_hash, words
 
 #: Input bytes for each bucket of a round.
 BUCKET_BYTES = 4 << 20
@@ -161,6 +161,7 @@ def _groups(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _round(docs: DataFrame, spec: Spec, second: bool, buckets: int) -> DataFrame:
     size = 8 if second else 5
 
+    @tidied
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, turn = TaskContext.get().partitionId(), 0
         for whole in batches:
@@ -314,6 +315,7 @@ def repeated(docs: DataFrame, spec: Spec) -> DataFrame:
 def map_rows(docs: DataFrame, spec: Spec, row: Callable, schema: str, columns: list[str]) -> DataFrame:
     """Gives each document with its covered units to ``row(text bytes, covered runs, unit starts, unit ends)``."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows, components, maybe_broadcast, salted_join, written
-from ._text import LOWER, slices, string_bytes
+from ._text import LOWER, slices, string_bytes, tidied
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -62,6 +62,7 @@ def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shin
     """(doc_id, fp, thash): the fingerprint's bits as a signed long and a hash of the text, for each input row."""
     arrow_rows(df.sparkSession)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -180,5 +181,5 @@ def keep_one(df: DataFrame) -> DataFrame:
     thash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     out = df.join(keep, df["doc_id"].eqNullSafe(keep["k_id"]) & thash.eqNullSafe(keep["k_hash"]), "left_semi")
     if prints.groupBy("doc_id", "thash").count().where("count > 1").limit(1).count():
-        out = out.withColumn("_hash", thash).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+        out = out.withColumn("__veilspan_hash", thash).dropDuplicates(["doc_id", "__veilspan_hash"]).drop("__veilspan_hash")
     return out

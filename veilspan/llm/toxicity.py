@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import arrow_rows
-from ._text import LOWER, mask_runs, slices, span_hash, string_bytes, window_hash, words
+from ._text import LOWER, mask_runs, slices, span_hash, string_bytes, tidied, window_hash, words
 
 MAX_PER_CLASS = 2000
 MAX_TRAIN_BYTES = 16384
@@ -255,6 +255,7 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
     arrow_rows(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Trained(shipped.value)
         for batch in batches:
@@ -270,6 +271,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     shipped = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Trained(shipped.value)
         for batch in batches:
@@ -284,6 +286,7 @@ def locate(df: DataFrame, model: Model, threshold: float = 0.5, text: str = "tex
     arrow_rows(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Trained(shipped.value)
         for batch in batches:
