@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from ._shared import arrow_rows, buckets_for, maybe_broadcast, written
 from ._text import byte_table, expand, mask_runs, merge, mix, slices, span_hash, stretch_hash, string_bytes, tidied, window_hash, words
 
+#: Bytes of text in a batch of a round: each batch sends a row to each bucket, so small batches make many rows.
+BATCH_BYTES = 4 << 20
 #: Input bytes for each bucket of a round.
 BUCKET_BYTES = 4 << 20
 #: Range tables up to this size are broadcast to the scans of the documents.
@@ -165,7 +167,7 @@ def _round(docs: DataFrame, spec: Spec, second: bool, buckets: int) -> DataFrame
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, turn = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for part in slices(whole):
+            for part in slices(whole, limit=BATCH_BYTES):
                 data, offsets = string_bytes(part.column(2))
                 unit, first, _, _ = units(spec, data, offsets)
                 ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
