@@ -105,3 +105,25 @@ def test_benchmark_in_blocks_is_the_same(spark, monkeypatch):
     whole = sorted(tuple(x) for x in decontam.contamination(df, bench).collect())
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 7)
     assert sorted(tuple(x) for x in decontam.contamination(df, bench).collect()) == whole
+
+
+def test_copies_that_leaked_into_many_documents(spark, monkeypatch):
+    """Edited, half and whole copies are found however many documents hold them, and beside rarer ones of the same item."""
+    r = random.Random(4)
+    prose = lambda n: " ".join(f"p{r.randint(0, 5000)}" for _ in range(n))
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(4)]
+
+    def edited(t, places):
+        return " ".join("changed" if k in places else w for k, w in enumerate(t.split()))
+
+    copies = [edited(items[0][1], range(3, 20, 5)), " ".join(items[1][1].split()[:11]), edited(items[2][1], (3, 9, 15)), edited(items[3][1], range(10))]
+    docs = [(300 * k + i, prose(30) + " " + c + " " + prose(30)) for k, c in enumerate(copies) for i in range(300)]
+    docs += [(5000 + i, prose(10) + " " + " ".join(items[3][1].split()[:12])) for i in range(5)]
+    docs += [(6000 + i, prose(60)) for i in range(200)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: x for x in decontam.contamination(df, bench).collect()}
+    assert {i for i, x in got.items() if x.contaminated} == {i for i, _ in docs if i < 6000}
+    assert all(got[i].item_id == i // 300 for i in range(1200))
+    assert abs(got[0].score - 0.7) < 1e-9 and abs(got[300].score - 0.55) < 1e-9
+    monkeypatch.setattr(decontam, "PAIRS", 5)
+    assert {x.doc_id: x for x in decontam.contamination(df, bench).collect()} == got

@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into n-grams of three words. How many documents hold each is counted over all
-documents. An item's seeds are its n-grams but those that are common in the corpus and also far
-more common than its others; an item that has leaked into very many documents keeps its seeds. Documents that hold two different seeds of an item near each other are aligned with it over
-the words around them. The score is the best local alignment (match 2, mismatch and gap -1)
-over that of the whole item with itself, so edited and partial copies score in proportion.
+Test items are cut into n-grams of three words, which are all seeds: how many documents hold an
+n-gram says nothing of whether it is common or has leaked. Documents that hold two different seeds
+of an item near each other are aligned with it over the words around them, unless the item's words
+that are there at all can't reach the best score so far. The score is the best local alignment
+(match 2, mismatch and gap -1) over that of the whole item with itself, so edited and partial
+copies score in proportion.
 
 The items go to the scans of the documents in blocks of a bounded size; a benchmark of more
 than a block is worked on block by block.
@@ -25,12 +26,11 @@ from ._text import slices, string_bytes, tidied, window_hash
 from .toxicity import _BITS, look_up, word_hashes
 
 N = 3
-#: An n-gram in no more than this share of the documents, or in RARE_DOCS of them, is rare;
-#: so is one in no more than RARE_FACTOR times as many as the median n-gram of its item.
-RARE, RARE_DOCS, RARE_FACTOR = 1e-4, 20, 10
 THRESHOLD = 0.5
 BLOCK_ITEMS = 20000
 BLOCK_BYTES = 16 << 20
+#: Pairs of a hit and an item that are looked at together; bounds the working memory.
+PAIRS = 1 << 18
 MATCH, MISMATCH, GAP = 2, -1, -1
 # names that no table of documents has
 _ITEM, _SCORE = "__veilspan_item", "__veilspan_score"
@@ -53,12 +53,6 @@ class Items:
             after[i + 1], slots[s] = slots[s], i + 1
         return slots, after
 
-    def keep(self, pairs: np.ndarray) -> Items:
-        """Only some of the (gram, item) pairs, given as a mask over ``owner``."""
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.first))[pairs]
-        left, at = np.unique(gram, return_index=True)
-        return Items(self.ids, self.words, self.grams[left], np.append(at, len(gram)), self.owner[pairs])
-
 
 def items_of(rows: list[tuple]) -> Items:
     """From (item_id, text) rows; items of fewer than N words have no n-gram and are never found."""
@@ -93,6 +87,7 @@ class Finder:
     def __init__(self, items: Items):
         self.items = items
         self.slots, self.after = items.table()
+        self.sizes = np.array([len(w) for w in items.words], np.int64)
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words where a known n-gram begins (within a row), and the gram's index."""
@@ -105,23 +100,41 @@ class Finder:
         ok = at < first[row] + room[row]
         return at[ok], got[at[ok]].astype(np.int64) - 1
 
-    def best(self, words: np.ndarray, at: np.ndarray, gram: np.ndarray, least: float) -> tuple[float, int]:
+    def best(self, words: np.ndarray, at: np.ndarray, gram: np.ndarray) -> tuple[float, int]:
         """The best score and item of one row's hits (positions within the row); (0, -1) if nothing was aligned."""
         it = self.items
-        n = it.first[gram + 1] - it.first[gram]
-        item = np.concatenate([it.owner[it.first[g] : it.first[g + 1]] for g in gram])
-        place, seed = np.repeat(at, n), np.repeat(gram, n)
+        begin, end = it.first[gram], it.first[gram + 1]
+        parts = max(1, -(-int((end - begin).sum()) // PAIRS))
+        best = (0.0, -1)
+        for k in range(parts):
+            if parts > 1:
+                low, high = (len(it.ids) * x // parts for x in (k, k + 1))
+                known, which = np.unique(gram, return_inverse=True)
+                own = [it.first[g] + np.searchsorted(it.owner[it.first[g] : it.first[g + 1]], (low, high)) for g in known]
+                begin, end = np.array(own)[which].T
+            n = end - begin
+            item = it.owner[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            best = self._best(words, item, np.repeat(at, n), np.repeat(gram, n), best)
+        return best
+
+    def _best(self, words: np.ndarray, item: np.ndarray, place: np.ndarray, seed: np.ndarray, best: tuple[float, int]) -> tuple[float, int]:
+        it = self.items
         order = np.lexsort((place, item))
         item, place, seed = item[order], place[order], seed[order]
-        size = np.array([len(it.words[i]) for i in item])
-        new = np.append(True, (item[1:] != item[:-1]) | (np.diff(place) > 2 * size[1:]))
-        best = (0.0, -1)
-        edge = np.flatnonzero(new)
-        for a, b in zip(edge, np.append(edge[1:], len(item))):
+        size = self.sizes[item]
+        edge = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (np.diff(place) > 2 * size[1:]))) if len(item) else item
+        end = np.append(edge[1:], len(item))[: len(edge)]
+        some = (end - edge > 1) | (size[edge] <= N)
+        edge, end = edge[some], end[some]
+        most = np.argsort(edge - end, kind="stable")  # likely the best first
+        for a, b in zip(edge[most], end[most]):
             own = it.words[item[a]]
-            if b - a < 2 and len(own) > N or len(own) > N + 1 and len(np.unique(seed[a:b])) < 2:
+            if len(own) > N + 1 and len(np.unique(seed[a:b])) < 2:
                 continue
-            score = align(own, words[max(0, place[a] - len(own)) : place[b - 1] + N + len(own)])
+            near = words[max(0, place[a] - len(own)) : place[b - 1] + N + len(own)]
+            if best[0] and np.isin(own, near).mean() < best[0]:
+                continue  # the score is no more than the share of its words that are near
+            score = align(own, near)
             if score > best[0] or score == best[0] and best[1] >= 0 and item[a] < best[1]:
                 best = (score, int(item[a]))
         return best
@@ -136,39 +149,6 @@ def _blocks(benchmark: DataFrame, text: str, item_id: str) -> Iterator[list[tupl
         yield [(r[0], r[1]) for r in part.collect()]  # a block
 
 
-def seeds(docs: DataFrame, items: Items, text: str = "text") -> Items:
-    """The items with their rare n-grams only; document counts are taken over all documents."""
-    ship = docs.sparkSession.sparkContext.broadcast(items)
-
-    @tidied
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, total, rows = Finder(ship.value), np.zeros(len(ship.value.grams), np.int64), 0
-        for batch in batches:
-            for part in slices(batch):
-                hashes, first = word_hashes(*string_bytes(part.column(0)))
-                at, gram = find.hits(hashes, first)
-                row = np.searchsorted(first, at, "right") - 1
-                each = np.unique(row * np.int64(len(total) + 1) + gram) % (len(total) + 1)
-                total += np.bincount(each, minlength=len(total))
-                rows += part.num_rows
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(total[k], rows))], ["gram", "n"])
-
-    got = docs.select(F.col(text).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    gram, n = got["gram"].to_numpy(), got["n"].to_numpy()  # a row for each n-gram of a block at most
-    df = np.zeros(len(items.grams), np.int64)
-    df[gram[gram >= 0]] = n[gram >= 0]
-    documents = int(n[gram < 0].sum())
-    each = np.repeat(df, np.diff(items.first))
-    order = np.lexsort((each, items.owner))
-    owner = items.owner[order]
-    begin, end = np.searchsorted(owner, owner), np.searchsorted(owner, owner, "right")
-    median = each[order][(begin + end - 1) // 2]
-    rare = np.zeros(len(each), bool)
-    rare[order] = each[order] <= np.maximum(max(RARE * documents, RARE_DOCS), RARE_FACTOR * median)
-    return items.keep(rare)
-
-
 def _score(finder: Finder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Score and item index (or -1) of each row."""
     hashes, first = word_hashes(data, offsets)
@@ -178,7 +158,7 @@ def _score(finder: Finder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     edge = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
     for a, b in zip(edge, np.append(edge[1:], len(row))):
         r = row[a]
-        score[r], item[r] = finder.best(hashes[first[r] : first[r + 1]], at[a:b] - first[r], gram[a:b], 0.0)
+        score[r], item[r] = finder.best(hashes[first[r] : first[r + 1]], at[a:b] - first[r], gram[a:b])
     return score, item
 
 
@@ -200,7 +180,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, item_text: str = "text", item_id
     at = docs.columns.index("text")
     out = docs.withColumns({_ITEM: F.lit(None).cast("long"), _SCORE: F.lit(0.0)})
     for block in _blocks(benchmark, item_text, item_id):
-        ship = docs.sparkSession.sparkContext.broadcast(seeds(docs, items_of(block)))
+        ship = docs.sparkSession.sparkContext.broadcast(items_of(block))
 
         @tidied
         def run(batches: Iterator[pa.RecordBatch], ship=ship) -> Iterator[pa.RecordBatch]:
