@@ -127,3 +127,42 @@ def test_copies_that_leaked_into_many_documents(spark, monkeypatch):
     assert abs(got[0].score - 0.7) < 1e-9 and abs(got[300].score - 0.55) < 1e-9
     monkeypatch.setattr(decontam, "PAIRS", 5)
     assert {x.doc_id: x for x in decontam.contamination(df, bench).collect()} == got
+
+
+def test_whole_candidates_are_judged(spark):
+    r = random.Random(5)
+    secret = lambda: "".join(r.choice("0123456789abcdef") for _ in range(22))
+    words = ["some", "words", "here", "and", "there"]
+    path = lambda n: "/".join(r.choice(["files", "archive", "images", "2019", "page12", "list"]) for _ in range(n))
+    fill = lambda n: " ".join(r.choices(words, k=n))
+    rows = [(i, f"{fill(10)} {[f'password={secret()}', f'www.example.com/{path(8)}/index.html'][i % 2]} {fill(5)}") for i in range(600)]
+    inside = [f"www.example.com/{path(5)}/{secret()}/{path(5)}/index.html" for _ in range(30)]
+    # beside a base finding in the same run
+    beside = ["0123456789abcdef" * 2 + f"/{secret()}" for _ in range(30)]
+    rows += [(1000 + i, f"{fill(10)} {t} {fill(5)}") for i, t in enumerate(inside + beside)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in secrets.scan(df).collect()}
+    assert sum(got[i].n_model for i in range(600)) <= 6
+    assert sum(got[1000 + i].n_model for i in range(30)) >= 15
+    assert sum(got[1030 + i].n_model for i in range(30)) >= 15 and all(got[1030 + i].n_hex == 1 for i in range(30))
+    clean = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    for i in range(1000, 1060):
+        assert clean[i].count("[SECRET]") == len(got[i].spans.split(",")) * (got[i].spans != "")
+
+
+def test_long_candidates_like_all_their_windows():
+    r = np.random.default_rng(6)
+    p = [r.normal(size=n) for n in ((secrets._SPAN, secrets._SYMBOLS, secrets._FILTERS), secrets._FILTERS, (3 * secrets._FILTERS, secrets._HIDDEN), secrets._HIDDEN, secrets._HIDDEN, 1)]
+    model = secrets.Model(p)
+    for n in (41, 67, 500):
+        x = np.frombuffer(secrets.window("é" * 30 + "a0Zf" * 200, 30, 30 + n), np.uint8)
+        assert len(x) == n + secrets.BEFORE + secrets.AFTER
+        each = np.lib.stride_tricks.sliding_window_view(x, secrets.WIDTH)
+        assert abs(model.highest(x) - model.logits(each).max()) < 1e-6
+    text = "see www.example.com/files/a1b2c3d4e5f6a7b8/index.html now"
+    a, b = text.index("www"), text.index(" now")
+    part = text.index("a1b2")
+    assert secrets._parts(np.frombuffer(secrets.window(text, a, b), np.uint8)).tobytes() == secrets.window(text[part : part + 16], 0, 16)
+    known = text.index("/files")
+    pieces = secrets.candidates(text, [{"start": a, "end": known, "kind": "hex"}])
+    assert [(c["start"], c["end"], c["label"]) for c in pieces] == [(known + 1, b, 2)]
