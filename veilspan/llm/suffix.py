@@ -1,6 +1,6 @@
 """Suffix-array dedup by difference-cover blockwise construction.
 
-Only suffixes at the residues of a difference cover modulo v are ranked first: for any two
+Only suffixes at the residues of a difference cover modulo v are hashed first, not ranked: for any two
 positions there is a shift under v that takes both to cover positions. So if the 200 bytes at
 two places are equal, the suffixes at a pair of cover positions within them are equal over
 200 - (v - 1) bytes. The cover sample is dealt to buckets and sorted one bucket at a time; a
