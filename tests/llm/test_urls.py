@@ -1,5 +1,9 @@
+import random
+
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilspan.llm import urls
 
@@ -53,6 +57,60 @@ def test_few_outcomes(spark, labels):
     assert mine == theirs and all(r[4] == "allow" for r in mine if r[3] is None)
 
 
+def test_planted_bad_hosts_are_blocked(spark):
+    """Reputation decides: bad hosts go, by their own pages or their domain's; good and average ones and those in doubt stay."""
+    r = random.Random(1)
+    pages, labels = [], []
+
+    def host(name, n, rate, labelled=True):
+        for _ in range(n):
+            i = len(pages)
+            pages.append((i, f"https://user@{name}:8080/p{i}", ""))
+            if labelled:
+                labels.append((i, int(r.random() < rate)))
+
+    for i in range(60):
+        host(f"h{i}.site{i % 12}.net", 20, 0.05)
+    for i in range(4):
+        host(f"h{i}.spam.com", 25, 0.9)
+    host("new.spam.com", 5, 0, labelled=False)
+    host("www.farm.co.uk", 40, 0.95)
+    host("www.shop.co.uk", 40, 0.02)
+    host("once.site1.net", 1, 1.0)
+    host("10.0.0.7", 30, 0.9)
+    host("10.0.1.7", 30, 0.02)
+    mine, theirs = both(spark, pages, labels)
+    assert mine == theirs
+    blocked = {x[1].split("@")[1].split(":")[0] for x in mine if x[4] == "block"}
+    assert blocked == {f"h{i}.spam.com" for i in range(4)} | {"new.spam.com", "www.farm.co.uk", "10.0.0.7"}
+    assert {x[1] for x in mine if "shop" in x[1]} == {"user@www.shop.co.uk:8080"}
+
+
+def test_hosts_that_differ_by_chance_only(spark):
+    r = random.Random(2)
+    pages = [(i, f"http://h{i % 50}.d{i % 5}.org/{i}", "") for i in range(1000)]
+    mine, theirs = both(spark, pages, [(i, int(r.random() < 0.26)) for i in range(1000)])
+    assert mine == theirs and all(x[4] == "allow" for x in mine)
+
+
+def test_posterior_bound_like_its_integral(spark):
+    """The incomplete beta function against the sum of the density."""
+    cases = [(0.3, 5.0, 0.2), (2.5, 2.5, 0.5), (40.0, 60.0, 0.45), (9.0, 1.2, 0.7), (900.0, 2000.0, 0.29), (1.5, 700.0, 0.01), (0.02, 0.4, 0.3)]
+    df = spark.createDataFrame(cases, "a double, b double, x double")
+    got = [x.s for x in df.select(F.expr(urls._sure("a", "b", "x", urls._FOLD)).alias("s")).collect()]
+    for (a, b, x), s in zip(cases, got):
+        u = (np.arange(400000) + 0.5) / 400000
+
+        def part(a, b, x):
+            if a >= 1:
+                top = (a - 1) * np.log(a / (a + b)) + (b - 1) * np.log(b / (a + b)) if b >= 1 else 0  # keeps it in range
+                return float(np.exp((a - 1) * np.log(x * u) + (b - 1) * np.log1p(-x * u) - top).mean() * x)
+            return float(((1 - (x**a * u) ** (1 / a)) ** (b - 1)).mean() * x**a / a)  # t = v ** (1 / a) takes out the pole at 0
+
+        low, high = (part(a, b, x), part(b, a, 1 - x))
+        assert abs(high / (low + high) - s) < 1e-4
+
+
 def test_no_rows(spark):
     p = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(p, spark.createDataFrame([(1, 1)], "page_id long, bad int")).count() == 0
