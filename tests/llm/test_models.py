@@ -41,6 +41,30 @@ def test_toxicity_without_labels(spark):
     assert all(x.score < 0.5 for x in toxicity.score(docs, toxicity.train(docs, one, F.lit(True))).collect())
 
 
+def test_toxicity_with_clashing_columns(spark):
+    """Columns named like those of the labels, of the scores or of the joins change nothing."""
+    rows = [(i, "you nitwit" if i % 2 else f"nice day {i}", i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    plain = toxicity.score(docs, toxicity.train(docs, labels, F.col("doc_id") >= 0)).collect()
+    clash = docs.withColumns({"toxic": F.lit(1), "score": F.lit("x"), "thash": F.lit(0), "label": F.lit(1), "count": F.lit(2)})
+    model = toxicity.train(clash, labels.withColumns({"text": F.lit("t"), "doc": F.lit(1)}), F.col("doc_id") >= 0)
+    assert sorted(map(tuple, toxicity.score(clash, model).collect())) == sorted(map(tuple, plain))
+    assert toxicity.keep_clean(clash, model).columns == clash.columns
+
+
+def test_long_texts_teach_by_a_stretch(spark):
+    from veilspan.llm._shared import sliced
+
+    long = [(i, f"das ist ein langer text von nummer {i} und er geht weiter ä " * 700, "de") for i in range(20)]
+    short = [(100 + i, f"the short text number {i} of the other tongue", "en") for i in range(20)]
+    df = spark.createDataFrame(long + short, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.train(df, F.lit(True))).collect()}
+    assert all(got[i] == ("de" if i < 100 else "en") for i in got)
+    part = df.select("text", sliced(F.col("text"), 1000).alias("s")).collect()
+    assert all(r.s in r.text and len(r.s.encode()) <= 1100 and (r.s == r.text or len(r.s) > 900) for r in part)
+
+
 def test_noisy_or_is_the_product():
     z, first = np.array([-2.0, 0.3, 1.0, -5.0]), np.array([0, 2, 3, 4])
     p = 1 / (1 + np.exp(-z))

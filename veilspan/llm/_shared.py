@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its written table has no more bytes than this.
@@ -21,6 +21,14 @@ def arrow_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _ARROW_ROWS)
 
 
+def sliced(text: Column, most: int) -> Column:
+    """A text of up to ``most`` bytes as it is; of a longer one a stretch of about ``most`` bytes, at a place given by its hash."""
+    length = F.length(text)
+    take = F.floor(length * most / F.octet_length(text)).cast("int")
+    start = F.pmod(F.xxhash64(text), F.greatest(length - take, F.lit(1))).cast("int")
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(text, start + 1, take))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; one of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

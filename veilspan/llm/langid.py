@@ -7,7 +7,7 @@ its bit plane), which is corrected for that language's rate of false positives;
 language with the largest corrected share is the prediction.
 
 The filters are built on a bounded sample of training rows (``PER_LANGUAGE`` rows of each
-language, by a hash of the id, texts of up to ``MAX_TRAIN_BYTES``); an n-gram is taken up if it is in
+language, by a hash of the id, of a longer text than ``MAX_TRAIN_BYTES`` a stretch); an n-gram is taken up if it is in
 ``MIN_DOCS`` of them. Prediction reads whole texts of all rows.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import arrow_rows
+from ._shared import arrow_rows, sliced
 from ._text import LOWER, byte_table, slices, string_bytes, tidied, window_hash
 
 N = 5
@@ -123,17 +123,17 @@ def has_letter(text: bytes) -> bool:
 
 def train(df: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """Fits a model on a bounded sample of the rows with text and lang for which ``usable`` holds."""
-    rows = df.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= MAX_TRAIN_BYTES))
+    rows = df.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(text).alias("thash"))
     # about twice as many as are wanted, by the hash, so that no language sends all its rows to one task
     share = F.broadcast(rows.groupBy("lang").agg((2.0 * PER_LANGUAGE / F.count("*")).alias("share")))
     rows = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "thash")
     few = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PER_LANGUAGE).select("doc_id", "lang", "thash").distinct()
-    whole = df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES)
+    whole = df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
     ids = F.broadcast(df.sparkSession.createDataFrame(few.toArrow()))  # PER_LANGUAGE rows of each language at most
     got = whole.withColumn("thash", F.xxhash64("text")).join(ids, ["doc_id", "lang", "thash"]).dropDuplicates(["doc_id", "lang", "thash"])
-    got = got.select("doc_id", "thash", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("thash", "ascending")])
+    got = got.select("doc_id", "thash", "lang", sliced(F.col("text"), MAX_TRAIN_BYTES).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("thash", "ascending")])
     return fit([t.encode() for t in got["text"].to_pylist()], got["lang"].to_pylist())
 
 

@@ -9,7 +9,7 @@ isn't toxic for being long. Words that toxic training documents don't hold far m
 chance would have it (``MIN_EVIDENCE``) get no weight.
 
 The model is fitted on the driver on a bounded sample of labelled rows (``MAX_PER_CLASS`` of each
-class, taken by a hash of the id, texts of up to ``MAX_TRAIN_BYTES``). Scoring runs over all rows
+class, taken by a hash of the id; of a text over ``MAX_TRAIN_BYTES`` a stretch of that length). Scoring runs over all rows
 and whole texts, by table look-ups for a batch at a time.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_rows
+from ._shared import arrow_rows, sliced
 from ._text import LOWER, mask_runs, slices, span_hash, string_bytes, tidied, window_hash, words
 
 MAX_PER_CLASS = 2000
@@ -233,8 +233,10 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, text: str = "
     Rows with a null doc_id, text or label take no part; an id with several labels counts as toxic
     if one of them says so; of repeated documents of an id one is taken.
     """
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), sliced(F.col(text), MAX_TRAIN_BYTES).alias("text"))
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    ids = documents.where(F.col(text).isNotNull() & (F.octet_length(text) <= MAX_TRAIN_BYTES)).select("doc_id").distinct()
+    ids = documents.where("text is not null").select("doc_id").distinct()
     chosen = marks.where(usable).join(ids, "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = chosen.where("toxic = 1").orderBy(*order).limit(MAX_PER_CLASS).union(chosen.where("toxic = 0").orderBy(*order).limit(MAX_PER_CLASS))
@@ -242,8 +244,7 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, text: str = "
     total = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
     spark = documents.sparkSession
     small = F.broadcast(spark.createDataFrame(few, "doc_id long, toxic int"))
-    short = documents.where(F.octet_length(text) <= MAX_TRAIN_BYTES)
-    rows = short.join(small, "doc_id").groupBy("doc_id", "toxic").agg(F.min(text).alias("text"))
+    rows = documents.where("text is not null").join(small, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = rows.toArrow().sort_by("doc_id")
     texts = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
     return fit(texts, rows["toxic"].to_numpy(), counts=(total.get(0, 0), total.get(1, 0)))
