@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veilspan.llm import ann
@@ -39,6 +40,54 @@ def test_fewer_candidates_than_k_and_no_rows(spark):
     assert run(df.limit(0)) == []
 
 
+def test_doubles_keep_their_precision(spark):
+    """Vectors that are equal as floats are told apart, with exact distances."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=4)
+    rows = [(i, (base + 1e-10 * rng.normal(size=4)).tolist()) for i in range(60)]
+    df = spark.createDataFrame([(i, v, 1, "x", 2.0, [1]) for i, v in rows], "vec_id long, embedding array<double>, bucket int, leaf string, score double, leaves array<int>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 5 == 0).collect()}
+    for q, n, i, _ in brute(rows, 10, 5):
+        d = 0.0
+        for a, b in zip(rows[q][1], rows[i][1]):
+            d += (a - b) ** 2
+        assert got[q, n] == (i, d**0.5)
+
+
+@pytest.mark.parametrize("bucket", [40, 8192])
+def test_every_row_a_query_and_leaves_over_a_bucket(spark, monkeypatch, bucket):
+    """More queries than rows in a bucket, and leaves that are cut into parts, lose nothing when all leaves are taken."""
+    monkeypatch.setattr(ann, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(ann, "SAMPLE", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3).astype(np.float32).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert run(df, k=4, step=1, trees=3) == brute(rows, 4, 1)
+    forest = ann.Forest(np.array([v for _, v in rows[:64]]), 3)
+    leaves = [t.leaves(np.array([v for _, v in rows], np.float32)) for t in forest.trees]
+    forest.place({(k, int(i)): int(n) for k, x in enumerate(leaves) for i, n in zip(*np.unique(x, return_counts=True))})
+    for k, x in enumerate(leaves):
+        size = np.bincount(forest.first[k][x], forest.parts[k][x] ** -1.0)
+        assert size.max() <= bucket and sum(int(t.counts.sum()) for t in forest.trees) == 2100
+
+
+def test_recall_of_a_bounded_search(spark):
+    """Where vectors have neighbourhoods, a query that looks at a twentieth of the table finds nine in ten."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(300, 16))
+    x = (centres[rng.integers(0, 300, 6000)] + 0.2 * rng.normal(size=(6000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, share=0.05, least=0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 100):
+        d = ((x.astype(np.float64) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10].tolist()) & got[q])
+    assert hit / 600 >= 0.9
+
+
 def test_recall(spark, sf):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]

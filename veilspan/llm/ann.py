@@ -7,8 +7,12 @@ promising branch first, until the leaves it has taken hold enough vectors. The v
 leaves are the candidates, and are reranked by their exact distances in double precision.
 
 Equal vectors are one class: of a class only the k + 1 least ids can be among k neighbours, so
-only these are kept, and equal queries are searched once. Leaves are grouped to buckets of about
-``BUCKET_ROWS`` vectors; queries visit a bucket in blocks of ``QUERY_ROWS``, so a task holds no more.
+only these are kept, and equal queries are searched once.
+
+Every vector is sent once a tree, however many queries there are. Leaves are grouped to buckets of up to
+``BUCKET_ROWS`` vectors by their sizes in the whole table; a larger leaf is cut into parts of that
+size by the vectors' hashes, and a query that takes the leaf goes to all of them. A task reads a bucket's
+vectors first and then its queries as they come, so it holds a bucket and a batch of queries.
 """
 
 from __future__ import annotations
@@ -27,12 +31,11 @@ from ._shared import arrow_rows, salted_join, written
 TREES = 10
 LEAF = 32
 #: Rows of the sample that the trees are built on; every row is indexed.
-SAMPLE = 32768
+SAMPLE = 65536
 #: Vectors that a query looks at in all trees together: this many, or this share of all if more.
 SEARCH_ROWS = 5000
 SEARCH_SHARE = 0.65
 BUCKET_ROWS = 8192
-QUERY_ROWS = 4096
 _BLOCK = 256
 
 
@@ -81,16 +84,25 @@ class Tree:
 
 
 class Forest:
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = 0):
+    def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.trees = [Tree(sample.astype(np.float32), leaf, rng) for _ in range(trees)]
-        self.scale = rows / max(1, len(sample))
-        #: bucket of each leaf: neighbouring leaves, so many that they should hold BUCKET_ROWS vectors
-        self.buckets, base = [], 0
-        for t in self.trees:
-            b = base + ((np.cumsum(t.counts) - t.counts) * self.scale // BUCKET_ROWS).astype(np.int64)
-            self.buckets.append(b)
-            base = int(b[-1]) + 1
+
+    def place(self, counts: dict[tuple[int, int], int]) -> None:
+        """Deals the leaves to buckets by how many vectors of the table they hold: ``first`` is a leaf's bucket, or the first of its ``parts``."""
+        self.first, self.parts, base = [], [], 0
+        for k, t in enumerate(self.trees):
+            t.counts = np.array([counts.get((k, leaf), 0) for leaf in range(len(t.counts))], np.float64)
+            first, parts, room = np.zeros(len(t.counts), np.int64), np.ones(len(t.counts), np.int64), 0.0
+            for leaf, n in enumerate(t.counts.tolist()):
+                if n > room:
+                    base += 1
+                    parts[leaf] = max(1, -(-int(n) // BUCKET_ROWS))
+                    first[leaf], room = base, max(0.0, BUCKET_ROWS - n)
+                    base += int(parts[leaf]) - 1
+                else:
+                    first[leaf], room = base, room - n
+            self.first.append(first), self.parts.append(parts)
 
     def search(self, queries: np.ndarray, enough: float) -> Iterator[list[tuple[int, int]]]:
         """The (tree, leaf) pairs that each query takes."""
@@ -103,7 +115,7 @@ class Forest:
                 m, k, node = heapq.heappop(heap)
                 if node < 0:
                     got.append((k, -1 - node))
-                    found += self.trees[k].counts[-1 - node] * self.scale
+                    found += self.trees[k].counts[-1 - node]
                     continue
                 d = rows[k][node]
                 left, right = self.trees[k].children[node].tolist()
@@ -116,56 +128,51 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
 
 
-def _rerank(table: pa.Table, dim: int, keep: int) -> pa.Table:
-    """The ``keep`` nearest candidates of each query in a bucket, with exact distances."""
-    query = table["leaves"].is_valid().to_numpy()
-    v, q = table.filter(pa.array(~query)), table.filter(pa.array(query))
-    none = pa.table({"q1": pa.array([], pa.int64()), "q2": pa.array([], pa.int64()), "k1": pa.array([], pa.int64()), "k2": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-    if not v.num_rows or not q.num_rows:
-        return none
-    x = _matrix(v["embedding"].combine_chunks(), dim).astype(np.float64)
-    y = _matrix(q["embedding"].combine_chunks(), dim).astype(np.float64)
-    leaf, taken = v["leaf"].to_numpy(), [np.frombuffer(b, "<i4") for b in q["leaves"].to_pylist()]
-    low, high = int(leaf.min()), int(leaf.max()) + 1
-    norm = (x * x).sum(1)
-    parts = []
-    for at in range(0, len(y), _BLOCK):
-        block = y[at : at + _BLOCK]
-        seen = np.zeros((len(block), high - low), bool)
-        for i, t in enumerate(taken[at : at + _BLOCK]):
-            t = t[(t >= low) & (t < high)]
-            seen[i, t - low] = True
-        own = (block * block).sum(1)
-        d = own[:, None] + norm - 2 * (block @ x.T)
-        d[~seen[:, leaf - low]] = np.inf
-        limit = np.partition(d, keep - 1, 1)[:, keep - 1] if d.shape[1] > keep else np.full(len(d), np.inf)
-        # the products above have rounding errors; the exact distances decide
-        i, j = np.nonzero((d <= (limit + 1e-9 * (own + norm.max()))[:, None]) & (d < np.inf))
-        exact = np.sqrt(np.add.accumulate((block[i] - x[j]) ** 2, axis=1)[:, -1])
-        parts.append((i + at, j, exact))
-    i, j, exact = (np.concatenate(p) for p in zip(*parts))
-    return pa.table(
-        {
-            "q1": q["k1"].take(pa.array(i)).combine_chunks(),
-            "q2": q["k2"].take(pa.array(i)).combine_chunks(),
-            "k1": v["k1"].take(pa.array(j)).combine_chunks(),
-            "k2": v["k2"].take(pa.array(j)).combine_chunks(),
-            "dist": pa.array(exact),
-        }
-    )
+class Bucket:
+    """The vectors of a bucket, and the ``keep`` nearest of them to queries, with exact distances."""
+
+    def __init__(self, rows: list[pa.RecordBatch], dim: int, keep: int):
+        v = pa.Table.from_batches(rows).combine_chunks()
+        self.k1, self.k2, self.keep, self.dim = v["k1"].combine_chunks(), v["k2"].combine_chunks(), keep, dim
+        self.x = _matrix(v["embedding"].combine_chunks(), dim).astype(np.float64)
+        leaf = v["leaf"].to_numpy()
+        self.low, self.high = int(leaf.min()), int(leaf.max()) + 1
+        self.leaf, self.norm = leaf - self.low, (self.x * self.x).sum(1)
+
+    def nearest(self, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        y = _matrix(queries.column("embedding"), self.dim).astype(np.float64)
+        taken = [np.frombuffer(b, "<i4") for b in queries.column("leaves").to_pylist()]
+        for at in range(0, len(y), _BLOCK):
+            block = y[at : at + _BLOCK]
+            seen = np.zeros((len(block), self.high - self.low), bool)
+            for i, t in enumerate(taken[at : at + _BLOCK]):
+                seen[i, t[(t >= self.low) & (t < self.high)] - self.low] = True
+            own = (block * block).sum(1)
+            d = own[:, None] + self.norm - 2 * (block @ self.x.T)
+            d[~seen[:, self.leaf]] = np.inf
+            limit = np.partition(d, self.keep - 1, 1)[:, self.keep - 1] if d.shape[1] > self.keep else np.full(len(d), np.inf)
+            # the products above have rounding errors; the exact distances decide
+            i, j = np.nonzero((d <= (limit + 1e-9 * (own + self.norm.max()))[:, None]) & (d < np.inf))
+            exact = np.sqrt(np.add.accumulate((block[i] - self.x[j]) ** 2, axis=1)[:, -1])
+            q, v = pa.array(i + at), pa.array(j)
+            yield pa.RecordBatch.from_arrays([queries.column("k1").take(q), queries.column("k2").take(q), self.k1.take(v), self.k2.take(v), pa.array(exact)], ["q1", "q2", "k1", "k2", "dist"])
 
 
 def usable(df: DataFrame, vec: str, vec_id: str) -> DataFrame:
-    """(vec_id, embedding, k1, k2) of rows that take part; k1 and k2 name the class of equal vectors."""
-    e = F.col(vec).cast("array<float>")
+    """(vec_id, embedding, k1, k2) of rows that take part; k1 and k2 name the class of equal vectors.
+
+    Components keep their precision: floats stay floats, all other numbers are doubles.
+    """
+    kind = "float" if df.select(vec).schema[0].dataType.simpleString() == "array<float>" else "double"
+    e = F.col(vec).cast(f"array<{kind}>")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
     # adding zero makes -0.0 equal to 0.0
-    same = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))
+    same = F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind))
     return rows.withColumns({"k1": F.xxhash64(same), "k2": F.xxhash64(F.lit(7), same)})
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 10, vec: str = "embedding", vec_id: str = "vec_id", share: float = SEARCH_SHARE, trees: int = TREES) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 10, vec: str = "embedding", vec_id: str = "vec_id", share: float = SEARCH_SHARE, trees: int = TREES, least: int = SEARCH_ROWS) -> DataFrame:
     """The k nearest found for each query: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     ``is_query`` is an expression on ``vec_id``. Candidates are all rows but those of the query's own id;
@@ -177,6 +184,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec: str = "embedding"
     spark = df.sparkSession
     arrow_rows(spark)
     rows = usable(df, vec, vec_id)
+    kind = rows.schema["embedding"].dataType.simpleString()
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     dim = sizes[0] if sizes else 1
     rows = rows.where(F.size("embedding") == dim)
@@ -184,57 +192,75 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec: str = "embedding"
     members = rows.dropDuplicates(["vec_id", "k1", "k2"]).withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
     members = written(members)
     classes = members.where("place = 1").select("k1", "k2", "embedding")
-    n = classes.count()
     sample = classes.orderBy("k1", "k2").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()  # keys are hashes, so this is a random sample
     if isinstance(sample, pa.ChunkedArray):
         sample = sample.combine_chunks()
-    forest = Forest(_matrix(sample, dim), n, trees) if n else None
-    ship = spark.sparkContext.broadcast(forest)  # its size is bounded by SAMPLE
+    forest = Forest(_matrix(sample, dim), trees if len(sample) else 0)
+    grown = spark.sparkContext.broadcast(forest)  # its size is bounded by SAMPLE
+
+    @tidied
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(2), dim).astype(np.float32)
+            leaves = np.stack([t.leaves(x) for t in grown.value.trees], 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(leaves), pa.list_(pa.int32()))], ["k1", "k2", "embedding", "leaves"])
+
+    placed = written(classes.mapInArrow(assign, f"k1 long, k2 long, embedding {kind}, leaves array<int>"))
+    sizes = placed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect()  # a number for each leaf of the forest
+    forest.place({(r[0], r[1]): r[2] for r in sizes})
+    n = sum(r[2] for r in sizes if r[0] == 0)
+    ship = spark.sparkContext.broadcast(forest)
     asked = rows.withColumn("is_query", is_query).where("is_query").select(F.col("vec_id").alias("query_id"), "k1", "k2", "embedding").dropDuplicates(["query_id", "k1", "k2"])
     queries = written(asked.select("k1", "k2", "embedding").dropDuplicates(["k1", "k2"]))
-    ways = max(1, -(-queries.count() // QUERY_ROWS))
-    enough = max(SEARCH_ROWS, share * n)
-    schema = "bucket long, way int, leaf int, leaves binary, k1 long, k2 long, embedding array<float>"
+    enough = max(least, share * n)
+    schema = f"bucket long, leaf int, leaves binary, k1 long, k2 long, embedding {kind}"
+    names = ["bucket", "leaf", "leaves", "k1", "k2", "embedding"]
 
     @tidied
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = ship.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(2), dim).astype(np.float32)
-            for k, t in enumerate(f.trees):
-                leaf = t.leaves(x)
-                for way in range(ways):
-                    m = len(leaf)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(f.buckets[k][leaf]), pa.array(np.full(m, way, np.int32)), pa.array(leaf.astype(np.int32)), pa.nulls(m, pa.binary()), b.column(0), b.column(1), b.column(2)],
-                        ["bucket", "way", "leaf", "leaves", "k1", "k2", "embedding"],
-                    )
+            leaves = _matrix(b.column(3), len(f.trees))
+            part = b.column(0).to_numpy().view(np.uint64)
+            for k in range(len(f.trees)):
+                leaf = leaves[:, k]
+                bucket = f.first[k][leaf] + (part % f.parts[k][leaf].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(leaf), pa.nulls(len(leaf), pa.binary()), *b.columns[:3]], names)
 
     @tidied
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = ship.value
         for b in batches:
-            if not b.num_rows:
-                continue
             row, bucket, leaves = [], [], []
             for i, got in enumerate(f.search(_matrix(b.column(2), dim), enough)):
                 by: dict[int, list[int]] = {}
                 for k, leaf in got:
-                    by.setdefault(int(f.buckets[k][leaf]), []).append(leaf)
+                    for g in range(f.first[k][leaf], f.first[k][leaf] + f.parts[k][leaf]):
+                        by.setdefault(g, []).append(leaf)
                 for g, some in by.items():
                     row.append(i), bucket.append(g), leaves.append(np.array(some, "<i4").tobytes())
             at = pa.array(row, pa.int64())
-            k1 = b.column(0).take(at)
-            way = pa.array((k1.to_numpy().view(np.uint64) % np.uint64(ways)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket, pa.int64()), way, pa.nulls(len(row), pa.int32()), pa.array(leaves, pa.binary()), k1, b.column(1).take(at), b.column(2).take(at)],
-                ["bucket", "way", "leaf", "leaves", "k1", "k2", "embedding"],
-            )
-
-    both = classes.mapInArrow(index, schema).union(queries.mapInArrow(probe, schema))
-    ranked = both.groupBy("bucket", "way").applyInArrow(lambda t: _rerank(t, dim, k + 1), "q1 long, q2 long, k1 long, k2 long, dist double")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.nulls(len(row), pa.int32()), pa.array(leaves, pa.binary()), *[c.take(at) for c in b.columns]], names)
+
+    @tidied
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, ready = None, [], None
+        for b in batches:
+            bucket, query = b.column(0).to_numpy(), b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (query[1:] != query[:-1]))).tolist() if len(bucket) else []
+            for at, end in zip(edge, [*edge[1:], len(bucket)]):
+                part = b.slice(at, end - at)
+                if bucket[at] != now:
+                    now, rows, ready = bucket[at], [], None
+                if not query[at]:
+                    rows.append(part)
+                elif rows:
+                    ready = ready or Bucket(rows, dim, k + 1)
+                    yield from ready.nearest(part)
+
+    both = placed.mapInArrow(index, schema).union(queries.mapInArrow(probe, schema))
+    # a bucket's vectors, and after them its queries
+    ranked = both.repartition("bucket").sortWithinPartitions("bucket", F.col("leaves").isNotNull()).mapInArrow(rerank, "q1 long, q2 long, k1 long, k2 long, dist double")
     # a candidate can come from several trees; of the classes only the nearest k + 1 matter, with all ties
     best = ranked.dropDuplicates(["q1", "q2", "k1", "k2"]).withColumn("r", F.rank().over(Window.partitionBy("q1", "q2").orderBy("dist"))).where(F.col("r") <= k + 1)
     ids = members.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))  # k + 1 ids at most
