@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from veilspan.llm import decontam, secrets
 
@@ -97,14 +98,51 @@ def test_contamination(spark):
     assert decontam.contamination(df.limit(0), bench).count() == 0
 
 
-def test_benchmark_in_blocks_is_the_same(spark, monkeypatch):
+def test_joined_benchmark_is_the_same(spark, monkeypatch):
     r = random.Random(3)
-    items = [(i, " ".join(f"t{r.randint(0, 300)}" for _ in range(20))) for i in range(25)]
-    docs = [(i, f"before {t} after" if i % 2 else "nothing in here at all") for i, t in items]
-    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    whole = sorted(tuple(x) for x in decontam.contamination(df, bench).collect())
-    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 7)
-    assert sorted(tuple(x) for x in decontam.contamination(df, bench).collect()) == whole
+    items = [(i, " ".join(f"t{r.randint(0, 300)}" for _ in range(r.choice([3, 6, 12, 20, 40])))) for i in range(40)] + [(None, "an item without id that is long enough"), (7, "a b c d"), (8, "two words")]
+    docs = [(i, f"before {t} after" if i % 2 else f"{t[: len(t) // 2]} cut and then nothing", "x") for i, t in items if i is not None]
+    docs += [(50, items[3][1] + " and " + items[4][1], "y"), (None, items[5][1], "n"), (None, items[-3][1], "n"), (60, None, "n"), (61, "", "n"), (62, "far " * 500 + items[6][1] + " far" * 500 + " " + items[6][1], "n")]
+    docs += docs[:3]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted((tuple(x) for x in decontam.contamination(df, bench).collect()), key=repr)
+    assert sum(x[1] for x in whole) > 40
+    kept = sorted((tuple(x) for x in decontam.drop_contaminated(df, bench).collect()), key=repr)
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 0)
+    assert sorted((tuple(x) for x in decontam.contamination(df, bench).collect()), key=repr) == whole
+    out = decontam.drop_contaminated(df, bench)
+    assert out.columns == df.columns and sorted((tuple(x) for x in out.collect()), key=repr) == kept
+    assert decontam.contamination(df.limit(0), bench).count() == 0
+
+
+def split(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+
+
+@pytest.mark.parametrize("size, changed", [(8, 0.15), (8, 0.25), (12, 0.25), (20, 0.25), (40, 0.15)])
+def test_recall_against_full_alignment_of_all_pairs(spark, size, changed):
+    """Every pair of a document and an item is aligned in full, word by word; nine in ten of those over the threshold are found, with that score."""
+    r = random.Random(size * 100 + int(changed * 100))
+    word = lambda: f"w{int(r.paretovariate(0.7)) % 3000}"
+    items = [(i, " ".join(word() for _ in range(size))) for i in range(60)]
+    docs = []
+    for i, t in items:
+        copy = [f"c{r.randint(0, 99999)}" if r.random() < changed else w for w in t.split()]
+        docs.append((i, " ".join([word() for _ in range(25)] + copy + [word() for _ in range(25)])))
+    docs += [(100 + i, " ".join(word() for _ in range(60))) for i in range(20)]
+    got = {x.doc_id: x for x in decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    number = {}
+    code = lambda t: np.array([number.setdefault(w, len(number)) for w in split(t)], np.uint64)
+    coded = [code(t) for _, t in items]
+    hit = total = 0
+    for i, t in docs:
+        best = max(decontam.align(w, code(t)) for w in coded)
+        assert got[i].score in (0.0, best) or got[i].score < best
+        total += best >= 0.5
+        hit += best >= 0.5 and got[i].score == best
+        assert bool(got[i].contaminated) <= (best >= 0.5)
+    assert total >= 50 and hit / total >= 0.95
 
 
 def test_copies_that_leaked_into_many_documents(spark, monkeypatch):
