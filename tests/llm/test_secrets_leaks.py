@@ -62,12 +62,12 @@ def test_formats_that_no_pattern_knows(spark):
     rows = [(i, f"{fill(10)} password={secrets._some(r, '0123456789abcdef', 20)} {fill(6)}") for i in range(60)]
     found = secrets.written(secrets._scan(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id"))
     recall = {}
-    for name in ("prefixed", "web token", "chat token", "letters and digits"):
+    for name in ("prefixed", "web token", "chat token", "cloud key"):
         model = secrets.train(found, {k: f for k, f in secrets.FORMATS.items() if k != name})
         texts = [f"{fill(8)} {v} {fill(5)}" for v in secrets.made_up({name: secrets.FORMATS[name]}, 99, 60)]
         recall[name] = sum("[SECRET]" in t for t in secrets.clean(texts, model, "[SECRET]")) / 60
 
-    assert min(recall.values()) >= 0.6 and sum(recall.values()) / len(recall) >= 0.85
+    assert min(recall.values()) >= 0.9
     model = secrets.train(found)
     texts = [f"{fill(8)} {v} {fill(5)}" for v in secrets.made_up(secrets.ORDINARY, 98, 30)]
     texts += ["see docs/reference/chapter12/section-4.html", "authentication responsibilities Donaudampfschifffahrt internationalization", "call +49-170-1234-5678 at 10.20.30", "Fig.12-Table.13-Appendix.A"]
