@@ -96,6 +96,75 @@ def test_stream_sessions_like_batch(spark, tmp_path):
     assert {(r.payload_id, r.seq): (r.status, r.outcome) for r in out} == {k: v for k, v in ANSWERS.items() if k[0] in ("a", "b")}
 
 
+def test_stream_forgets_by_event_time_only(spark, tmp_path):
+    """A session lives until the rows' own time has passed it, however long the stream stands still, and its state goes after that."""
+    def at(seconds):
+        return datetime(2026, 1, 1) + timedelta(seconds=seconds)
+
+    rows = [("a", 0, at(0), "mail x@y.zz"), ("b", 1, at(10), "mail z@y.zz"), ("a", 2, at(800), "mail __PII_EMAIL_1__"), ("c", 3, at(3000), "new"), ("b", 4, at(3001), "mail z@y.zz")]
+    frame = spark.createDataFrame(rows, "payload_id string, seq long, ts timestamp, payload string")
+    schema = "payload_id string, seq long, ts timestamp, payload string"
+    out = stream(spark, frame, lambda s: sessions.process_stream(s, EMAIL, late="5 seconds"), tmp_path, schema, 5)
+    assert {r.seq: (r.status, r.outcome) for r in out} == {0: (200, "mask"), 1: (200, "mask"), 2: (200, "demask"), 3: (200, "mask"), 4: (200, "mask")}
+
+
+def test_limits_of_a_service(spark):
+    at = lambda s: datetime(2026, 1, 1) + timedelta(seconds=s)
+    story = [
+        ("a", 0, at(0), "one"), ("b", 1, at(1), "two"), ("c", 2, at(2), "three"), ("a", 3, at(3), "one"),  # the third finds no room, the first goes on
+        ("c", 4, at(901), "three"),  # both have expired and are tombstones
+        ("a", 5, at(902), "one"), ("x", 6, at(903), "x"), ("y", 7, at(904), "y"),
+        ("b", 8, at(3000), "big" * 1000), (None, 9, at(3001), "x"), ("z", 10, at(3002), "z" * 400_001),
+    ]
+    df = spark.createDataFrame(story, "payload_id string, seq long, ts timestamp, payload string")
+    got = {r.seq: (r.status, r.outcome) for r in sessions.process_batch(df, EMAIL, sessions.Limits(entries=2, bytes=4000, tombstones=3)).collect()}
+    assert got[0] == got[1] == (200, "mask") and got[2] == (429, "full") and got[3] == (200, "retry")
+    assert got[4] == (200, "mask") and got[5] == (410, "expired") and got[6] == (200, "mask") and got[7] == (429, "full")
+    assert got[8] == (429, "full") and got[9] == (422, "invalid") and got[10] == (413, "too_large")
+    dead = {r.seq: r.status for r in sessions.process_batch(df, EMAIL, sessions.Limits(tombstones=2)).collect()}
+    assert dead[4] == 200 and dead[5] == 410 and dead[6] == 429
+    free = {(r.seq, r.status, r.outcome) for r in sessions.process_batch(df, EMAIL).collect()}
+    assert {(r.seq, r.status, r.outcome) for r in sessions.process_batch(df, EMAIL, sessions.Limits(shards=7)).collect()} == free
+    store = sessions.Store(sessions.Limits())
+    store.request("a", 0.0, "text", str)
+    store.clear()
+    assert not store.live and store.size == 0
+
+
+def test_a_failed_request_leaves_no_session():
+    def broken(text):
+        raise ValueError("down")
+
+    assert sessions.step(None, 0.0, "text", broken) == (None, 500, None, "error")
+
+
+def test_round_robin_over_many_partitions(spark):
+    """Wide and narrow rows, adaptive execution on and off: each row's backend is its place in the order."""
+    from veilspan.operators import policy
+
+    n = 60_000
+    ids = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"))
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            for rows in (ids, ids.withColumn("text", F.repeat(F.lit("x"), 200))):
+                out = policy.round_robin(rows.repartition(7), "k", 5, partitions=9)
+                assert out.where(F.col("backend") != F.col("k") % 5).count() == 0 and out.count() == n
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+    assert policy.round_robin(ids.limit(0), "k", 5).count() == 0
+
+
+def test_masking_refuses_columns_that_it_would_overwrite(spark):
+    from veilspan.operators import masking
+
+    df = spark.createDataFrame([("a@b.co", "keep")], "text string, masked string")
+    with pytest.raises(ValueError, match="masked"):
+        masking.mask(df, policy=EMAIL)
+    out = masking.mask(df.withColumnRenamed("masked", "_found"), policy=EMAIL).first()
+    assert out._found == "keep" and out.masked == "__PII_EMAIL_1__"
+
+
 CHUNKS = "request_id string, seq long, chunk string, is_last boolean, mapping array<struct<placeholder:string,value:string>>"
 
 

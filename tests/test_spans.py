@@ -19,7 +19,7 @@ TEXTS = [
     "я@b.com яa@b.com",
     "card 4111 1111 1111 1111 and 4111-1111-1111-1112",
     "+1 (269) 555-3296 4524132264652876 4524132264652876",
-    "112-233-445 95, 11223344595, 7707083893",
+    "087-654-303 00, 08765430300, 7707083893",
     "é́ 500100732259 x",
     "__PII_EMAIL_1__ and me@there.org",
     "Straße a@b.co\nnext c@d.co",
@@ -47,7 +47,7 @@ def test_native_like_python(spark):
 
 
 def test_checksums_like_columns(spark):
-    digits = [str(n) for n in (0, 7, 4111111111111111, 4111111111111112, 79927398713, 7707083893, 7707083894, 500100732259, 500100732250, 11223344595, 11223344596)] + ["0" * 13, "1234567890123456", ""]
+    digits = [str(n) for n in (0, 7, 4111111111111111, 4111111111111112, 79927398713, 7707083893, 7707083894, 500100732259, 500100732250)] + ["08765430300", "08765430301", "0" * 13, "1234567890123456", ""]
     df = spark.createDataFrame([(d,) for d in digits], "d string")
     d = F.col("d")
     for r in df.select("d", checks.luhn_col(d).alias("luhn"), checks.snils_col(d).alias("snils"), checks.inn_col(d).alias("inn"), checks.sequential_col(d).alias("seq")).collect():

@@ -40,21 +40,41 @@ def patronymics_of(first: str) -> set[str]:
     return {first + "ович", first + "овна"}
 
 
-# Well-known people, who are no personal data. Shorter forms are derived from these.
-KNOWN_FULL = """александр сергеевич пушкин; лев николаевич толстой; фёдор михайлович достоевский; антон павлович чехов; михаил юрьевич лермонтов;
-николай васильевич гоголь; сергей александрович есенин; владимир владимирович маяковский; иван алексеевич бунин; александр александрович блок;
-марина ивановна цветаева; анна андреевна ахматова; борис леонидович пастернак; иосиф александрович бродский; михаил афанасьевич булгаков;
-иван сергеевич тургенев; александр сергеевич грибоедов; николай алексеевич некрасов; афанасий афанасьевич фет; василий андреевич жуковский;
-константин дмитриевич бальмонт; валерий яковлевич брюсов; александр иванович куприн; аркадий петрович гайдар; самуил яковлевич маршак;
-корней иванович чуковский; алексей николаевич толстой; михаил александрович шолохов; александр исаевич солженицын; василий макарович шукшин;
-виктор петрович астафьев; валентин григорьевич распутин; юрий карлович олеша; аркадий натанович стругацкий; борис натанович стругацкий;
-андрей белый; максим горький; илья ильф; евгений петров"""
+#: Well-known people, who are no personal data: laureates of the Nobel prize and cosmonauts of the first flights, from public
+#: lists of these, and a few writers. Shorter forms are derived; supply your own with ``Lexicon().union("known", names)``.
+KNOWN = (
+    "иван петрович павлов",
+    "илья ильич мечников",
+    "николай николаевич семёнов",
+    "игорь евгеньевич тамм",
+    "павел алексеевич черенков",
+    "илья михайлович франк",
+    "лев давидович ландау",
+    "николай геннадиевич басов",
+    "александр михайлович прохоров",
+    "андрей дмитриевич сахаров",
+    "леонид витальевич канторович",
+    "пётр леонидович капица",
+    "михаил сергеевич горбачёв",
+    "жорес иванович алфёров",
+    "виталий лазаревич гинзбург",
+    "алексей алексеевич абрикосов",
+    "юрий алексеевич гагарин",
+    "герман степанович титов",
+    "павел романович попович",
+    "валерий фёдорович быковский",
+    "валентина владимировна терешкова",
+    "алексей архипович леонов",
+    "светлана евгеньевна савицкая",
+    "александр сергеевич пушкин",
+    "лев николаевич толстой",
+)
 
 
 def known_persons() -> frozenset[str]:
     """Full names, given name with surname, and surnames alone."""
     out = set()
-    for full in KNOWN_FULL.replace("\n", " ").split(";"):
+    for full in KNOWN:
         parts = full.split()
         out |= {" ".join(parts), f"{parts[0]} {parts[-1]}", parts[-1]}
     return frozenset(out)

@@ -11,6 +11,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The words that mark the parts of an address.
 _SETTLEMENT = "город|гор|г|село|с|посёлок|поселок|пос|п|деревня|дер|станица|ст-ца|станция|пгт|рп|гп|хутор|хут|аул|аал|слобода|сл"
 _REGION = "область|обл|край|район|р-н|республика|респ|округ|АО"
@@ -40,7 +44,10 @@ _ORGANISATION = re.compile(
 )
 _SERVICE_LINE = re.compile(r"\b(?:горяч(?:ая|ей) лини[яи]|служб[аы] поддержки|контактный центр)\b", re.I)
 _ENGLISH = re.compile(r"\b(?:address|registered at|lives at)\b\s*:?\s*", re.I)
-_ABBREVIATIONS = frozenset("г ул д кв п обл с ст к пер просп ш наб пл корп стр оф в о мкр тер уч им гор пос дер респ пр р-н пр-т б-р лит пом ком линия".split())
+# Abbreviations whose period ends no sentence.
+_ABBREVIATIONS = frozenset(
+    ("г", "ул", "д", "кв", "п", "обл", "с", "ст", "к", "пер", "просп", "ш", "наб", "пл", "корп", "стр", "оф", "в", "о", "мкр", "тер", "уч", "им", "гор", "пос", "дер", "респ", "пр", "р-н", "пр-т", "б-р", "лит", "пом", "ком", "линия")
+)
 ORGANISATION_REACH = 60
 
 _HOUSE_WORDS = "|".join(sorted("|".join(_HOUSE.values()).split("|"), key=len, reverse=True))
@@ -127,6 +134,10 @@ def _accepted(text: str, run: list[Segment]) -> list[Segment]:
     labelled = any(s.kind == "label" for s in run) or bool(_LABELLED.search(text[max(0, run[0].start - 40) : run[0].start]))
     last_label = max((i for i, s in enumerate(run) if s.kind == "label"), default=-1)
     run = run[last_label + 1 :]
+    while run and run[0].kind == "name" and _ORGANISATION.search(text[run[0].start : run[0].end]):
+        run = run[1:]  # an organisation before its address
+    if not run:
+        return []
     while run and run[-1].kind == "name" and run[-1].start > 0 and not any(s.kind in ("street", "house", "region", "place", "zip") for s in run[:-1]):
         run = run[:-1]
     kinds = [s.kind for s in run]
@@ -234,3 +245,13 @@ def parse(text: str) -> list[dict]:
         a, b = run[0].start, run[-1].end
         out.append({"start": a, "end": b, "text": text[a:b], "granules": [{"type": k, "value": v} for k, v in parts]})
     return out
+
+
+def granules(text: Column) -> Column:
+    """The parts of all addresses of a text, as an array of structs (type, value); null for a null text."""
+
+    @F.pandas_udf("array<struct<type:string,value:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [g for a in parse(t) for g in a["granules"]])
+
+    return run(text)

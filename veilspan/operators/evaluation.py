@@ -16,6 +16,25 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
     return F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 
+def overlap_join(a: DataFrame, b: DataFrame, by: str = "doc_id", width: int = 64) -> DataFrame:
+    """All pairs of spans of ``a`` and ``b`` in the same document that overlap, with the length ``common`` of what they share.
+
+    Both have columns ``by``, start and end (not empty); other columns stay, and must differ. Spans meet in cells of
+    ``width`` characters, so a document with very many spans is cut into as many join keys as it is long; a
+    pair that shares several cells counts in the first.
+    """
+
+    def cells(rows: DataFrame, side: str) -> DataFrame:
+        low, high = F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)
+        rows = rows.where(F.col("start") < F.col("end")).withColumns({"_cell": F.explode(F.sequence(low, high)), f"_from_{side}": low})
+        return rows.withColumnsRenamed({"start": f"_start_{side}", "end": f"_end_{side}"})
+
+    both = cells(a, "a").join(cells(b, "b"), [by, "_cell"])
+    common = overlap(F.col("_start_a"), F.col("_end_a"), F.col("_start_b"), F.col("_end_b"))
+    both = both.withColumn("common", common).where((F.col("common") > 0) & (F.col("_cell") == F.greatest("_from_a", "_from_b")))
+    return both.drop("_cell", "_from_a", "_from_b", "_start_a", "_end_a", "_start_b", "_end_b")
+
+
 def _common(a: tuple, b: tuple) -> int:
     return max(0, min(a[2], b[2]) - max(a[1], b[1]))
 

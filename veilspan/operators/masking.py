@@ -42,8 +42,12 @@ def mask(df: DataFrame, text: str = "text", policy: Policy = Policy(), lexicon:
     """Adds matches (resolved), masked, mapping, pii_types and decisions to each row; a null text has nulls.
 
     ``native`` uses the column expressions of the types that have one (checksums and e-mail) and no Python;
-    the policy may then name no other type. All other columns pass through untouched.
+    the policy may then name no other type. All other columns pass through untouched; one that is named like a column
+    that is added is refused.
     """
+    clash = {"matches", "masked", "mapping", "pii_types", "decisions", *(["candidates"] if keep_candidates else [])} & set(df.columns)
+    if clash:
+        raise ValueError(f"rename the input's columns {sorted(clash)}: masking adds columns of these names")
     t = F.col(text)
     if native:
         missing = set(policy.effective()) - set(S.NATIVE)
@@ -52,17 +56,17 @@ def mask(df: DataFrame, text: str = "text", policy: Policy = Policy(), lexicon:
         found = F.concat(*[S.NATIVE[k](t) for k in policy.effective()])
     else:
         found = candidates(t, policy, lexicon)
-    out = df.withColumn("_found", found).withColumn("_ok", S.eligible(F.col("_found"), policy.min_confidence)).withColumn("matches", S.resolve(F.col("_ok")))
-    out = out.withColumn("_masked", S.mask_struct(t, F.col("matches"), policy.mode))
+    out = df.withColumn("__veilspan_found", found).withColumn("__veilspan_ok", S.eligible(F.col("__veilspan_found"), policy.min_confidence)).withColumn("matches", S.resolve(F.col("__veilspan_ok")))
+    out = out.withColumn("__veilspan_masked", S.mask_struct(t, F.col("matches"), policy.mode))
     out = out.withColumns(
         {
-            "masked": F.col("_masked.masked"),
-            "mapping": F.col("_masked.mapping"),
+            "masked": F.col("__veilspan_masked.masked"),
+            "mapping": F.col("__veilspan_masked.mapping"),
             "pii_types": S.kinds_present(F.col("matches")),
-            "decisions": S.decisions(F.col("_found"), F.col("_ok"), F.col("matches")),
+            "decisions": S.decisions(F.col("__veilspan_found"), F.col("__veilspan_ok"), F.col("matches")),
         }
     )
-    return out.withColumnRenamed("_found", "candidates").drop("_ok", "_masked") if keep_candidates else out.drop("_found", "_ok", "_masked")
+    return out.withColumnRenamed("__veilspan_found", "candidates").drop("__veilspan_ok", "__veilspan_masked") if keep_candidates else out.drop("__veilspan_found", "__veilspan_ok", "__veilspan_masked")
 
 
 def demask(df: DataFrame, masked: str = "masked", mapping: str = "mapping", to: str = "restored", policy: Policy = Policy()) -> DataFrame:

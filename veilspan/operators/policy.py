@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.tables import written
 
 _CONSUMER = (
     "consumer_id string, enabled boolean, enabled_pii_types array<string>, excluded_pii_types array<string>, allow_demasking boolean, min_confidence double, "
@@ -84,21 +85,14 @@ def with_policy(rows: DataFrame, policies: DataFrame, consumer: str = "consumer_
     Policies are a configuration file's rows; they are broadcast only if Spark's own size limit allows.
     """
     known = policies.select(F.col("consumer_id").alias("_id"), F.struct(*policies.columns).alias("_own"))
-    base = policies.where(F.col("consumer_id") == DEFAULT).limit(1).select(F.struct(*policies.columns).alias("p")).collect()
+    base = policies.where(F.col("consumer_id") == DEFAULT).limit(1).collect()
     out = rows.join(known, F.col(consumer) == F.col("_id"), "left").drop("_id")
     if base:
-        fallback = rows.sparkSession.createDataFrame([(base[0]["p"],)], F_schema(policies)).withColumnRenamed("p", "_base")
-        out = out.join(F.broadcast(fallback), F.lit(True), "left")  # one row
-        return out.withColumn("policy", F.coalesce("_own", "_base")).drop("_own", "_base")
+        fallback = F.struct(*[F.lit(base[0][f.name]).cast(f.dataType).alias(f.name) for f in policies.schema])
+        return out.withColumn("policy", F.coalesce("_own", fallback)).drop("_own")
     return out.withColumnRenamed("_own", "policy")
 
 
-def F_schema(policies: DataFrame):
-    from pyspark.sql.types import StructField, StructType
-
-    return StructType([StructField("p", policies.schema)])
-
-
 def allowed(policy: Column, key: Column) -> Column:
     """Whether a request passes: a known enabled consumer, and one of its keys if it has any."""
     return F.coalesce(policy["enabled"] & ((F.size(policy["api_keys"]) == 0) | F.array_contains(policy["api_keys"], key)), F.lit(False))
@@ -127,16 +121,20 @@ def over_quota(max_tokens: Column, quota: Column) -> Column:
     return F.coalesce(F.coalesce(max_tokens, F.lit(0)) > quota, F.lit(False))
 
 
-def round_robin(rows: DataFrame, order: str, backends: int) -> DataFrame:
+def round_robin(rows: DataFrame, order: str, backends: int, partitions: int | None = None) -> DataFrame:
     """Deals rows to backends in turn, in order of ``order``, without one task seeing all rows.
 
-    Each partition of a range partitioning numbers its own rows; the partitions' sizes give the offsets.
+    Each partition of a range partitioning numbers its own rows; the partitions' sizes give the offsets. The numbered
+    rows are written once, and sizes and rows are both read from there: a range partitioning that runs again
+    can cut elsewhere. Columns of the input can't be named _p or _i.
     """
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = {r[0]: r[1] for r in ranged.groupBy("_p").count().collect()}  # a number for each partition
+    ranged = rows.repartitionByRange(partitions, order) if partitions else rows.repartitionByRange(order)
+    numbered = ranged.sortWithinPartitions(order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    kept = written(numbered)
+    sizes = {r[0]: r[1] for r in kept.groupBy("_p").count().collect()}  # a number for each partition
     first, total = {}, 0
     for p in sorted(sizes):
         first[p], total = total, total + sizes[p]
     offsets = F.create_map(*[F.lit(x) for p in first.items() for x in p]) if first else F.create_map().cast("map<int,int>")
-    place = F.try_element_at(offsets, F.col("_p")) + (F.col("_i") - F.shiftleft(F.col("_p").cast("long"), 33))
-    return ranged.withColumn("backend", F.pmod(place, F.lit(backends)).cast("int")).drop("_p", "_i")
+    place = F.try_element_at(offsets, F.col("_p")) + F.col("_i")
+    return kept.withColumn("backend", F.pmod(place, F.lit(backends)).cast("int")).drop("_p", "_i")

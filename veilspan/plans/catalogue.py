@@ -2,49 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
 from ..functions import spans as S
 from ..functions.lexicon import Lexicon
-from ..operators import address, analytics, detectors, evaluation, masking, ner, policy, restore
+from ..operators import analytics, detectors, evaluation, masking, ner, policy
 from ..sources import readers
 from ..streaming import sessions
+from . import detector_queries  # registers its queries
+from .registry import ORACLES, QUERIES, digits, exploded, in_turn, pick, query, small, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def exploded(df: DataFrame, matches, *keep) -> DataFrame:
-    """A row (keep..., m) for each match.
-
-    The outer form, then a filter: for the inner one Catalyst infers a filter on the array's size, which would run
-    the detectors twice.
-    """
-    return df.select(*keep, F.explode_outer(matches).alias("m")).where("m is not null")
-
-
-def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
+__all__ = ["ORACLES", "QUERIES", "detector_queries"]
 
 NATIVE = masking.Policy(types=("EMAIL", "CARD"))
 
@@ -250,13 +219,15 @@ _TYPES = ("EMAIL", "PHONE", "CARD", "PERSON")
 
 
 @query(
-    """SELECT consumer_id, list_aggregate(list_sort(list_filter(enabled, lambda x: NOT list_contains(excluded, x))), 'string_agg', ',') AS types
-    FROM (VALUES ('a', ['EMAIL', 'PHONE', 'CARD'], ['PHONE']), ('b', ['PERSON'], []), ('c', ['CARD', 'EMAIL'], ['SNILS'])) t(consumer_id, enabled, excluded)"""
+    """SELECT k, list_aggregate(list_sort(list_filter(enabled, lambda x: NOT list_contains(excluded, x))), 'string_agg', ',') AS types
+    FROM (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN ['EMAIL', 'PHONE', 'CARD'] WHEN 1 THEN ['PERSON', 'EMAIL'] ELSE ['CARD', 'SNILS'] END AS enabled,
+      CASE c_custkey % 4 WHEN 0 THEN ['PHONE'] WHEN 1 THEN [] WHEN 2 THEN ['EMAIL', 'SNILS'] ELSE ['OTHER'] END AS excluded FROM customer)"""
 )
 def policy_effective_types(spark, sf_dir):
-    rows = [("a", ["EMAIL", "PHONE", "CARD"], ["PHONE"]), ("b", ["PERSON"], []), ("c", ["CARD", "EMAIL"], ["SNILS"])]
-    df = small(spark, rows, "consumer_id string, enabled array<string>, excluded array<string>")
-    return df.select("consumer_id", F.array_join(policy.effective_types(F.col("enabled"), F.col("excluded")), ",").alias("types"))
+    k, names = F.col("k"), policy.strings
+    enabled = F.when(k % 3 == 0, names(("EMAIL", "PHONE", "CARD"))).when(k % 3 == 1, names(("PERSON", "EMAIL"))).otherwise(names(("CARD", "SNILS")))
+    excluded = F.when(k % 4 == 0, names(("PHONE",))).when(k % 4 == 1, names(())).when(k % 4 == 2, names(("EMAIL", "SNILS"))).otherwise(names(("OTHER",)))
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").select("k", F.array_join(policy.effective_types(enabled, excluded), ",").alias("types"))
 
 
 def _policies(spark):
@@ -305,6 +276,13 @@ def round_robin(spark, sf_dir):
     return policy.round_robin(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 3).select("c_custkey", F.col("backend").cast("long").alias("backend"))
 
 
+@query("SELECT k, (row_number() OVER (ORDER BY k) - 1) % 7 AS backend FROM (SELECT l_orderkey * 10 + l_linenumber AS k FROM lineitem)")
+def round_robin_parts(spark, sf_dir):
+    """The same over all lines of orders, dealt to many partitions."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_shipdate")
+    return policy.round_robin(rows, "k", 7, partitions=13).select("k", F.col("backend").cast("long").alias("backend"))
+
+
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'tok' || c_custkey WHEN 1 THEN 'key' || c_custkey END AS key FROM customer")
 def api_key(spark, sf_dir):
     k = F.col("c_custkey")
@@ -328,6 +306,16 @@ def session_batch(spark, sf_dir):
     return out.select(F.col("payload_id").cast("long").alias("id"), F.col("seq").cast("int").alias("seq"), "status", "outcome")
 
 
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey < 100 OR c_custkey BETWEEN 110 AND 209 THEN 200 ELSE 429 END AS status FROM customer")
+def session_limits(spark, sf_dir):
+    """A service that holds a hundred sessions: ids come one after the other; after 110 of them all sessions have expired."""
+    k = F.col("c_custkey")
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.when(k < 110, 0).otherwise(2000) + k * 0.001)
+    rows = table(spark, sf_dir, "customer").select(k.alias("seq"), ts.alias("ts"), k.cast("string").alias("payload_id"), F.concat(F.lit("text "), k.cast("string")).alias("payload"))
+    out = sessions.process_batch(rows, masking.Policy(("EMAIL",)), sessions.Limits(entries=100))
+    return out.select(F.col("payload_id").cast("long").alias("id"), "status")
+
+
 @query("SELECT doc_id, text AS restored FROM documents")
 def chunk_demask(spark, sf_dir):
     """Masked documents come back in chunks and are restored; joined again, they are the documents."""
@@ -342,15 +330,9 @@ _EACH_SQL = """SELECT 'd' || (l_suppkey % 3) AS dataset, l_returnflag || l_lines
   (l_partkey % 11 = 0)::INT AS fn, (l_partkey % 13 = 0)::INT AS span_errors, (l_partkey % 17 = 0)::INT AS type_errors FROM lineitem"""
 
 
-@query(
-    f"""WITH each AS ({_EACH_SQL}),
-    sums AS (SELECT dataset, pii_type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(span_errors + type_errors)::BIGINT AS wrong FROM each GROUP BY ROLLUP (dataset, pii_type)),
-    rates AS (SELECT *, tp::DOUBLE / (tp + fp + wrong) AS p, tp::DOUBLE / (tp + fn + wrong) AS r FROM sums)
-    SELECT dataset, pii_type, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1 FROM rates"""
-)
-def quality_rollup(spark, sf_dir):
+def _each(spark, sf_dir):
     p = F.col("l_partkey")
-    each = table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("d"), (F.col("l_suppkey") % 3).cast("string")).alias("dataset"),
         F.concat("l_returnflag", "l_linestatus").alias("pii_type"),
         (p % 5 > 0).cast("int").alias("tp"),
@@ -361,7 +343,16 @@ def quality_rollup(spark, sf_dir):
         F.lit(0).alias("partial_leaks"),
         F.lit(0).alias("overmasking"),
     )
-    out = evaluation.rollup(each)
+
+
+@query(
+    f"""WITH each AS ({_EACH_SQL}),
+    sums AS (SELECT dataset, pii_type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(span_errors + type_errors)::BIGINT AS wrong FROM each GROUP BY ROLLUP (dataset, pii_type)),
+    rates AS (SELECT *, tp::DOUBLE / (tp + fp + wrong) AS p, tp::DOUBLE / (tp + fn + wrong) AS r FROM sums)
+    SELECT dataset, pii_type, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1 FROM rates"""
+)
+def quality_rollup(spark, sf_dir):
+    out = evaluation.rollup(_each(spark, sf_dir))
     return out.select("dataset", "pii_type", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -405,23 +396,65 @@ def events_sessions(spark, sf_dir):
     return analytics.sessions(table(spark, sf_dir, "events")).select("user_id", "session_start", "n")
 
 
-_STACKS = [("main.py:run;store.py:get;heap", 30), ("main.py:run;pii.py:detect;re", 50), ("pool.py:_worker;wait", 100), ("main.py:run;json", 15), ("x;y", 5), ("pool.py:_worker;pii.py:detect", 7)]
+_STACKS = ("main.py:run;store.py:get;heap", "main.py:run;pii.py:detect;re", "pool.py:_worker;wait", "main.py:run;json", "x;y", "pool.py:_worker;pii.py:detect")
 _RULES = [("Store", ["store.py"]), ("Detectors", ["pii.py", "detect"]), ("HTTP", ["main.py"])]
+_LINES = f"SELECT CASE WHEN p_partkey % 50 = 49 THEN 'broken line' ELSE {pick(*_STACKS, key='p_partkey')} || ' ' || p_size END AS value FROM part"
+_KINDS = f"SELECT {pick('Store', 'Detectors', 'Idle', 'HTTP', 'Other', 'Detectors', key='p_partkey')} AS category, {pick('heap', 're', 'wait', 'json', 'y', 'pii.py:detect', key='p_partkey')} AS function, p_size FROM part WHERE p_partkey % 50 <> 49"
 
 
-@query(
-    """SELECT category, sum(n)::BIGINT AS samples, round(sum(n) / 207.0::DOUBLE, 9) AS share FROM (VALUES ('Store', 30), ('Detectors', 50), ('Idle', 100), ('HTTP', 15), ('Other', 5), ('Detectors', 7)) t(category, n) GROUP BY category"""
-)
+def _stacks(spark, sf_dir):
+    value = F.expr(_LINES[7 : _LINES.index(" AS value")].replace("|| p_size", "|| CAST(p_size AS STRING)"))
+    return readers.folded_stacks(table(spark, sf_dir, "part").select(value.alias("value")))
+
+
+def _category():
+    return analytics.categorise(F.col("frames"), _RULES, "_worker", ("pii.py", "main.py", "store.py"))
+
+
+@query(f"WITH s AS ({_KINDS}) SELECT category, sum(p_size)::BIGINT AS samples, round(sum(p_size)::DOUBLE / (SELECT sum(p_size) FROM s), 9) AS share FROM s GROUP BY category")
 def profile_shares(spark, sf_dir):
-    lines = small(spark, [(f"{s} {n}",) for s, n in _STACKS] + [("broken line",), ("",)], "value string")
-    stacks = readers.folded_stacks(lines)
-    kind = analytics.categorise(F.col("frames"), _RULES, "_worker", ("pii.py", "main.py", "store.py"))
-    return analytics.profile_shares(stacks, kind).withColumn("share", F.round("share", 9))
+    """Folded stacks made from all parts, by category."""
+    return analytics.profile_shares(_stacks(spark, sf_dir), _category()).withColumn("share", F.round("share", 9))
+
 
+@query(f"SELECT category, function, sum(p_size)::BIGINT AS samples FROM ({_KINDS}) GROUP BY ALL ORDER BY samples DESC, category, function LIMIT 4")
+def profile_top_functions(spark, sf_dir):
+    return analytics.top_functions(_stacks(spark, sf_dir), _category(), 4)
 
-@query("SELECT * FROM (VALUES ('requests_total', 12.0::DOUBLE), ('rss_bytes', 5.5::DOUBLE)) t(name, value)")
+
+@query("SELECT 'm' || c_custkey AS name, c_nationkey + 0.5::DOUBLE AS value FROM customer WHERE c_custkey % 4 = 0")
 def prometheus_scan(spark, sf_dir):
-    return readers.prometheus(small(spark, [("# HELP x",), ("requests_total 12",), ("",), ("rss_bytes 5.5",), ("bad nan?",), ("alone",)], "value string"))
+    """Metric lines made from all customers, with comments, blanks and unreadable ones."""
+    line = in_turn(["'m' || CAST(k AS STRING) || '  ' || CAST(n + 0.5 AS STRING)", "'# HELP m' || CAST(k AS STRING)", "'   '", "'m' || CAST(k AS STRING) || ' none'"])
+    return readers.prometheus(table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_nationkey AS n").selectExpr(f"{line} AS value"))
+
+
+@query("SELECT 'veilspan_' || event_type || ' ' || count(*) AS value FROM events GROUP BY event_type")
+def metric_lines(spark, sf_dir):
+    """Counters of all events as lines of metric text."""
+    counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("value"))
+    return analytics.exporter(counts)
+
+
+@query("SELECT 'requests_' || event_type AS name, count(*) AS value FROM events GROUP BY event_type")
+def outcome_counters(spark, sf_dir):
+    return sessions.outcome_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("outcome")))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT d.doc_id, count(value)::INT AS placeholders, 0 AS raw_emails FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id")
+def echo_report(spark, sf_dir):
+    """What a back end that only echoes would see of all documents once they are masked."""
+    masked = masking.mask(table(spark, sf_dir, "documents").select("doc_id", "text"), policy=NATIVE, native=True)
+    return analytics.echo_report(masked.select("doc_id", F.col("masked").alias("text"))).select("doc_id", "placeholders", "raw_emails")
+
+
+@query(
+    """SELECT 'Клиент ' || i || ', почта user' || i || '@mail.example.com, телефон +7 912 ' || substr(n, 1, 3) || '-' || substr(n, 4, 2) || '-' || substr(n, 6, 2) AS payload, 'load-' || i AS payload_id
+    FROM (SELECT i, lpad(CAST(i * 7919 % 10000000 AS VARCHAR), 7, '0') AS n FROM (SELECT unnest(range(count(*))) AS i FROM customer))"""
+)
+def payload_generator(spark, sf_dir):
+    """As many made-up payloads as there are customers."""
+    return readers.synthetic_payloads(spark, table(spark, sf_dir, "customer").count())
 
 
 _LEXICON = ("the", "and", "que", "der", "les")
@@ -460,59 +493,108 @@ def mask_documents(spark, sf_dir):
     return each.groupBy("lang", F.col("m.pii_type").alias("pii_type")).agg(F.count("*").alias("n"), F.round(F.avg("m.confidence"), 9).alias("confidence"))
 
 
-_FIXTURE = [
-    (1, "Регистрация: 101000, г. Москва, ул. Тверская, д. 1. Позвоните мне."),
-    (2, "Отделение банка по адресу: г. Москва, ул. Тверская, д. 5"),
-    (3, "паспорт 4509 123456 выдан УФМС России по г. Москве 15.03.2010, код подразделения 770-001"),
-    (4, "дата рождения: 15.03.1990, родился в г. Москва, гражданство: Российская Федерация."),
-    (5, "Карта 4111 1111 1111 1111, CVV 123, пин 4321, держатель карты IVAN PETROV"),
-    (6, "Клиент Смирнова Анна Ивановна, телефон 9123456789"),
-    (7, "Лев Николаевич Толстой родился давно"),
-]
+_CITY, _STREET = pick("Тверь", "Казань", "Омск", "Пермь"), pick("Садовая", "Лесная", "Полевая")
+
+
+def _spans(spark, sf_dir, text, types):
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"{text} AS text")
+    return exploded(masking.mask(rows, policy=masking.Policy(types)), "matches", "k").select("k", "m.pii_type", "m.start", "m.value")
+
+
+def _spans_sql(*found: tuple[str, str, str]) -> str:
+    """(type, SQL of the start, SQL of the value) of the findings in each customer's text."""
+    each = ", ".join(f"{{'t': '{t}', 's': CAST({a} AS INT), 'v': {v}}}" for t, a, v in found)
+    return f"SELECT k, x.t AS pii_type, x.s AS start, x.v AS value FROM (SELECT k, unnest([{each}]) AS x FROM (SELECT c_custkey AS k FROM customer))"
 
 
-def _fixture_found(spark, types):
-    df = small(spark, _FIXTURE, "id long, text string")
-    return masking.mask(df, policy=masking.Policy(types)).select("id", F.explode("matches").alias("m")).select("id", "m.pii_type", "m.start", "m.value")
+_AT_CITY, _AT_STREET = "21 + 6 + 5", f"21 + 6 + 5 + length({_CITY}) + 6"
 
 
 @query(
-    """SELECT * FROM (VALUES (1::BIGINT, 'ADDRESS', 13, '101000'), (1, 'ADDRESS', 24, 'Москва'), (1, 'ADDRESS', 36, 'Тверская'), (1, 'ADDRESS', 49, '1')) t(id, pii_type, start, value)"""
+    _spans_sql(("ADDRESS", "21", digits(6, 104729)), ("ADDRESS", _AT_CITY, _CITY), ("ADDRESS", _AT_STREET, _STREET), ("ADDRESS", f"{_AT_STREET} + length({_STREET}) + 5", "CAST(1 + k % 90 AS VARCHAR)"))
 )
 def address_spans(spark, sf_dir):
-    return _fixture_found(spark, ("ADDRESS",)).where("id < 3")
+    """The parts of each customer's address, with offsets."""
+    text = f"'Проживает по адресу: ' || {digits(6, 104729)} || ', г. ' || {_CITY} || ', ул. ' || {_STREET} || ', д. ' || CAST(1 + k % 90 AS STRING) || '. Звонить вечером'"
+    return _spans(spark, sf_dir, text, ("ADDRESS",))
+
+
+_COUNTRY, _OFFICE = pick("Армения", "Грузия"), pick("ОВД Северный", "ОВД Южный")
 
 
 @query(
-    """SELECT * FROM (VALUES (3::BIGINT, 'PASSPORT_AUTHORITY', 26, 'УФМС России по г. Москве'), (4, 'BIRTH_PLACE', 37, 'г. Москва'), (4, 'CITIZENSHIP', 61, 'Российская Федерация')) t(id, pii_type, start, value)"""
+    _spans_sql(("BIRTH_PLACE", "18", _CITY), ("CITIZENSHIP", f"18 + length({_CITY}) + 15", _COUNTRY), ("PASSPORT_AUTHORITY", f"18 + length({_CITY}) + 15 + length({_COUNTRY}) + 12", _OFFICE))
 )
 def marker_values(spark, sf_dir):
-    return _fixture_found(spark, ("PASSPORT_AUTHORITY", "BIRTH_PLACE", "CITIZENSHIP"))
+    """Values that follow a marker, with offsets."""
+    text = f"'место рождения г. ' || {_CITY} || ', гражданство: ' || {_COUNTRY} || ', кем выдан ' || {_OFFICE} || ', ниже'"
+    return _spans(spark, sf_dir, text, ("PASSPORT_AUTHORITY", "BIRTH_PLACE", "CITIZENSHIP"))
+
+
+_HOLDER = pick("OLGA BELOVA", "PAVEL SOKOLOV")
+
+
+@query(_spans_sql(("CARD", "6", "'4111 1111 1111 1111'"), ("CVV", "31", digits(3)), ("PIN", "40", digits(4, 31)), ("CARD_HOLDER", "62", _HOLDER)))
+def context_values(spark, sf_dir):
+    """Values that only their context makes out, with offsets."""
+    text = f"'Карта 4111 1111 1111 1111, cvv ' || {digits(3)} || ', пин ' || {digits(4, 31)} || '. держатель карты ' || {_HOLDER}"
+    return _spans(spark, sf_dir, text, ("CARD", "CVV", "PIN", "CARD_HOLDER"))
 
 
 @query(
-    """SELECT * FROM (VALUES (5::BIGINT, 'CARD', '4111 1111 1111 1111'), (5, 'CVV', '123'), (5, 'PIN', '4321'), (5, 'CARD_HOLDER', 'IVAN PETROV'), (6, 'PERSON', 'Смирнова Анна Ивановна'), (6, 'PHONE', '9123456789')) t(id, pii_type, value)"""
+    """SELECT c_custkey AS k, round(CASE c_custkey % 4 WHEN 0 THEN 0.55 + 0.35 * (1 - n / 49.0) WHEN 1 THEN 0.55 + 0.35 * (1 - n / 49.0) * 0.75 WHEN 2 THEN 0.55
+      ELSE CASE WHEN n > 48 THEN 0.55 ELSE 0.55 - 0.55 * (1 - n / 49.0) END END, 9)::DOUBLE AS confidence
+    FROM (SELECT c_custkey, 1 + CASE WHEN c_custkey % 4 = 3 THEN c_custkey % 60 ELSE c_custkey % 40 END AS n FROM customer)"""
 )
-def context_values(spark, sf_dir):
-    return _fixture_found(spark, ("CARD", "CVV", "PIN", "CARD_HOLDER", "PERSON", "PHONE")).select("id", "pii_type", "value")
+def context_scores(spark, sf_dir):
+    """How the score of a number falls with its distance to a phrase, over a soft and a hard boundary, and for a phrase against it."""
+    n, number = "(1 + CASE WHEN k % 4 = 3 THEN k % 60 ELSE k % 40 END)", f"'9' || {digits(9)}"
+    text = in_turn([f"'телефон' || repeat(' ', {n}) || {number}", f"'телефон:' || repeat(' ', {n} - 1) || {number}", f"'телефон;' || repeat(' ', {n} - 1) || {number}", f"'договор' || repeat(' ', {n}) || {number}"])
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"{text} AS text")
+    return exploded(rows, detectors.detect(F.col("text"), ("PHONE",)), "k").select("k", F.round("m.confidence", 9).alias("confidence"))
+
 
+def _shaky(text: str):
+    """A plug-in that fails for some texts."""
+    if "1" in text:
+        raise ValueError("not these")
+    return [("NUMBER", 0, len(text), 0.9)]
 
-@query("SELECT 1::BIGINT AS id, unnest(['zip', 'city', 'street', 'house']) AS type, unnest(['101000', 'Москва', 'Тверская', '1']) AS value")
-def address_granules(spark, sf_dir):
-    @F.pandas_udf("array<struct<type:string,value:string>>")
-    def parts(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [g for a in address.parse(t) for g in a["granules"]])
 
-    return small(spark, _FIXTURE[:2], "id long, text string").select("id", F.explode(parts("text")).alias("g")).select("id", "g.type", "g.value")
+@query("SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT LIKE '%1%'")
+def plugin_failures(spark, sf_dir):
+    """With rule_only a plug-in that fails is left out for that text."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("text"))
+    return exploded(rows, detectors.detect(F.col("text"), (), plugins={"shaky": _shaky}, degradation="rule_only"), "k").select("k", "m.value")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0, 'Иванов Иван', 0.85::DOUBLE), (1, 14, 'Полищук Максим', 0.9)) t(id, start, value, confidence)")
+_FIRST, _SECOND = pick("Белова Ольга", "Соколов Павел", "Ким Анна"), pick("Орлов Пётр", "Ли Вера")
+
+
+@query(
+    f"""SELECT k, x.s AS start, x.v AS value, x.c AS confidence FROM (SELECT k, unnest([{{'s': 0, 'v': {_FIRST}, 'c': 0.85::DOUBLE}}, {{'s': CAST(length({_FIRST}) + 3 AS INT), 'v': {_SECOND}, 'c': 0.9::DOUBLE}}]) AS x
+    FROM (SELECT c_custkey AS k FROM customer)) WHERE NOT (k % 7 = 0 AND x.s = 0)"""
+)
 def ner_names(spark, sf_dir):
-    text = "Иванов Иван и Полищук Максим, ООО Вега"
-    tokens = [("B-PER", 0, 6, 0.95), ("I-PER", 7, 11, 0.85), ("I-PER", 12, 13, 0.9), ("I-PER", 14, 21, 0.9), ("I-PER", 22, 28, 0.9), ("B-ORG", 34, 38, 0.99)]
-    df = small(spark, [(1, text, tokens)], f"id long, text string, tokens array<{ner.TOKEN}>")
-    out = df.select("id", F.explode(ner.from_predictions(F.col("text"), F.col("tokens"))).alias("m"))
-    return out.select("id", "m.start", "m.value", "m.confidence")
+    """Token predictions of each customer's text to names: cut at conjunctions, as sure as the least sure token, other labels and doubtful names left out."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"{_FIRST} AS a", f"{_SECOND} AS b")
+    text = F.concat("a", F.lit(" и "), "b", F.lit(", ООО Вега"))
+    n, first, second = F.length("a"), F.position(F.lit(" "), F.col("a")), F.position(F.lit(" "), F.col("b"))
+
+    def token(label: str, start, end, sure):
+        return F.struct(F.lit(label).alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"), sure.cast("double").alias("confidence"))
+
+    at = n + 3
+    tokens = F.array(
+        token("B-PER", F.lit(0), first - 1, F.when(F.col("k") % 7 == 0, 0.5).otherwise(0.95)),
+        token("I-PER", first, n, F.lit(0.85)),
+        token("I-PER", n + 1, n + 2, F.lit(0.9)),
+        token("I-PER", at, at + second - 1, F.lit(0.9)),
+        token("I-PER", at + second, at + F.length("b"), F.lit(0.9)),
+        token("B-ORG", at + F.length("b") + 6, at + F.length("b") + 10, F.lit(0.99)),
+    )
+    rows = rows.select("k", text.alias("text"), tokens.alias("tokens"))
+    return exploded(rows, ner.from_predictions(F.col("text"), F.col("tokens")), "k").select("k", "m.start", "m.value", "m.confidence")
 
 
 @query()
@@ -523,44 +605,102 @@ def ner_backend(spark, sf_dir):
     return exploded(tokens, ner.from_predictions(F.col("text"), F.col("tokens")), "role").groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'd' AS dataset, * FROM (VALUES ('CARD', 0, 0, 1, 0, 0), ('EMAIL', 1, 1, 0, 0, 0), ('PHONE', 0, 0, 0, 1, 1)) t(pii_type, tp, fp, fn, span_errors, type_errors)")
+@query(
+    """WITH each AS (SELECT 'd' || c_custkey % 2 AS dataset, unnest(CASE c_custkey % 6 WHEN 0 THEN [{'t': 'EMAIL', 'tp': 1, 'fp': 0, 'fn': 0, 's': 0, 'y': 0, 'l': 0, 'o': 0}]
+        WHEN 1 THEN [{'t': 'PHONE', 'tp': 0, 'fp': 0, 'fn': 0, 's': 1, 'y': 0, 'l': 1, 'o': 0}] WHEN 2 THEN [{'t': 'PHONE', 'tp': 0, 'fp': 0, 'fn': 0, 's': 0, 'y': 1, 'l': 0, 'o': 0}]
+        WHEN 3 THEN [{'t': 'CARD', 'tp': 0, 'fp': 0, 'fn': 1, 's': 0, 'y': 0, 'l': 1, 'o': 0}] WHEN 4 THEN [{'t': 'EMAIL', 'tp': 0, 'fp': 1, 'fn': 0, 's': 0, 'y': 0, 'l': 0, 'o': 0}]
+        ELSE [{'t': 'CARD', 'tp': 1, 'fp': 0, 'fn': 0, 's': 0, 'y': 0, 'l': 0, 'o': 0}, {'t': 'EMAIL', 'tp': 0, 'fp': 0, 'fn': 0, 's': 1, 'y': 0, 'l': 0, 'o': 1}] END) AS x FROM customer)
+    SELECT dataset, x.t AS pii_type, sum(x.tp)::INT AS tp, sum(x.fp)::INT AS fp, sum(x.fn)::INT AS fn, sum(x.s)::INT AS span_errors, sum(x.y)::INT AS type_errors, sum(x.l)::INT AS partial_leaks, sum(x.o)::INT AS overmasking
+    FROM each GROUP BY ALL"""
+)
 def quality_cases(spark, sf_dir):
-    """One case of each kind of error."""
-    e = "array<struct<type:string,start:int,end:int,value:string>>"
-    a = S.MATCHES
-    rows = [
-        (1, [("EMAIL", 0, 5, "")], [("EMAIL", "", 0, 5, 1.0)]),
-        (2, [("PHONE", 0, 5, "")], [("PHONE", "", 1, 5, 1.0)]),
-        (3, [("PHONE", 0, 5, "")], [("INN", "", 0, 5, 1.0)]),
-        (4, [("CARD", 0, 5, "")], []),
-        (5, [], [("EMAIL", "", 3, 9, 1.0)]),
+    """One case of a kind of error for each customer: found, too short, of another type, missed, invented, and two entities of which one is too wide."""
+    k, start = F.col("k"), (F.col("k") % 9).cast("int")
+
+    def want(kind: str, a: int, b: int):
+        return F.struct(F.lit(kind).alias("type"), (start + a).alias("start"), (start + b).alias("end"), F.lit("").alias("value"))
+
+    def have(kind: str, a: int, b: int):
+        return F.struct(F.lit(kind).alias("pii_type"), F.lit("").alias("value"), (start + a).alias("start"), (start + b).alias("end"), F.lit(1.0).alias("confidence"))
+
+    none_want, none_have = F.array().cast(readers.ENTITY), F.array().cast(S.MATCHES)
+    steps = [
+        ([want("EMAIL", 0, 5)], [have("EMAIL", 0, 5)]),
+        ([want("PHONE", 0, 5)], [have("PHONE", 1, 5)]),
+        ([want("PHONE", 0, 5)], [have("INN", 0, 5)]),
+        ([want("CARD", 0, 5)], []),
+        ([], [have("EMAIL", 3, 9)]),
+        ([want("CARD", 0, 5), want("EMAIL", 7, 12)], [have("EMAIL", 6, 12), have("CARD", 0, 5)]),
     ]
-    cases = small(spark, rows, f"id int, expected {e}, actual {a}").withColumn("dataset", F.lit("d"))
-    return evaluation.quality(cases).where("pii_type is not null").select("dataset", "pii_type", *[F.col(c).cast("int").alias(c) for c in ("tp", "fp", "fn", "span_errors", "type_errors")])
+    expected, actual = none_want, none_have
+    for i, (e, a) in enumerate(steps):
+        expected = F.when(k % 6 == i, F.array(*e) if e else none_want).otherwise(expected)
+        actual = F.when(k % 6 == i, F.array(*a) if a else none_have).otherwise(actual)
+    cases = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").select(F.concat(F.lit("d"), (k % 2).cast("string")).alias("dataset"), expected.alias("expected"), actual.alias("actual"))
+    return evaluation.quality(cases).where("pii_type is not null").select("dataset", "pii_type", *[F.col(c).cast("int").alias(c) for c in evaluation.COUNTS])
 
 
-@query("SELECT conv_id, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
-def chat_explode(spark, sf_dir):
-    """Conversations folded to chat requests and unfolded again."""
-    m = F.struct(F.col("turn").alias("t"), F.col("role"), F.col("text").alias("content"))
-    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("messages"))
-    return readers.chat_messages(chats).groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"))
+_RATES_SQL = f"""WITH each AS ({_EACH_SQL}),
+    sums AS (SELECT dataset, pii_type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(span_errors + type_errors)::BIGINT AS wrong FROM each GROUP BY ROLLUP (dataset, pii_type)),
+    rates AS (SELECT *, tp::DOUBLE / (tp + fp + wrong) AS p, tp::DOUBLE / (tp + fn + wrong) AS r, tp::DOUBLE / (tp + wrong) AS e, 2 * p * r / (p + r) AS f1 FROM sums WHERE dataset IS NOT NULL)"""
+
+
+@query(f"{_RATES_SQL} SELECT dataset, round(avg(f1) FILTER (pii_type IS NOT NULL), 9) AS macro_f1, round(max(f1) FILTER (pii_type IS NULL), 9) AS micro_f1 FROM rates GROUP BY dataset")
+def quality_macro(spark, sf_dir):
+    out = evaluation.macro_micro(evaluation.rollup(_each(spark, sf_dir)))
+    return out.select("dataset", F.round("macro_f1", 9).alias("macro_f1"), F.round("micro_f1", 9).alias("micro_f1"))
+
+
+@query(f"{_RATES_SQL} SELECT dataset, round(e, 9) AS exact_span, round(f1, 9) AS f1 FROM rates WHERE pii_type IS NULL AND (f1 < CASE dataset WHEN 'd0' THEN 0.99 ELSE 0.1 END - 0.01 OR r < 0.5 OR e < 0.7)")
+def quality_ratchet(spark, sf_dir):
+    """Datasets under their baselines or the floors."""
+    baseline = _each(spark, sf_dir).select("dataset").distinct().select("dataset", F.when(F.col("dataset") == "d0", 0.99).otherwise(0.1).alias("f1"))
+    out = evaluation.ratchet(evaluation.rollup(_each(spark, sf_dir)), baseline)
+    return out.select("dataset", F.round("exact_span", 9).alias("exact_span"), F.round("f1", 9).alias("f1"))
+
+
+_PAIR_SQL = "SELECT l_orderkey AS doc, l_linenumber AS n, CAST(l_partkey % 400 AS INT) AS a, CAST(l_partkey % 400 + 1 + l_suppkey % 90 AS INT) AS b, CAST(l_suppkey % 400 AS INT) AS c, CAST(l_suppkey % 400 + 1 + l_partkey % 70 AS INT) AS d FROM lineitem"
+
 
+@query(f"WITH s AS ({_PAIR_SQL}) SELECT x.doc, x.n, y.n AS m, least(x.b, y.d) - greatest(x.a, y.c) AS common FROM s x JOIN s y ON x.doc = y.doc AND x.a < y.d AND y.c < x.b")
+def span_overlaps(spark, sf_dir):
+    """Every pair of overlapping spans of two sets in the same document, by a range join."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc", "l_linenumber AS n", "CAST(l_partkey % 400 AS INT) AS a", "CAST(l_suppkey % 90 AS INT) AS u", "CAST(l_suppkey % 400 AS INT) AS c", "CAST(l_partkey % 70 AS INT) AS v")
+    left = rows.select("doc", "n", F.col("a").alias("start"), (F.col("a") + 1 + F.col("u")).alias("end"))
+    right = rows.select("doc", F.col("n").alias("m"), F.col("c").alias("start"), (F.col("c") + 1 + F.col("v")).alias("end"))
+    return evaluation.overlap_join(left, right, "doc").select("doc", "n", "m", "common")
 
-@query("SELECT unnest(['data: {\"choices\": [{\"delta\": {\"content\": \"Иван пишет\"}}]}', 'data: [DONE]']) AS line")
-def sse_demask(spark, sf_dir):
-    import json
 
-    lines = [f'data: {json.dumps({"choices": [{"delta": {"content": c}}]})}' for c in ("__PII_PER", "SON_1__ пишет")] + ["data: [DONE]"]
-    d = restore.SseDemasker({"__PII_PERSON_1__": "Иван"})
-    return small(spark, [(x,) for line in lines for x in d.feed(line)], "line string")
+@query(
+    """SELECT l_orderkey AS doc, l_linenumber AS n, 'T' || l_linenumber AS type, CAST(l_partkey % 50 AS INT) AS start, CAST(l_partkey % 50 + 3 AS INT) AS "end" FROM lineitem WHERE l_linenumber % 3 > 0"""
+)
+def entities_parse(spark, sf_dir):
+    """Annotations in a JSON column, null and blank ones among them."""
+    json = F.when(F.col("l_linenumber") % 3 == 0, F.when(F.col("l_partkey") % 2 == 0, " ")).otherwise(
+        F.format_string('[{"type": "T%d", "start": %d, "end": %d, "value": "abc"}]', "l_linenumber", F.col("l_partkey") % 50, F.col("l_partkey") % 50 + 3)
+    )
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), readers.entities(json).alias("e"))
+    return exploded(rows, "e", "doc", "n").select("doc", "n", "m.type", "m.start", "m.end")
+
+
+@query("""SELECT k, x.s AS start, x.e AS "end", x.v AS value FROM (SELECT k, unnest([{'s': 5, 'e': 6 + length(k::VARCHAR), 'v': 'N' || k}, {'s': 9 + length(k::VARCHAR), 'e': 10 + 2 * length(k::VARCHAR), 'v': 'M' || k}]) AS x FROM (SELECT c_custkey AS k FROM customer))""")
+def annotate_cases(spark, sf_dir):
+    """Expected spans to entities with offsets."""
+    k = F.col("k").cast("string")
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").select("k", k.alias("id"), F.lit("NAME").alias("category"), F.concat(F.lit("name N"), k, F.lit(" + M"), k, F.lit(" end")).alias("text"), F.concat(F.lit("N"), k, F.lit("; M"), k).alias("expected_span"))
+    out = readers.annotated(rows)
+    return exploded(out, readers.entities(F.col("expected_entities")), "k").select("k", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.value")
+
 
+@query("SELECT DISTINCT value FROM (SELECT CASE c_custkey % 5 WHEN 0 THEN 'анна' WHEN 1 THEN 'ivan' WHEN 2 THEN 'петровна' WHEN 3 THEN 'о' ELSE 'ильич' END AS value FROM customer) WHERE value IN ('петровна', 'ильич')")
+def lexicon_patronymics(spark, sf_dir):
+    words = table(spark, sf_dir, "customer").selectExpr(f"{pick('анна', 'ivan', 'петровна', 'о', 'ильич', key='c_custkey')} AS value").distinct()
+    return readers.lexicon_filter(words, "patronymic")
 
-@query("SELECT * FROM (VALUES (5::BIGINT, 'CARD', '4111 1111 1111 1111'), (5, 'CVV', '123'), (5, 'PIN', '4321'), (5, 'CARD_HOLDER', 'IVAN PETROV'), (6, 'PERSON', 'Смирнова Анна Ивановна'), (6, 'PHONE', '9123456789')) t(id, pii_type, value)")
-def sql_table_function(spark, sf_dir):
-    """The table function in SQL text."""
-    from . import sql
 
-    sql.register(spark)
-    small(spark, _FIXTURE[4:6], "id long, text string").createOrReplaceTempView("veilspan_fixture")
-    return spark.sql("SELECT f.id, s.pii_type, s.value FROM veilspan_fixture f, LATERAL detect_spans(f.text) s")
+@query("SELECT conv_id, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
+def chat_explode(spark, sf_dir):
+    """Conversations folded to chat requests and unfolded again."""
+    m = F.struct(F.col("turn").alias("t"), F.col("role"), F.col("text").alias("content"))
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("messages"))
+    return readers.chat_messages(chats).groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"))

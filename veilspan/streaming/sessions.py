@@ -5,14 +5,16 @@ mask gives the original and completes the session; anything else is a conflict.
 then the id is gone for a while (a tombstone), and after that it is new again.
 
 Rows of a key are taken in order of time and ``seq`` by one state machine, so no request of a key
-has to wait for another one. Limits on the number of sessions and bytes of a whole service aren't
-keyed; here each key's state is bounded by the admission limits, and the state store spills.
+has to wait for another one. Each key's state is bounded by the admission limits. Limits on the sessions, bytes and
+tombstones of a service (``Limits``) hold for a shard of the ids: a shard is a service of its own, and its rows are
+taken one after the other; one shard is the whole service.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,7 +70,11 @@ def step(session: Session | None, now: float, payload: str, mask: Callable[[str]
             return session, 410, None, "expired"
         session = None
     if session is None:
-        session = Session(payload, mask(payload), False, now + ACTIVE_SECONDS)
+        try:
+            masked = mask(payload)
+        except Exception:  # a failed request leaves no session behind
+            return None, 500, None, "error"
+        session = Session(payload, masked, False, now + ACTIVE_SECONDS)
         return session, 200, session.masked, "mask"
     if payload == session.original:
         return session, 200, session.masked, "retry"
@@ -80,6 +86,75 @@ def step(session: Session | None, now: float, payload: str, mask: Callable[[str]
     return session, 409, None, "conflict"
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a shard holds at most: sessions, their bytes, and tombstones; and how many shards there are."""
+
+    entries: int = 100_000
+    bytes: int = 512 << 20
+    tombstones: int = 50_000
+    shards: int = 1
+
+
+@dataclass
+class Store:
+    """The sessions and tombstones of a shard, in order of their expiry."""
+
+    limits: Limits
+    live: dict[str, Session] = field(default_factory=dict)
+    dead: dict[str, float] = field(default_factory=dict)  #: until when an id is gone
+    size: int = 0
+    _due: list[tuple[float, str]] = field(default_factory=list)
+    _gone: list[tuple[float, str]] = field(default_factory=list)
+
+    @staticmethod
+    def weight(key: str, session: Session) -> int:
+        return len(session.original.encode()) + len(session.masked.encode()) + len(key.encode()) + SESSION_OVERHEAD
+
+    def _bury(self, key: str, now: float) -> None:
+        session = self.live.pop(key)
+        self.size -= self.weight(key, session)
+        until = session.expires_at + TOMBSTONE_SECONDS
+        if now < until:
+            self.dead[key] = until
+            heapq.heappush(self._gone, (until, key))
+
+    def evict(self, now: float) -> None:
+        """Sessions that have expired become tombstones, and tombstones whose time is over go; a completed session's old due time is skipped."""
+        while self._due and self._due[0][0] <= now:
+            _, key = heapq.heappop(self._due)
+            if key in self.live and self.live[key].expires_at <= now:
+                self._bury(key, now)
+        while self._gone and self._gone[0][0] <= now:
+            until, key = heapq.heappop(self._gone)
+            if self.dead.get(key) == until:
+                del self.dead[key]
+
+    def clear(self) -> None:
+        self.live.clear(), self.dead.clear(), self._due.clear(), self._gone.clear()
+        self.size = 0
+
+    def request(self, key: str, now: float, payload: str, mask: Callable[[str], str]) -> tuple[int, str | None, str]:
+        """One request: status, result and outcome. A live session answers first; then a tombstone; a new session needs room."""
+        self.evict(now)
+        if self.dead.get(key, now) > now:
+            large = step(None, now, payload, lambda text: text)[1] == 413
+            return (413, None, "too_large") if large else (410, None, "expired")
+        before = self.live.get(key)
+        if before is None:
+            full = len(self.live) >= self.limits.entries or len(self.dead) >= self.limits.tombstones
+            # as much as a payload that masking doesn't lengthen
+            if full or self.size + self.weight(key, Session(payload, payload, False, now)) > self.limits.bytes:
+                large = step(None, now, payload, lambda text: text)[1] == 413
+                return (413, None, "too_large") if large else (429, None, "full")
+        session, status, result, outcome = step(before, now, payload, mask)
+        if session is not None and session is not before:
+            self.live[key] = session
+            self.size += self.weight(key, session) - (self.weight(key, before) if before else 0)
+            heapq.heappush(self._due, (session.expires_at, key))
+        return status, result, outcome
+
+
 def _run(rows: pd.DataFrame, session: Session | None, mask: Callable[[str], str]) -> tuple[list[tuple], Session | None]:
     out = []
     for r in rows.sort_values(["ts", "seq"]).itertuples():
@@ -98,11 +173,12 @@ def _masker(policy: Policy) -> Callable[[str], str]:
 _COLUMNS = ["payload_id", "seq", "status", "result", "outcome"]
 
 
-def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT) -> DataFrame:
+def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, limits: Limits | None = None) -> DataFrame:
     """Answers to a list of requests (seq, ts, payload_id, payload), as if they had come one by one. Null ids or payloads are 422.
 
-    Rows are dealt by id and sorted; a task goes through them once and holds one session, however many
-    requests an id has.
+    Without limits rows are dealt by id and sorted; a task goes through them once and holds one session, however many
+    requests an id has. With limits they are dealt by shard, and a task holds a shard's sessions, which the limits bound;
+    a request that there is no room for is 429.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,15 +195,33 @@ def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT) -> DataF
                 out.append((who, seq, status, result, outcome))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
+    def run_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mask, shard, store = _masker(policy), None, Store(limits)
+        for rows in batches:
+            out = []
+            for of, seq, ts, who, payload in zip(rows["shard"], rows["seq"], rows["ts"], rows["payload_id"], rows["payload"]):
+                if of != shard:
+                    shard, store = of, Store(limits)
+                if not isinstance(who, str) or not isinstance(payload, str):
+                    out.append((who, seq, 422, None, "invalid"))
+                    continue
+                out.append((who, seq, *store.request(who, ts.timestamp(), payload, mask)))
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
     rows = events.select(F.col("seq").cast("long").alias("seq"), "ts", "payload_id", "payload")
-    return rows.repartition("payload_id").sortWithinPartitions("payload_id", "ts", "seq").mapInPandas(run, RESULT)
+    if limits is None:
+        return rows.repartition("payload_id").sortWithinPartitions("payload_id", "ts", "seq").mapInPandas(run, RESULT)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("payload_id"), F.lit(limits.shards)))
+    return rows.repartition("shard").sortWithinPartitions("shard", "ts", "seq").mapInPandas(run_shards, RESULT)
 
 
-def process_stream(events: DataFrame, policy: Policy = CONSUMER_DEFAULT) -> DataFrame:
+def process_stream(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, late: str = "1 minute") -> DataFrame:
     """The same as a streaming query: state is kept by id, and removed when its tombstone has passed.
 
-    Detection runs only for ids that are new. Time is the rows' ``ts``; the timer that removes old
-    state follows the clock.
+    Detection runs only for ids that are new. All time is the rows' ``ts``: state goes when the watermark (``late`` behind
+    the latest row) has passed the end of its tombstone, so a stream that stands still forgets nothing. Rows
+    older than the watermark are left out. A key's rows of one micro-batch are held together to be put in order; the
+    source's limit on a micro-batch bounds them.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -139,11 +233,12 @@ def process_stream(events: DataFrame, policy: Policy = CONSUMER_DEFAULT) -> Data
         out, session = _run(rows, session, _masker(policy))
         if session:
             state.update(astuple(session))
-            state.setTimeoutDuration(int((ACTIVE_SECONDS + TOMBSTONE_SECONDS) * 1000))
+            over = int((session.expires_at + TOMBSTONE_SECONDS) * 1000)
+            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
-    rows = events.where("payload_id is not null").select("seq", "ts", "payload_id", "payload")
-    return rows.groupBy("payload_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.where("payload_id is not null").withWatermark("ts", late).select("seq", "ts", "payload_id", "payload")
+    return rows.groupBy("payload_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 CHUNK_RESULT = "request_id string, seq long, text string"
