@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from veilspan.llm import simhash
@@ -59,7 +60,19 @@ def test_like_brute_force(spark):
     assert simhash.near_dedup(df.limit(0)).count() == 0
 
 
-def test_large_group_goes_through_blocks(spark, monkeypatch):
+def test_hashes_like_the_library():
+    r = np.random.default_rng(0)
+    for n in range(1, 100):
+        rows = r.integers(0, 256, (20, n)).astype(np.uint8)
+        assert simhash.xxh64(rows).tolist() == [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in rows]
+    data = r.integers(0, 256, 3000).astype(np.uint8)
+    a = r.integers(0, 1500, 500)
+    b = a + np.where(np.arange(500) % 50, r.integers(1, 60, 500), 1400)
+    assert simhash.shingle_hashes(data, a, b).tolist() == [xxhash.xxh64_intdigest(data[x:y].tobytes(), 42) for x, y in zip(a, b)]
+
+
+@pytest.mark.parametrize(("paired", "widths"), [(2, (32, 24, 18, 14)), (32, (32, 24, 18, 14)), (2, (32,))])
+def test_large_group_goes_through_blocks(spark, monkeypatch, paired, widths):
     """All fingerprints within a ball share keys; no link may get lost."""
     r = random.Random(1)
     centre = r.getrandbits(64)
@@ -69,6 +82,8 @@ def test_large_group_goes_through_blocks(spark, monkeypatch):
         nodes.add(x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
     nodes |= {r.getrandbits(64) for _ in range(50)}
     monkeypatch.setattr(simhash, "BLOCK", 60)
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(simhash, "WIDTHS", widths)
     signed = [int(np.array(n, np.uint64).view(np.int64)) for n in sorted(nodes)]
     found = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()
     up = {s: s for s in signed}

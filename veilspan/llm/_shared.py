@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import dropped, shared_dir, written
+
+__all__ = ["dropped", "shared_dir", "written"]
+
 #: A side is broadcast only if its written table has no more bytes than this.
 BROADCAST_BYTES = 16 << 20
 #: A key is hot if it has more than this share of the rows; at most 1 / HOT_SHARE keys can be.
@@ -29,31 +30,6 @@ def sliced(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(text, start + 1, take))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="veilspan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage and survives lost executors.
-
-    The table is removed when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a frame's size; for a scan, its files' bytes."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -103,17 +79,18 @@ def components(edges: DataFrame) -> DataFrame:
     count. Both sides of each join are plain scans, so AQE can split a hub's rows.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(None).cast("long").alias("was")))
     while True:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = written(labels.join(up, "label").select("node", F.least("label", "up").alias("label"), F.col("label").alias("was")))
+        jumped = written(labels.drop("was").join(up, "label").select("node", F.least("label", "up").alias("label"), F.col("label").alias("was")))
         near = both.join(jumped.select(F.col("node").alias("a"), "label"), "a").select(F.col("b").alias("node"), "label", F.lit(None).cast("long").alias("was"))
         new = written(
             near.union(jumped.select("node", "label", "was"))
             .groupBy("node")
             .agg(F.min("label").alias("label"), F.max("was").alias("was"))
         )
+        dropped(labels, jumped)
         if new.where(F.col("label") != F.col("was")).limit(1).count() == 0:
+            dropped(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
-
+        labels = new
