@@ -61,6 +61,8 @@ def test_long_texts_teach_by_a_stretch(spark):
     df = spark.createDataFrame(long + short, "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.train(df, F.lit(True))).collect()}
     assert all(got[i] == ("de" if i < 100 else "en") for i in got)
+    huge = spark.createDataFrame([("x" * 300_000,), (None,), ("",)], "t string").select(sliced(F.col("t"), 16384).alias("s")).collect()
+    assert [r.s if r.s is None else len(r.s) for r in huge] == [16384, None, 0]
     part = df.select("text", sliced(F.col("text"), 1000).alias("s")).collect()
     assert all(r.s in r.text and len(r.s.encode()) <= 1100 and (r.s == r.text or len(r.s) > 900) for r in part)
 

@@ -25,7 +25,7 @@ def arrow_rows(spark: SparkSession) -> None:
 def sliced(text: Column, most: int) -> Column:
     """A text of up to ``most`` bytes as it is; of a longer one a stretch of about ``most`` bytes, at a place given by its hash."""
     length = F.length(text)
-    take = F.floor(length * most / F.octet_length(text)).cast("int")
+    take = F.floor(length.cast("long") * most / F.octet_length(text)).cast("int")
     start = F.pmod(F.xxhash64(text), F.greatest(length - take, F.lit(1))).cast("int")
     return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(text, start + 1, take))
 
