@@ -55,3 +55,16 @@ def test_odd_documents(spark, sf, tmp_path):
             data = simhash.written(f(spark, data, sf))
         data.count()
     assert toxicity and bpe
+
+
+def test_columns_that_clash(spark, sf):
+    """Columns named like those of the stages' own tables stay as they are."""
+    extra = ("toxic", "score", "label", "fp", "thash", "item_id", "base", "cands", "n", "count", "least", "key")
+    rows = [(i, f"text number {i} about nothing", "en", "s", 20, *[f"{c}{i}" for c in extra]) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    data = docs
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        data = simhash.written(f(spark, data, sf))
+        assert data.columns == docs.columns
+    assert all(r[c] == f"{c}{r.doc_id}" for r in data.collect() for c in extra)
+    assert corpus_pipeline.STAGES[-1][1](spark, data, sf).count() == data.count()
