@@ -1,32 +1,48 @@
 """Suffix-array dedup by difference-cover blockwise construction.
 
-Only suffixes at the residues of a difference cover modulo v are hashed first, not ranked: for any two
-positions there is a shift under v that takes both to cover positions. So if the 200 bytes at
-two places are equal, the suffixes at a pair of cover positions within them are equal over
-200 - (v - 1) bytes. The cover sample is dealt to buckets and sorted one bucket at a time; a
-sample suffix that ties with another over that length marks the places where a long tie
-can be. Content-defined chunks that occur more than once are ties too, and only one of them
-goes on. Then the suffixes around the ties that are left, and no others, are dealt to suffix
-buckets by their first 200 bytes and sorted one bucket at a time. Memory is bounded by a bucket; the whole
-suffix array is never held, nor written.
-
-Suffixes are only compared over their first 200 bytes, as the result depends on no more. Keys
-are 64-bit fingerprints of those bytes, so the order within a bucket is not alphabetical; ties
-are what counts.
+Suffixes are ordered over their first ``length`` bytes, as the result depends on no more. With a
+cover modulo v, any two positions have a shift under v that takes both to cover positions, and
+the sample suffixes there, of DEPTH = length - (v - 1) bytes, lie within both strings.
+
+1. Hashes of a wide cover's samples say where strings can repeat at all; the rest is left out.
+2. Around these places the samples of a narrow cover (``order_cover``) are dealt to alphabetical
+   buckets, each bucket is sorted by itself, and samples that tie get the same rank.
+3. The suffixes before a tied sample are dealt to alphabetical buckets too, by their first v
+   bytes. Each bucket is sorted by itself; suffixes that tie over v bytes are ordered by their
+   samples' ranks at each shift, and by the at most v - 1 bytes after the sample. Neighbours
+   that are equal in all of this repeat.
+
+Steps 2 and 3 take TURNS groups of buckets one after the other, so the disk holds one group's
+strings at a time, and a task one bucket. The suffix array is never held, nor written.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .repeats import Spec, keyed, map_rows, repeated
+from ._shared import arrow_rows, buckets_for, written
+from ._text import slices, string_bytes, tidied
+from .repeats import BUCKET_BYTES, FOUND, Spec, _by_row, _from_planes, _planes, _ranges, _round, join_found, keyed, map_rows
 
 LENGTH = 200
-#: Mean bytes of a content-defined chunk.
-CHUNK = 64
+TURNS = 8
+#: Bytes of text of which the strings are built at once.
+PART_BYTES = 1 << 20
+#: Splitters of the alphabetical buckets come from at most this many places.
+SPLITTER_ROWS = 65536
+_PREFIX = 16
+_PLACE, _BOOK = 0, 1
+_SENT = "bucket int, batch long, kind int, h binary, n binary, p binary"
+_BACK = "batch long, kind int, h binary, p binary"
 
 
 def difference_cover(q: int) -> tuple[int, tuple[int, ...]]:
@@ -52,7 +68,227 @@ def spec(length: int = LENGTH) -> Spec:
     """Covers of at most two thirds of the length, so that a tie of the sample is still long."""
     q = max(q for q in (1, 2, 3, 5, 7, 11, 13, 17, 19, 23) if q == 1 or q * q + q + 1 <= 2 * length // 3)
     v, cover = (1, (0,)) if q == 1 else difference_cover(q)
-    return Spec("byte", length, length - v + 1, v, cover, CHUNK if length >= 32 else 0)
+    return Spec("byte", length, length - v + 1, v, cover)
+
+
+def order_cover(length: int) -> tuple[int, tuple[int, ...]]:
+    """The narrow cover, by which suffixes are ordered."""
+    return difference_cover(3) if length >= 40 else (1, (0,))
+
+
+def _splitters(docs: DataFrame, buckets: int) -> np.ndarray:
+    """First bytes of bucket 1, 2, ... from strings at evenly spaced places."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    step = max(total // min(16 * buckets, SPLITTER_ROWS), 1)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            found = []
+            for text, seed in zip(part.column(2).to_pylist(), part.column(1).to_pylist()):
+                raw = (text or "").encode()
+                found += [raw[i : i + _PREFIX] for i in range(seed % step, len(raw), step)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["prefix"])
+
+    found = np.sort(np.array([bytes(r[0]) for r in docs.mapInArrow(pick, "prefix binary").collect()], f"S{_PREFIX}"))  # SPLITTER_ROWS or so
+    return found[np.arange(1, buckets) * len(found) // buckets] if len(found) else found
+
+
+def _rows(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes as strings of one length, which sort alphabetically."""
+    return np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel()
+
+
+def _edges(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+
+
+def _turn(docs: DataFrame, build, sort, finish, splitters: np.ndarray, turn: int) -> DataFrame:
+    """One group of buckets: strings are built and dealt, each bucket is sorted, and the places go back to their batches."""
+
+    @tidied
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for part in slices(whole, limit=PART_BYTES):
+                data, first = string_bytes(part.column(2))
+                ids, null = part.column(0).fill_null(0).to_numpy(zero_copy_only=False), part.column(0).is_null().to_numpy(zero_copy_only=False)
+                thash = part.column(1).to_numpy(zero_copy_only=False)
+                book = np.concatenate(([len(ids)], ids, null, thash, first)).astype("<i8").tobytes()
+                batch = xxhash.xxh64_intdigest(book + f"{task}/{number}".encode()) >> 1
+                number += 1
+                out = [(int(batch % (len(splitters) + 1)), _BOOK, book, b"", b"")]
+                for bucket, h, n, p in build(data, first, part.column(3).to_pylist(), splitters, turn):
+                    out.append((bucket, _PLACE, h, n, p))
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0], pa.int32()), pa.array([batch] * len(out), pa.int64()), pa.array(cols[1], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[2:]],
+                    ["bucket", "batch", "kind", "h", "n", "p"],
+                )
+
+    def one(table: pa.Table) -> pa.Table:
+        kind, batch = table["kind"].to_numpy(), table["batch"].to_numpy()
+        h, n, p = table["h"].to_pylist(), table["n"].to_pylist(), table["p"].to_pylist()
+        out = [(int(batch[i]), _BOOK, h[i], b"") for i in np.flatnonzero(kind == _BOOK)]
+        at = np.flatnonzero(kind == _PLACE)
+        if len(at):
+            found = sort(table["bucket"][0].as_py(), [h[i] for i in at], [n[i] for i in at], [p[i] for i in at])
+            out += [(int(batch[i]), _PLACE, *x) for i, x in zip(at, found) if x is not None]
+        cols = list(zip(*out))
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["batch", "kind", "h", "p"])
+
+    def back(table: pa.Table) -> pa.Table:
+        kind, h, p = table["kind"].to_pylist(), table["h"].to_pylist(), table["p"].to_pylist()
+        book = np.frombuffer(h[kind.index(_BOOK)], "<i8")
+        n = int(book[0])
+        ids, null, thash, first = book[1 : n + 1], book[n + 1 : 2 * n + 1] == 1, book[2 * n + 1 : 3 * n + 1], book[3 * n + 1 :]
+        places = [i for i, k in enumerate(kind) if k == _PLACE]
+        cells = finish([h[i] for i in places], [p[i] for i in places], first)
+        rows = [i for i in range(n) if cells[i]]
+        got = pa.array([cells[i] for i in rows], pa.binary())
+        return pa.table([pa.array(ids[rows], mask=null[rows]), pa.array(thash[rows]), got, got], ["doc_id", "thash", "ask", "sure"])
+
+    sent = docs.mapInArrow(send, _SENT)
+    return written(sent.groupBy("bucket").applyInArrow(one, _BACK).groupBy("batch").applyInArrow(back, FOUND))
+
+
+def _dealt(key: np.ndarray, splitters: np.ndarray, turn: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of the sorted strings, for the buckets of this turn."""
+    where = np.searchsorted(splitters, key, "right")
+    begin = _edges(where)
+    for a, b in zip(begin.tolist(), np.append(begin[1:], len(where)).tolist()):
+        if where[a] % TURNS == turn:
+            yield int(where[a]), a, b
+
+
+def _ranks(docs: DataFrame, length: int, splitters: np.ndarray, turn: int) -> DataFrame:
+    """Tied cover samples and their ranks."""
+    v, cover = order_cover(length)
+    depth = length - v + 1
+    chosen = np.isin(np.arange(v), cover)
+
+    def build(data, first, asked, splitters, turn):
+        want = np.zeros(len(data) + 1, bool)
+        for f, e, x in zip(first[:-1], first[1:], asked):
+            for a, b in zip(*_ranges(x)):
+                want[f + a : min(f + b + v - 1, e - depth + 1)] = True
+        at = np.flatnonzero(want)
+        at = at[chosen[(at - first[np.searchsorted(first, at, "right") - 1]) % v]]
+        if not len(at):
+            return
+        text = np.lib.stride_tricks.sliding_window_view(data, depth)
+        key = _rows(text[at])
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        edge = np.append(_edges(key), len(key))
+        key = key[edge[:-1]]
+        for bucket, a, b in _dealt(key.astype(splitters.dtype), splitters, turn):
+            yield bucket, key[a:b].view(np.uint8).tobytes(), _planes(np.diff(edge[a : b + 1]), 4), _planes(at[edge[a] : edge[b]], 4)
+
+    def sort(bucket, h, n, p):
+        keys, counts = [np.frombuffer(x, f"S{depth}") for x in h], [_from_planes(x, 4).astype(np.int64) for x in n]
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key, kind="stable")
+        begin = _edges(key[order])
+        size = np.diff(np.append(begin, len(key)))
+        rank = np.zeros(len(key), np.uint64)
+        tied = np.add.reduceat(count[order], begin) > 1
+        rank[order] = np.repeat(np.where(tied, (bucket << 28) + 1 + np.arange(len(begin)), 0), size).astype(np.uint64)
+        at = 0
+        for k, c, x in zip(keys, counts, p):
+            mine = np.repeat(rank[at : at + len(k)], c)
+            at += len(k)
+            yield (_planes(mine[mine > 0], 6), _planes(_from_planes(x, 4)[mine > 0], 4)) if mine.any() else None
+
+    def finish(h, p, first):
+        rank = np.concatenate([_from_planes(x, 6) for x in h] or [np.zeros(0, np.uint64)])
+        at = np.concatenate([_from_planes(x, 4) for x in p] or [np.zeros(0, np.uint64)]).astype(np.int64)
+        order = np.argsort(at)
+        rank, at = rank[order], at[order]
+        cut = np.searchsorted(at, first)
+        return [np.concatenate((at[a:b] - f, rank[a:b].astype(np.int64))).astype("<i8").tobytes() if b > a else b"" for a, b, f in zip(cut[:-1], cut[1:], first[:-1])]
+
+    return _turn(docs, build, sort, finish, splitters, turn)
+
+
+def _ties(docs: DataFrame, length: int, splitters: np.ndarray, turn: int) -> DataFrame:
+    """Suffixes that tie over ``length`` bytes, as runs of places."""
+    v, cover = order_cover(length)
+    depth, many = length - v + 1, len(cover)
+    shifts = np.array([[d for d in range(v) if (r + d) % v in cover] for r in range(v)])
+    width = 2 * v - 1 + 6 * many + 1
+
+    def build(data, first, ranked, splitters, turn):
+        rank, want = np.zeros(len(data) + v, np.uint64), np.zeros(len(data) + 1, bool)
+        for f, e, cells in zip(first[:-1], first[1:], ranked):
+            for x in set(map(bytes, cells or [])):
+                place, r = np.frombuffer(x, "<i8").reshape(2, -1)
+                rank[f + place] = r.astype(np.uint64)
+                for d in range(v):
+                    i = place - d
+                    want[f + i[(i >= 0) & (i <= e - f - length)]] = True
+        at = np.flatnonzero(want)
+        if not len(at):
+            return
+        front = np.lib.stride_tricks.sliding_window_view(data, v)
+        key = _rows(front[at])
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        residue = (at - first[np.searchsorted(first, at, "right") - 1]) % v
+        low = rank[at[:, None] + shifts[residue]].astype("<u8").view(np.uint8).reshape(len(at), many, 8)[:, :, :6].reshape(len(at), -1)
+        tail = data[at[:, None] + np.arange(depth, length)]
+        record = np.hstack((front[at], tail, low, residue[:, None].astype(np.uint8)))
+        for bucket, a, b in _dealt(key, splitters.astype(f"S{v}"), turn):
+            yield bucket, record[a:b].T.tobytes(), b"", _planes(at[a:b], 4)
+
+    def sort(bucket, h, n, p):
+        record = np.concatenate([np.frombuffer(x, np.uint8).reshape(width, -1).T for x in h])
+        key = _rows(record[:, :v])
+        order = np.argsort(key, kind="stable")
+        begin = _edges(key[order])
+        group = np.zeros(len(key), np.int64)
+        group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+        hit = np.zeros(len(key), bool)
+        residue = record[:, -1].astype(np.int64)
+        for d in range(v):  # of the suffixes with a sample d bytes on, neighbours by rank
+            slot = np.argmax(shifts == d, 1)[residue]
+            has = np.flatnonzero((shifts == d).any(1)[residue])
+            low = np.zeros((len(has), 8), np.uint8)
+            low[:, :6] = record[has[:, None], (2 * v - 1 + 6 * slot[has])[:, None] + np.arange(6)]
+            low = low.view("<u8").ravel()
+            has, low = has[low > 0], low[low > 0]
+            tail = record[has, v + d : 2 * v - 1]
+            rest = np.zeros((len(has), 16), np.uint8)
+            rest[:, : tail.shape[1]] = tail
+            one, two = rest.view("<u8").T
+            by = np.lexsort((two, one, low, group[has]))
+            same = (np.diff(group[has][by]) == 0) & (low[by][1:] == low[by][:-1]) & (one[by][1:] == one[by][:-1]) & (two[by][1:] == two[by][:-1])
+            hit[has[by[1:][same]]] = True
+            hit[has[by[:-1][same]]] = True
+        at = 0
+        for x in p:
+            places = _from_planes(x, 4)
+            mine = hit[at : at + len(places)]
+            at += len(places)
+            yield (b"", _planes(places[mine], 4)) if mine.any() else None
+
+    def finish(h, p, first):
+        mask = np.zeros(first[-1], bool)
+        for x in p:
+            mask[_from_planes(x, 4).astype(np.int64)] = True
+        return _by_row(mask, first)
+
+    return _turn(docs, build, sort, finish, splitters, turn)
+
+
+def repeated(docs: DataFrame, length: int) -> DataFrame:
+    """The documents of ``keyed`` with ``ranges``: packed half-open runs (or null) of places where a string begins that also begins elsewhere."""
+    arrow_rows(docs.sparkSession)
+    buckets = buckets_for(docs, BUCKET_BYTES)
+    splitters = _splitters(docs, buckets)
+    near = join_found(docs, _round(docs, spec(length), False, buckets), "ask", "inner")
+    ranks = reduce(DataFrame.union, [_ranks(near, length, splitters, turn) for turn in range(TURNS)])
+    near = join_found(docs, ranks, "ask", "inner")
+    return join_found(docs, reduce(DataFrame.union, [_ties(near, length, splitters, turn) for turn in range(TURNS)]), "sure", "left")
 
 
 def dedup(df: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", keep_bytes: bool = False) -> DataFrame:
@@ -76,7 +312,7 @@ def dedup(df: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str =
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
-    return map_rows(repeated(keyed(df, text, doc_id), the), the, row, schema, columns)
+    return map_rows(repeated(keyed(df, text, doc_id), length), the, row, schema, columns)
 
 
 #: The same result in SQL, by counting whole strings.
