@@ -148,7 +148,17 @@ def _turn(docs: DataFrame, build, sort, finish, splitters: np.ndarray, turn: int
         return pa.table([pa.array(ids[rows], mask=null[rows]), pa.array(thash[rows]), got, got], ["doc_id", "thash", "ask", "sure"])
 
     sent = docs.mapInArrow(send, _SENT)
-    return written(sent.groupBy("bucket").applyInArrow(one, _BACK).groupBy("batch").applyInArrow(back, FOUND))
+    out = written(sent.groupBy("bucket").applyInArrow(one, _BACK).groupBy("batch").applyInArrow(back, FOUND))
+    del sent
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle of this turn
+    return out
+
+
+def _of_turn(data: np.ndarray, at: np.ndarray, size: int, splitters: np.ndarray, turn: int) -> np.ndarray:
+    """The places whose strings go to buckets of this turn."""
+    width = min(size, _PREFIX)
+    prefix = _rows(np.lib.stride_tricks.sliding_window_view(data, width)[at])
+    return at[np.searchsorted(splitters.astype(f"S{width}"), prefix, "right") % TURNS == turn]
 
 
 def _dealt(key: np.ndarray, splitters: np.ndarray, turn: int) -> Iterator[tuple[int, int, int]]:
@@ -173,6 +183,7 @@ def _ranks(docs: DataFrame, length: int, splitters: np.ndarray, turn: int) -> Da
                 want[f + a : min(f + b + v - 1, e - depth + 1)] = True
         at = np.flatnonzero(want)
         at = at[chosen[(at - first[np.searchsorted(first, at, "right") - 1]) % v]]
+        at = _of_turn(data, at, depth, splitters, turn) if len(at) else at
         if not len(at):
             return
         text = np.lib.stride_tricks.sliding_window_view(data, depth)
@@ -227,6 +238,7 @@ def _ties(docs: DataFrame, length: int, splitters: np.ndarray, turn: int) -> Dat
                     i = place - d
                     want[f + i[(i >= 0) & (i <= e - f - length)]] = True
         at = np.flatnonzero(want)
+        at = _of_turn(data, at, v, splitters, turn) if len(at) else at
         if not len(at):
             return
         front = np.lib.stride_tricks.sliding_window_view(data, v)
@@ -245,13 +257,14 @@ def _ties(docs: DataFrame, length: int, splitters: np.ndarray, turn: int) -> Dat
         key = _rows(record[:, :v])
         order = np.argsort(key, kind="stable")
         begin = _edges(key[order])
+        size = np.diff(np.append(begin, len(key)))
         group = np.zeros(len(key), np.int64)
-        group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+        group[order] = np.repeat(np.where(size > 1, np.arange(len(begin)), -1), size)
         hit = np.zeros(len(key), bool)
         residue = record[:, -1].astype(np.int64)
         for d in range(v):  # of the suffixes with a sample d bytes on, neighbours by rank
             slot = np.argmax(shifts == d, 1)[residue]
-            has = np.flatnonzero((shifts == d).any(1)[residue])
+            has = np.flatnonzero((shifts == d).any(1)[residue] & (group >= 0))
             low = np.zeros((len(has), 8), np.uint8)
             low[:, :6] = record[has[:, None], (2 * v - 1 + 6 * slot[has])[:, None] + np.arange(6)]
             low = low.view("<u8").ravel()
