@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, interactions, langid, secrets, simhash, substring, suffix, toxicity, urls
+from . import ann, bpe, decontam, divergence, interactions, langid, secrets, simhash, substring, suffix, toxicity, urls
 
 #: Where SQL can express an operator; the others are tested against brute force, round trips and held-out rows.
 ORACLES: dict[str, str] = {
@@ -13,6 +13,7 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": substring.ORACLE_SQL,
     "op7_nearest_vectors": ann.ORACLE_SQL,
     "op8_suffix_dedup": suffix.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
     "op13_filter_interactions": interactions.ORACLE_SQL,
 }
 
@@ -76,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -93,6 +98,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_simhash_near_dedup,
         op10_toxicity,
+        op11_source_divergence,
         op13_filter_interactions,
     )
 }
