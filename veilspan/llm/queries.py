@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, divergence, interactions, langid, secrets, simhash, substring, suffix, toxicity, urls
+from . import ann, bpe, decontam, divergence, interactions, langid, secrets, simhash, substring, suffix, toxicity, urls, wrappers
 
 #: Where SQL can express an operator; the others are tested against brute force, round trips and held-out rows.
 ORACLES: dict[str, str] = {
@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {
     "op7_nearest_vectors": ann.ORACLE_SQL,
     "op8_suffix_dedup": suffix.ORACLE_SQL,
     "op11_source_divergence": divergence.ORACLE_SQL,
+    "op12_html_extraction": wrappers.ORACLE_SQL,
     "op13_filter_interactions": interactions.ORACLE_SQL,
 }
 
@@ -81,6 +82,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -99,6 +104,7 @@ QUERIES = {
         op9_simhash_near_dedup,
         op10_toxicity,
         op11_source_divergence,
+        op12_html_extraction,
         op13_filter_interactions,
     )
 }
