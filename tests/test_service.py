@@ -70,44 +70,6 @@ def test_batch_sessions(spark):
     assert {r.name: r.value for r in sessions.outcome_counts(spark.createDataFrame(out)).collect()}["requests_mask"] == 4
 
 
-def stream(spark, frame, build, path, schema, parts):
-    """Runs a stateful query over files written one after the other, a file a batch."""
-    rows = frame.collect()
-    source = path / "in"
-    source.mkdir()
-    for i in range(parts):
-        spark.createDataFrame(rows[i::parts] if parts == 1 else rows[len(rows) * i // parts : len(rows) * (i + 1) // parts], schema).coalesce(1).write.mode("append").json(str(source / f"{i:03d}"))
-    # else a query with timers runs empty batches for ever
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(source))
-    query = build(reader).writeStream.format("memory").queryName(path.name.replace("-", "_")).outputMode("append").option("checkpointLocation", str(path / "state")).trigger(availableNow=True).start()
-    try:
-        assert query.awaitTermination(60)
-    finally:
-        query.stop()
-        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
-    return spark.table(path.name.replace("-", "_")).collect()
-
-
-def test_stream_sessions_like_batch(spark, tmp_path):
-    few = [e for e in STORY if e[2] in ("a", "b") and e[3]]
-    frame = spark.createDataFrame(sorted(few, key=lambda e: e[1]), EVENTS)
-    out = stream(spark, frame, lambda s: sessions.process_stream(s, EMAIL), tmp_path, EVENTS, 3)
-    assert {(r.payload_id, r.seq): (r.status, r.outcome) for r in out} == {k: v for k, v in ANSWERS.items() if k[0] in ("a", "b")}
-
-
-def test_stream_forgets_by_event_time_only(spark, tmp_path):
-    """A session lives until the rows' own time has passed it, however long the stream stands still, and its state goes after that."""
-    def at(seconds):
-        return datetime(2026, 1, 1) + timedelta(seconds=seconds)
-
-    rows = [("a", 0, at(0), "mail x@y.zz"), ("b", 1, at(10), "mail z@y.zz"), ("a", 2, at(800), "mail __PII_EMAIL_1__"), ("c", 3, at(3000), "new"), ("b", 4, at(3001), "mail z@y.zz")]
-    frame = spark.createDataFrame(rows, "payload_id string, seq long, ts timestamp, payload string")
-    schema = "payload_id string, seq long, ts timestamp, payload string"
-    out = stream(spark, frame, lambda s: sessions.process_stream(s, EMAIL, late="5 seconds"), tmp_path, schema, 5)
-    assert {r.seq: (r.status, r.outcome) for r in out} == {0: (200, "mask"), 1: (200, "mask"), 2: (200, "demask"), 3: (200, "mask"), 4: (200, "mask")}
-
-
 def test_limits_of_a_service(spark):
     at = lambda s: datetime(2026, 1, 1) + timedelta(seconds=s)
     story = [
@@ -196,7 +158,7 @@ def test_chunks_hold_no_more_than_needed(text, mapping, cuts):
     assert not mapping or set("".join(out) + d.flush()) <= set("ab_1xyz")
 
 
-def test_chunk_queries(spark, tmp_path):
+def test_chunk_queries(spark):
     rows = chunked(MASKED, 7, MAPPING) + chunked("plain", 2, {}, "p") + chunked("", 3, {}, "e")
     gap = [r for r in chunked(MASKED, 7, MAPPING, "gap") if r[1] != 2]
     out = sessions.demask_batch(spark.createDataFrame(rows + gap, CHUNKS).repartition(3)).collect()
@@ -205,10 +167,6 @@ def test_chunk_queries(spark, tmp_path):
         text[r.request_id] = text.get(r.request_id, "") + r.text
     assert text["r"] == restore.demask(MASKED, MAPPING) and text["p"] == "plain" and text["e"] == ""
     assert restore.demask(MASKED, MAPPING).startswith(text["gap"]) and len([r for r in out if r.request_id == "gap"]) == 2
-    # the same as a stream, with the chunks out of order
-    mixed = rows[:1] + rows[2:5] + rows[1:2] + rows[5:]
-    got = stream(spark, spark.createDataFrame(mixed, CHUNKS), sessions.demask_stream, tmp_path, CHUNKS, 3)
-    assert sorted(map(tuple, got)) == sorted(tuple(r) for r in out if r.request_id != "gap")
 
 
 def test_sse():
@@ -364,16 +322,13 @@ def test_sql_functions(spark):
 LINES = "request_id string, seq long, line string, mapping array<struct<placeholder:string,value:string>>"
 
 
-def test_event_streams(spark, tmp_path):
+def test_event_streams(spark):
     event = lambda t: "data: " + json.dumps({"choices": [{"delta": {"content": t}}]})
     lines = [event("x __PII_EMAIL"), event("_1__ y __P"), "", ": note", "data: [DONE]"]
     rows = [("r", i, x, list(MAPPING.items()) if i == 0 else None) for i, x in enumerate(lines)] + [("s", 0, event("plain"), None)]
     out = sorted(map(tuple, sessions.demask_sse_batch(spark.createDataFrame(rows, LINES).repartition(2)).collect()))
     text = "".join(json.loads(x[3][6:])["choices"][0]["delta"]["content"] for x in out if x[3].startswith("data: {") and x[0] == "r")
     assert text == "x x@y.zz y __P" and [x[3] for x in out if x[0] == "r"][-1] == "data: [DONE]"
-    mixed = [rows[0], rows[2], rows[1], *rows[3:]]
-    got = stream(spark, spark.createDataFrame(mixed, LINES), sessions.demask_sse_stream, tmp_path, LINES, 3)
-    assert sorted(map(tuple, got)) == out
 
 
 def test_synthetic_payloads_come_back(spark):

@@ -1,4 +1,4 @@
-"""Mask-and-restore sessions keyed by payload id, with expiry, in batch and as a stream.
+"""Mask-and-restore sessions keyed by payload id, with expiry, in batch; ``keyed`` has the streams.
 
 A first payload is masked and opens an ACTIVE session. The same payload again gives the same mask; the
 mask gives the original and completes the session; anything else is a conflict. Sessions expire;
@@ -14,12 +14,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
-from dataclasses import astuple, dataclass, field
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.masking import CONSUMER_DEFAULT, Policy
 from ..operators.restore import ChunkDemasker, Masker, SseDemasker
@@ -28,7 +27,8 @@ ACTIVE_SECONDS, COMPLETED_SECONDS, TOMBSTONE_SECONDS = 900.0, 120.0, 60.0
 MAX_BYTES, MAX_TOKENS = 400_000, 100_000
 SESSION_OVERHEAD = 512
 RESULT = "payload_id string, seq long, status int, result string, outcome string"
-STATE = "original string, masked string, completed boolean, expires_at double"
+SESSION = "payload_id string, original string, masked string, completed boolean, expires_at double"
+_SESSION_COLUMNS = [c.split()[0] for c in SESSION.split(", ")]
 
 
 def tokens(text: Column) -> Column:
@@ -155,17 +155,6 @@ class Store:
         return status, result, outcome
 
 
-def _run(rows: pd.DataFrame, session: Session | None, mask: Callable[[str], str]) -> tuple[list[tuple], Session | None]:
-    out = []
-    for r in rows.sort_values(["ts", "seq"]).itertuples():
-        if not isinstance(r.payload, str):
-            out.append((r.payload_id, r.seq, 422, None, "invalid"))
-            continue
-        session, status, result, outcome = step(session, r.ts.timestamp(), r.payload, mask)
-        out.append((r.payload_id, r.seq, status, result, outcome))
-    return out, session
-
-
 def _masker(policy: Policy) -> Callable[[str], str]:
     return lambda text: Masker(policy).mask(text)
 
@@ -173,9 +162,16 @@ def _masker(policy: Policy) -> Callable[[str], str]:
 _COLUMNS = ["payload_id", "seq", "status", "result", "outcome"]
 
 
+def _requests(events: DataFrame) -> DataFrame:
+    allowed = F.coalesce(F.col("allowed"), F.lit(False)) if "allowed" in events.columns else F.lit(True)
+    return events.select(F.col("seq").cast("long").alias("seq"), "ts", "payload_id", "payload", allowed.alias("allowed"))
+
+
 def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, limits: Limits | None = None) -> DataFrame:
     """Answers to a list of requests (seq, ts, payload_id, payload), as if they had come one by one. Null ids or payloads are 422.
 
+    With a column ``allowed`` (see ``policy.check_access``), requests for which it isn't true are 403 and change nothing.
+
     Without limits rows are dealt by id and sorted; a task goes through them once and holds one session, however many
     requests an id has. With limits they are dealt by shard, and a task holds a shard's sessions, which the limits bound;
     a request that there is no room for is 429.
@@ -185,9 +181,12 @@ def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, limits:
         mask, key, session = _masker(policy), None, None
         for rows in batches:
             out = []
-            for seq, ts, who, payload in zip(rows["seq"], rows["ts"], rows["payload_id"], rows["payload"]):
+            for seq, ts, who, payload, ok in zip(rows["seq"], rows["ts"], rows["payload_id"], rows["payload"], rows["allowed"]):
                 if who != key:
                     key, session = who, None
+                if not ok:
+                    out.append((who, seq, 403, None, "forbidden"))
+                    continue
                 if not isinstance(who, str) or not isinstance(payload, str):
                     out.append((who, seq, 422, None, "invalid"))
                     continue
@@ -199,65 +198,50 @@ def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, limits:
         mask, shard, store = _masker(policy), None, Store(limits)
         for rows in batches:
             out = []
-            for of, seq, ts, who, payload in zip(rows["shard"], rows["seq"], rows["ts"], rows["payload_id"], rows["payload"]):
+            for of, seq, ts, who, payload, ok in zip(rows["shard"], rows["seq"], rows["ts"], rows["payload_id"], rows["payload"], rows["allowed"]):
                 if of != shard:
                     shard, store = of, Store(limits)
+                if not ok:
+                    out.append((who, seq, 403, None, "forbidden"))
+                    continue
                 if not isinstance(who, str) or not isinstance(payload, str):
                     out.append((who, seq, 422, None, "invalid"))
                     continue
                 out.append((who, seq, *store.request(who, ts.timestamp(), payload, mask)))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
-    rows = events.select(F.col("seq").cast("long").alias("seq"), "ts", "payload_id", "payload")
+    rows = _requests(events)
     if limits is None:
         return rows.repartition("payload_id").sortWithinPartitions("payload_id", "ts", "seq").mapInPandas(run, RESULT)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("payload_id"), F.lit(limits.shards)))
     return rows.repartition("shard").sortWithinPartitions("shard", "ts", "seq").mapInPandas(run_shards, RESULT)
 
 
-def process_stream(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, late: str = "1 minute") -> DataFrame:
-    """The same as a streaming query: state is kept by id, and removed when its tombstone has passed.
+def open_sessions(events: DataFrame, policy: Policy = CONSUMER_DEFAULT) -> DataFrame:
+    """The sessions (payload_id, original, masked, completed, expires_at) as a list of requests leaves them: what a stream can begin with."""
 
-    Detection runs only for ids that are new. All time is the rows' ``ts``: state goes when the watermark (``late`` behind
-    the latest row) has passed the end of its tombstone, so a stream that stands still forgets nothing. Rows
-    older than the watermark are left out. A key's rows of one micro-batch are held together to be put in order; the
-    source's limit on a micro-batch bounds them.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        session = Session(*state.get) if state.exists else None
-        rows = pd.concat(list(batches))
-        out, session = _run(rows, session, _masker(policy))
-        if session:
-            state.update(astuple(session))
-            over = int((session.expires_at + TOMBSTONE_SECONDS) * 1000)
-            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mask, key, session, out = _masker(policy), None, None, []
 
-    rows = events.where("payload_id is not null").withWatermark("ts", late).select("seq", "ts", "payload_id", "payload")
-    return rows.groupBy("payload_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        def kept() -> list[tuple]:
+            return [(key, session.original, session.masked, session.completed, session.expires_at)] if session else []
 
+        for rows in batches:
+            out = []
+            for ts, who, payload, ok in zip(rows["ts"], rows["payload_id"], rows["payload"], rows["allowed"]):
+                if who != key:
+                    out += kept()
+                    key, session = who, None
+                if ok and isinstance(payload, str):
+                    session = step(session, ts.timestamp(), payload, mask)[0]
+            yield pd.DataFrame(out, columns=_SESSION_COLUMNS)
+        yield pd.DataFrame(kept(), columns=_SESSION_COLUMNS)
 
-CHUNK_RESULT = "request_id string, seq long, text string"
-CHUNK_STATE = "next long, held string, waiting array<struct<seq:long,chunk:string,is_last:boolean>>, mapping array<struct<placeholder:string,value:string>>"
+    rows = _requests(events).where("payload_id is not null")
+    return rows.repartition("payload_id").sortWithinPartitions("payload_id", "ts", "seq").mapInPandas(run, SESSION)
 
 
-def _chunks(rows: pd.DataFrame, following: int, held: str, waiting: dict, mapping: dict) -> tuple[list[tuple], int, str, bool]:
-    for r in rows.itertuples():
-        if r.mapping is not None and len(r.mapping) and not mapping:
-            mapping.update((e["placeholder"], e["value"]) for e in r.mapping)
-        if r.seq >= following:
-            waiting[int(r.seq)] = (r.chunk or "", bool(r.is_last))
-    out, done, d = [], False, ChunkDemasker(mapping, held)
-    while following in waiting and not done:
-        chunk, done = waiting.pop(following)
-        text = d.feed(chunk) + (d.flush() if done else "")
-        out.append((rows["request_id"].iloc[0], following, text))
-        following += 1
-    return out, following, d.held, done
+CHUNK_RESULT = "request_id string, seq long, text string"
 
 
 def demask_batch(chunks: DataFrame) -> DataFrame:
@@ -286,34 +270,7 @@ def demask_batch(chunks: DataFrame) -> DataFrame:
     return rows.repartition("request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, CHUNK_RESULT)
 
 
-def demask_stream(chunks: DataFrame, timeout: str = "5 minutes") -> DataFrame:
-    """The same as a streaming query. Chunks can come in any order; an unfinished request ends at the timeout, and what is held comes out."""
-    millis = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, held, waiting, mapping = 0, "", {}, {}
-        if state.exists:
-            following, held, kept, pairs = state.get
-            waiting = {x["seq"]: (x["chunk"], x["is_last"]) for x in kept}
-            mapping = {x["placeholder"]: x["value"] for x in pairs}
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], following, held)] if held else [], columns=["request_id", "seq", "text"])
-            return
-        out, following, held, done = _chunks(pd.concat(list(batches)), following, held, waiting, mapping)
-        if done:
-            state.remove()
-        else:
-            state.update((following, held, [(k, c, last) for k, (c, last) in sorted(waiting.items())], list(mapping.items())))
-            state.setTimeoutDuration(millis)
-        yield pd.DataFrame(out, columns=["request_id", "seq", "text"])
-
-    rows = chunks.select("request_id", "seq", "chunk", "is_last", "mapping")
-    return rows.groupBy("request_id").applyInPandasWithState(run, CHUNK_RESULT, CHUNK_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 SSE_RESULT = "request_id string, seq long, part int, line string"
-SSE_STATE = "next long, held string, last string, waiting array<struct<seq:long,line:string>>, mapping array<struct<placeholder:string,value:string>>"
 
 
 def demask_sse_batch(lines: DataFrame) -> DataFrame:
@@ -336,44 +293,6 @@ def demask_sse_batch(lines: DataFrame) -> DataFrame:
     return rows.repartition("request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, SSE_RESULT)
 
 
-def demask_sse_stream(lines: DataFrame, timeout: str = "5 minutes") -> DataFrame:
-    """The same as a streaming query: lines can come in any order; state ends with ``[DONE]`` or at the timeout, when held text comes out."""
-    millis = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, held, last, waiting, pairs = 0, "", None, {}, []
-        if state.exists:
-            following, held, last, kept, found = state.get
-            waiting, pairs = {x["seq"]: x["line"] for x in kept}, [(x["placeholder"], x["value"]) for x in found]
-        rows = None if state.hasTimedOut else pd.concat(list(batches))
-        for r in () if rows is None else rows.itertuples():
-            if r.mapping is not None and len(r.mapping) and not pairs:
-                pairs = [(e["placeholder"], e["value"]) for e in r.mapping]
-            if r.seq >= following:
-                waiting[int(r.seq)] = r.line or ""
-        d = SseDemasker(dict(pairs), held, last)
-        out = []
-        if rows is None:
-            state.remove()
-            out = [(key[0], following, i, x) for i, x in enumerate(d.finish())]
-        else:
-            done = False
-            while following in waiting and not done:
-                line = waiting.pop(following)
-                done = line.startswith("data:") and line[5:].strip() == "[DONE]"
-                out += [(key[0], following, i, x) for i, x in enumerate(d.feed(line))]
-                following += 1
-            if done:
-                state.remove()
-            else:
-                state.update((following, d.held, d.last, sorted(waiting.items()), pairs))
-                state.setTimeoutDuration(millis)
-        yield pd.DataFrame(out, columns=["request_id", "seq", "part", "line"])
-
-    rows = lines.select("request_id", "seq", "line", "mapping")
-    return rows.groupBy("request_id").applyInPandasWithState(run, SSE_RESULT, SSE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def echo_chunks(replies: DataFrame, size: int = 7, text: str = "masked") -> DataFrame:
     """Replies of a back end that echoes, cut to chunks of ``size`` characters, for tests of the way back."""
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / size).cast("int"))
