@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from veilspan.functions import patterns
 from veilspan.operators import restore
 from veilspan.operators.masking import Policy
 from veilspan.streaming import keyed, sessions
@@ -17,6 +18,7 @@ EVENTS = "seq long, ts timestamp, payload_id string, payload string"
 CHUNKS = "request_id string, seq long, ts timestamp, chunk string, is_last boolean, mapping array<struct<placeholder:string,value:string>>"
 LINES = "request_id string, seq long, ts timestamp, line string, mapping array<struct<placeholder:string,value:string>>"
 MAPPING = {"__PII_EMAIL_1__": "x@y.zz", "__PII_PERSON_1__": "Иван __PII_EMAIL_1__"}
+P_CARD = patterns.SYNTHETIC["CARD"]
 MASKED = "a __PII_EMAIL_1____PII_PERSON_1__ b __PII_ c __PII_EMAIL_2__ _"
 
 
@@ -182,3 +184,107 @@ def test_event_streams_like_batch(spark, tmp_path):
     assert sorted(tuple(x) for x in got if x.request_id != "end") == want
     plain = sessions.demask_sse_batch(spark.createDataFrame([r for r in rows if r[0] == "r"], LINES)).collect()
     assert sorted(x[:4] for x in want if x[0] == "r") == sorted(map(tuple, plain))
+
+
+def test_metrics_equal_a_recount(spark, tmp_path):
+    """What the listener adds up over two runs is what a count over all answers, and the state store, come to."""
+    import time
+
+    from veilspan.streaming import metrics
+
+    rows = requests(7)
+    files = Files(spark, tmp_path, EVENTS)
+    files.add(rows[:20], rows[20:40])
+    listener = metrics.Metrics("requests_test", interval=0.5)
+    spark.streams.addListener(listener)
+    try:
+        observed = lambda s: metrics.process_stream(s, "requests_test", EMAIL, late="1 minute")
+        first = files.run(observed, "metered")
+        files.add(rows[40:], [(10_000, at(20_000), "end", "x")])
+        second = files.run(observed, "metered_again")
+        deadline = time.monotonic() + 30
+        while listener.values()["process_mask_total"] < sum(r.outcome == "mask" for r in first + second) and time.monotonic() < deadline:
+            time.sleep(0.2)  # progress is reported a little later
+    finally:
+        spark.streams.removeListener(listener)
+    got = listener.values()
+    by = lambda *names: sum(r.outcome in names for r in first + second)
+    assert [got[n] for n in metrics.OUTCOMES] == [by(*names) for names in metrics.OUTCOMES.values()]
+    assert got["process_new_id_total"] == by("mask") and by("mask") > 4 and by("retry") and by("demask") and by("conflict")
+    assert got["store_evictions_total"] == got["process_new_id_total"] - got["store_sessions"]
+    gauges = metrics.stored(spark, str(tmp_path / "state"))
+    assert {n: got[n] for n in gauges} == gauges and gauges["store_sessions"] >= 1 and gauges["store_pending"] == 0
+    lines = listener.text().splitlines()
+    assert len(lines) == 28 and len(metrics.KINDS) == 14
+    assert lines[0] == "# TYPE veilspan_uptime_seconds gauge" and f"veilspan_process_mask_total {by('mask')}" in lines
+    target = tmp_path / "metrics.prom"
+    for _ in range(2):
+        listener.write(spark, f"file://{target}")
+    assert target.read_text().splitlines()[2:-1] == lines[2:-1] and not (tmp_path / "metrics.prom.new").exists()
+    # the metric text can be read back
+    from veilspan.sources import readers
+
+    assert readers.prometheus(spark.createDataFrame([(x,) for x in lines], "value string")).count() == 14
+
+
+def test_a_report_counts_once_and_gauges_go_on():
+    from veilspan.streaming import metrics
+
+    m = metrics.Metrics("x", {"store_sessions": 5}, interval=1.0, clock=iter([0.0, 2.5]).__next__)
+    one = dict.fromkeys([*metrics.OUTCOMES, *metrics.SUMS], 1) | {"store_sessions": -2}
+    for batch in (0, 0, 1):
+        m.add("q", batch, one, 1500.0)
+    got = m.values()
+    assert got["process_mask_total"] == 2 and got["store_sessions"] == 1 and got["uptime_seconds"] == 2.5 and got["trigger_delay_ms"] == 500.0
+
+
+REQUESTS = "n int, consumer_id string, api_key string, text string"
+
+
+def test_policies_change_while_a_stream_runs(spark, tmp_path):
+    from veilspan.streaming import policies
+
+    file = tmp_path / "policies.json"
+
+    def save(*consumers):
+        file.write_text(json.dumps({"consumers": list(consumers)}))
+
+    mail, card = {"consumer_id": "a", "enabled_pii_types": ["EMAIL"]}, {"consumer_id": "a", "enabled_pii_types": ["CARD"], "masking_mode": "synthetic"}
+    base = {"consumer_id": "default", "enabled_pii_types": ["EMAIL", "CARD"], "excluded_pii_types": ["EMAIL"]}
+    text = "x@y.zz 4111 1111 1111 1111"
+    feed = policies.PolicyFile(str(file))
+    with pytest.raises(Exception):
+        feed.get(spark)
+    files = Files(spark, tmp_path, REQUESTS)
+
+    def batch(n, *rows):
+        files.add([(n, *r, text) for r in rows])
+        reader = spark.readStream.schema(REQUESTS).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
+        q = policies.write_masked(reader, feed, str(tmp_path / "out"), str(tmp_path / "c"), availableNow=True)
+        assert q.awaitTermination(120) and q.exception() is None
+        out = spark.read.parquet(str(tmp_path / "out")).where(f"n = {n}").orderBy("consumer_id").collect()
+        return [(r.consumer, r.status, r.masked) for r in out]
+
+    save(mail, base)
+    assert batch(0, ("a", None), ("b", None)) == [("a", 200, "__PII_EMAIL_1__ 4111 1111 1111 1111"), ("default", 200, "x@y.zz __PII_CARD_1__")]
+    save(card | {"api_keys": ["k"]})
+    assert batch(1, ("a", "k"), ("a2", None)) == [("a", 200, f"x@y.zz {P_CARD}_1"), (None, 403, None)]
+    assert batch(2, ("a", "wrong")) == [("a", 403, None)]
+    for broken in ("{not json", json.dumps({"consumers": [mail, mail]}), json.dumps({"consumers": [mail | {"enabled_pii_types": ["NO_SUCH"]}]}), json.dumps({"consumers": [mail | {"masking_mode": "loud"}]}), json.dumps({"consumers": [mail | {"min_confidence": 7}]})):
+        file.write_text(broken)
+        assert [r.consumer_id for r in feed.get(spark).collect()] == ["a"] and feed.error is not None
+    assert batch(3, ("a", "k")) == [("a", 200, f"x@y.zz {P_CARD}_1")]
+    file.unlink()
+    assert batch(4, ("a", "k")) == [("a", 200, f"x@y.zz {P_CARD}_1")]
+    save(mail | {"enabled": False})
+    assert batch(5, ("a", None)) == [("a", 403, None)] and feed.error is None
+
+
+def test_each_row_is_masked_by_its_own_policy_once(spark):
+    from veilspan.operators import policy
+    from veilspan.streaming import policies
+
+    table = policy.policies_of(spark.createDataFrame([("m", ["EMAIL"], 0.5), ("t", ["CARD"], 0.8)], "consumer_id string, enabled_pii_types array<string>, min_confidence double").select("*", *[F.lit(None).cast(t).alias(n) for n, t in (c.split(" ") for c in policy._CONSUMER.split(", ")) if n not in ("consumer_id", "enabled_pii_types", "min_confidence")]))
+    rows = spark.createDataFrame([("m", "a@b.co"), ("t", "a@b.co"), ("m", None), (None, "a@b.co")], "consumer_id string, text string")
+    got = {(r.consumer_id, r.text): (r.status, r.masked) for r in policies.mask_requests(rows, table).collect()}
+    assert got == {("m", "a@b.co"): (200, "__PII_EMAIL_1__"), ("t", "a@b.co"): (200, "a@b.co"), ("m", None): (200, None), (None, "a@b.co"): (403, None)}
