@@ -44,12 +44,12 @@ CASES = [
     ("родился 15 марта 1990 г.", "родился __PII_DATE_OF_BIRTH_1__"),
     ("born on March 15, 1990", "born on __PII_DATE_OF_BIRTH_1__"),
     ("meeting on March 15, 1990", None),
-    ("Место рождения город Москва", "Место рождения город __PII_BIRTH_PLACE_1__"),
+    ("ее место рождения город Тверь", "ее место рождения город __PII_BIRTH_PLACE_1__"),
     ("гражданство: Российская Федерация. Дальше", "гражданство: __PII_CITIZENSHIP_1__. Дальше"),
     ("кем выдан ОВД Центр 15.03.2010", "кем выдан __PII_PASSPORT_AUTHORITY_1__ __PII_PASSPORT_ISSUE_DATE_1__"),
     ("код подразделения 770-001", "код подразделения __PII_PASSPORT_UNIT_CODE_1__"),
     ("770-001", None),
-    ("Водительское удостоверение 99 12 345678", "Водительское удостоверение __PII_DRIVING_LICENSE_1__"),
+    ("ее водительские права: 31 07 640218", "ее водительские права: __PII_DRIVING_LICENSE_1__"),
     ("CVV 123", "CVV __PII_CVV_1__"),
     ("дом 123", None),
     ("пин 4321", None),
@@ -101,12 +101,12 @@ def test_custom_terms():
 
 
 ADDRESSES = [
-    ("Адрес: 101000, город Москва", ["101000", "Москва"]),
+    ("Проживает: 170100, город Тверь", ["170100", "Тверь"]),
     ("Регистрация: 644001, Омская область, Калачинск, п. Заречный, ул. Тихая, д. 17.", ["644001", "Омская", "Калачинск", "Заречный", "Тихая", "17"]),
     ("Зарегистрирован по адресу: 420012, г. Казань, ул. Полевая, д. 3, кв. 41", ["420012", "Казань", "Полевая", "3", "41"]),
     ("Проживает: 170100, г. Тверь, ул. Садовая, д. 9. Жду ответа.", ["170100", "Тверь", "Садовая", "9"]),
     ("Проживает по адресу: 199004, г. Санкт-Петербург, ул. 5-я линия В.О., д. 12, кв. 7.", ["199004", "Санкт-Петербург", "5-я линия В.О.", "12", "7"]),
-    ("Место рождения город Москва", []),
+    ("ее место рождения город Тверь", []),
     ("Отделение банка: г. Омск, ул. Лесная, д. 5", []),
     ("ул.", []),
     ("", []),

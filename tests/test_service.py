@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from veilspan.operators import analytics, evaluation, ner, policy, restore
+from veilspan.operators import analytics, evaluation, masking, ner, policy, restore
 from veilspan.operators.masking import Policy, mask, mask_chat
 from veilspan.sources import readers
 from veilspan.streaming import sessions
@@ -339,3 +339,36 @@ def test_synthetic_payloads_come_back(spark):
     again = both.union(first.select(F.lit(1), F.lit(START), "payload_id", "result"))
     back = sessions.process_batch(again).where("seq = 1").join(rows, "payload_id")
     assert back.where("result = payload and outcome = 'demask'").count() == 50
+
+
+def test_chat_detectors_run_once_and_columns_are_kept(spark, tmp_path, monkeypatch):
+    """Each text of a conversation is looked at once, and no column of the input is overwritten."""
+    from veilspan.operators import detectors
+
+    log = tmp_path / "calls"
+
+    def counted(text):
+        with log.open("a") as f:
+            f.write("x")
+        return [("MARK", 0, 1, 0.99)] if text else []
+
+    rows = spark.createDataFrame([(i % 5, i, f"text {i}") for i in range(50)], "conv_id long, turn long, text string").repartition(3)
+    monkeypatch.setattr(masking, "candidates", lambda t, policy, lexicon=None: detectors.detect(t, (), plugins={"mark": counted}))
+    out = mask_chat(rows, Policy(())).collect()
+    assert len(out) == 50 and len(log.read_text()) == 50
+    assert {r.masked[: r.masked.index(" ")] for r in out if r.conv_id == 0} == {f"__PII_MARK_{k}__ext" for k in range(1, 11)}
+    with pytest.raises(ValueError, match="masked"):
+        mask_chat(rows.withColumn("masked", F.lit("keep")), EMAIL)
+
+
+def test_sql_functions_obey_their_policy(spark):
+    from veilspan.plans import sql
+
+    spark.createDataFrame([(1, "mail a@b.co and card 4111 1111 1111 1111")], "id int, text string").createOrReplaceTempView("t_policy")
+    for types, want in ((("EMAIL",), ["EMAIL"]), (("CARD",), ["CARD"]), (("EMAIL", "CARD"), ["EMAIL", "CARD"]), ((), [])):
+        sql.register(spark, Policy(types))
+        assert [r[0] for r in spark.sql("SELECT s.pii_type FROM t_policy t, LATERAL detect_spans(t.text) s ORDER BY s.start").collect()] == want
+        masked = spark.sql("SELECT pii_mask(text) FROM t_policy").first()[0]
+        assert all((f"__PII_{k}_1__" in masked) == (k in want) for k in ("EMAIL", "CARD"))
+    sql.register(spark, Policy(("EMAIL",), min_confidence=1.1))
+    assert spark.sql("SELECT s.* FROM t_policy t, LATERAL detect_spans(t.text) s").count() == 0

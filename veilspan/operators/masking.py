@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions.lexicon import Lexicon
+from ..functions.tables import written
 from .detectors import TYPES, detect
 
 
@@ -45,9 +46,7 @@ def mask(df: DataFrame, text: str = "text", policy: Policy = Policy(), lexicon:
     the policy may then name no other type. All other columns pass through untouched; one that is named like a column
     that is added is refused.
     """
-    clash = {"matches", "masked", "mapping", "pii_types", "decisions", *(["candidates"] if keep_candidates else [])} & set(df.columns)
-    if clash:
-        raise ValueError(f"rename the input's columns {sorted(clash)}: masking adds columns of these names")
+    _refuse(df, ["matches", "masked", "mapping", "pii_types", "decisions", *(["candidates"] if keep_candidates else [])])
     t = F.col(text)
     if native:
         missing = set(policy.effective()) - set(S.NATIVE)
@@ -79,15 +78,27 @@ def mask_chat(df: DataFrame, policy: Policy = Policy(), conv: str = "conv_id", t
 
     The counts of each type before a message are sums over the conversation's earlier messages, so a
     long conversation only sends small counts through its window, not its texts. Rows must be unique by
-    (conversation, turn), as the order within a turn is undefined.
+    (conversation, turn), as the order within a turn is undefined. Columns named like one that is added are refused.
     """
+    _refuse(df, ["matches", "masked", "mapping"])
     t = F.col(text)
     found = F.concat(*[S.NATIVE[k](t) for k in policy.effective()]) if native else candidates(t, policy)
-    marked = df.withColumn("matches", S.resolve(S.eligible(found, policy.min_confidence)))
-    counts = marked.select(conv, turn, F.explode("matches.pii_type").alias("kind")).groupBy(conv, turn, "kind").agg(F.count("*").cast("int").alias("n"))
-    before = Window.partitionBy(conv, "kind").orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    used = counts.withColumn("used", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).groupBy(conv, turn).agg(F.map_from_entries(F.collect_list(F.struct("kind", "used"))).alias("_used"))
-    out = marked.join(used, [conv, turn], "left")
+    # read twice, so written: detectors run once a text
+    marked = written(df.withColumn("matches", S.resolve(S.eligible(found, policy.min_confidence))))
+    counts = marked.select(F.col(conv).alias("__veilspan_conv"), F.col(turn).alias("__veilspan_turn"), F.explode("matches.pii_type").alias("kind"))
+    by_turn = ["__veilspan_conv", "__veilspan_turn"]
+    counts = counts.groupBy(*by_turn, "kind").agg(F.count("*").cast("int").alias("n"))
+    before = Window.partitionBy("__veilspan_conv", "kind").orderBy("__veilspan_turn").rowsBetween(Window.unboundedPreceding, -1)
+    used = counts.withColumn("used", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"))
+    used = used.groupBy(*by_turn).agg(F.map_from_entries(F.collect_list(F.struct("kind", "used"))).alias("__veilspan_used"))  # an entry for each type
+    same = F.col(conv).eqNullSafe(F.col("__veilspan_conv")) & F.col(turn).eqNullSafe(F.col("__veilspan_turn"))
     none = F.create_map().cast("map<string,int>")
-    out = out.withColumn("_m", S.mask_struct(t, F.col("matches"), policy.mode, F.coalesce(F.col("_used"), none)))
-    return out.withColumns({"masked": F.col("_m.masked"), "mapping": F.col("_m.mapping")}).drop("_m", "_used")
+    out = marked.join(used, same, "left").drop(*by_turn)
+    out = out.withColumn("__veilspan_m", S.mask_struct(t, F.col("matches"), policy.mode, F.coalesce(F.col("__veilspan_used"), none)))
+    return out.withColumns({"masked": F.col("__veilspan_m.masked"), "mapping": F.col("__veilspan_m.mapping")}).drop("__veilspan_m", "__veilspan_used")
+
+
+def _refuse(df: DataFrame, added: list[str]) -> None:
+    clash = set(added) & set(df.columns)
+    if clash:
+        raise ValueError(f"rename the input's columns {sorted(clash)}: masking adds columns of these names")

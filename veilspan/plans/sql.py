@@ -16,23 +16,25 @@ from ..operators.detectors import find
 SPAN = "pii_type string, value string, start int, end int, confidence double"
 
 
-@udtf(returnType=SPAN)
-class DetectSpans:
-    """The resolved findings of a text, a row each: SELECT ... FROM t, LATERAL detect_spans(t.text)."""
+def register(spark: SparkSession, policy: Policy = Policy()) -> None:
+    """Registers detect_spans(text), a table function, and pii_mask(text), both of a policy.
 
-    def eval(self, text: str) -> Iterator[tuple]:
-        if text is not None:
-            policy = Policy()
-            for kind, a, b, sure in resolve(f for f in find(text, detectors_of(policy)) if f[3] >= policy.min_confidence):
-                yield kind, text[a:b], a, b, float(sure)
+    detect_spans gives the resolved findings of a text, a row each: SELECT ... FROM t, LATERAL detect_spans(t.text).
+    Detectors are made once a task.
+    """
 
+    class DetectSpans:
+        def __init__(self):
+            self._detectors = detectors_of(policy)
 
-def register(spark: SparkSession, policy: Policy = Policy()) -> None:
-    """Registers detect_spans(text) and pii_mask(text) of a policy."""
+        def eval(self, text: str) -> Iterator[tuple]:
+            if text is not None:
+                for kind, a, b, sure in resolve(f for f in find(text, self._detectors) if f[3] >= policy.min_confidence):
+                    yield kind, text[a:b], a, b, float(sure)
 
     @F.pandas_udf("string")
     def pii_mask(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else Masker(policy).mask(t))
 
-    spark.udtf.register("detect_spans", DetectSpans)
+    spark.udtf.register("detect_spans", udtf(DetectSpans, returnType=SPAN))
     spark.udf.register("pii_mask", pii_mask)
