@@ -372,3 +372,68 @@ def test_sql_functions_obey_their_policy(spark):
         assert all((f"__PII_{k}_1__" in masked) == (k in want) for k in ("EMAIL", "CARD"))
     sql.register(spark, Policy(("EMAIL",), min_confidence=1.1))
     assert spark.sql("SELECT s.* FROM t_policy t, LATERAL detect_spans(t.text) s").count() == 0
+
+
+class Context(ner.CapitalisedWindows):
+    """Labels depend on the token before; the two ends of a window are less sure than its middle."""
+
+    labels = {0: "O", 1: "B-PER", 2: "I-PER", 9: "O"}
+
+    def __call__(self, windows):
+        assert all(len(w) <= 10 for w in windows) and len(windows) <= 3
+        sure = lambda k, n: 0.9 if n < 10 or 3 <= k < n - 3 else 0.85
+        return [[(label, sure(k, len(w))) for k, (label, _) in enumerate(one)] for w, one in zip(windows, super().__call__(windows))]
+
+
+def test_windows_equal_one_pass(spark):
+    """Texts of any length, through windows of ten tokens in batches of three, against the model without windows."""
+    import random
+
+    r = random.Random(9)
+    word = lambda: r.choice(["Anna", "Bo", "said", "to", ",", "x", "Carl-Otto", "é", "Öl"])
+    texts = [" ".join(word() for _ in range(n)) for n in (0, 1, 2, 9, 10, 11, 12, 17, 18, 19, 40, 41, 500)] + [None, "  ", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    got = {x.i: x.p for x in df.select("i", ner.predict_windows(F.col("t"), Context, 12, 6, 2, 3).alias("p")).collect()}
+    plain = ner.CapitalisedWindows()
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] is None
+            continue
+        ids, spans = plain.encode(t)
+        want = [(plain.labels[label], *span) for span, (label, _) in zip(spans, plain([ids])[0])]
+        assert [(x.label, x.start, x.end) for x in got[i]] == want, t
+    with pytest.raises(ValueError):
+        ner.predict_windows(F.col("t"), Context, 10, 8, 2)
+
+
+def test_an_unknown_label_is_an_error_and_the_surer_window_counts():
+    found = {}
+    ner.merged(found, {0: "O", 1: "PER"}, [(0, 2), (2, 2), (3, 5)], [(1, 0.5), (7, 1.0), (0, 0.9)])
+    ner.merged(found, {0: "O", 1: "PER"}, [(0, 2), (3, 5)], [(0, 0.5), (1, 0.95)])
+    assert found == {(0, 2): ("PER", 0, 2, 0.5), (3, 5): ("PER", 3, 5, 0.95)}
+    with pytest.raises(ValueError, match="unknown label"):
+        ner.merged({}, {0: "O"}, [(0, 1)], [(3, 0.9)])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+def test_bytes_cut_anywhere(n):
+    text = "ж __PII_EMAIL_1____PII_PERSON_1__ 😀 é__PII_ ё"
+    data = text.encode()
+    d = restore.ByteDemasker(MAPPING)
+    assert "".join(d.feed(data[i : i + n]) for i in range(0, len(data), n)) + d.flush() == restore.demask(text, MAPPING)
+    d = restore.ByteDemasker({})
+    assert d.feed(b"a\xd0") == "a" and d.cut == b"\xd0" and d.flush() == "�"
+
+
+def test_byte_chunks_like_text(spark):
+    from veilspan.streaming import keyed
+
+    text = "ж __PII_EMAIL_1__ 😀" * 3
+    replies = spark.createDataFrame([("r", text, list(MAPPING.items())), ("e", "", None)], "request_id string, masked string, mapping array<struct<placeholder:string,value:string>>")
+    for size in (1, 3, 7, 1000):
+        out = keyed.restore_batch(sessions.echo_bytes(replies, size), "bytes").orderBy("seq").collect()
+        assert "".join(x.text for x in out if x.request_id == "r") == restore.demask(text, MAPPING)
+        assert [x.text for x in out if x.request_id == "e"] == [""]
+    cut = [x for x in sessions.echo_bytes(replies, 1).collect() if x.request_id == "r" and x.seq < 9]
+    held = keyed.restore_batch(spark.createDataFrame(cut, "request_id string, seq long, chunk binary, is_last boolean, mapping array<struct<placeholder:string,value:string>>"), "bytes").collect()
+    assert "".join(x.text for x in sorted(held, key=lambda x: (x.seq, x.part))) == text[:8]

@@ -24,6 +24,15 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def new_folder(spark: SparkSession) -> str:
+    """An empty folder in the shared one, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/veilspan-{uuid.uuid4().hex}"
+    files, p = _files(spark, path)
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column
@@ -104,6 +105,88 @@ def windows(n_tokens: int, size: int = 512, stride: int = 64) -> list[tuple[int,
         at += size - stride
 
 
+class WindowModel(Protocol):
+    """A token classifier that sees a bounded number of tokens at a time."""
+
+    labels: Mapping[int, str]
+
+    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        """The ids of all tokens of a text, and where each begins and ends in it."""
+
+    def __call__(self, windows: list[list[int]]) -> list[list[tuple[int, float]]]:
+        """For each window a label's id and its confidence for each token."""
+
+
+def merged(found: dict[tuple[int, int], Token], labels: Mapping[int, str], offsets: Iterable[tuple[int, int]], predicted: Iterable[tuple[int, float]]) -> None:
+    """Adds a window's predictions: of two of the same span the more confident counts, the earlier window's if they are equal.
+
+    Tokens without extent (a model's marks) are left out. An id without a label is an error.
+    """
+    for (a, b), (label, sure) in zip(offsets, predicted, strict=True):
+        if a == b:
+            continue
+        if label not in labels:
+            raise ValueError(f"the model gave an unknown label {label}")
+        if (a, b) not in found or sure > found[a, b][3]:
+            found[a, b] = (labels[label], a, b, float(sure))
+
+
+def predict_windows(text: Column, load: Callable[[], WindowModel], size: int = 512, stride: int = 64, specials: int = 2, batch: int = 32) -> Column:
+    """Token predictions of a model that takes ``size`` tokens at most, ``specials`` of which are its own marks, for texts of any length.
+
+    Windows share ``stride`` tokens. The windows of many texts go to the model together, ``batch`` at a time, those of like length
+    beside each other (so that padding is short); of a long text only so many are held as a few batches have. ``load``
+    makes the model once a task. A null text has null, one without tokens an empty array.
+    """
+    room = size - specials
+    if not 0 <= stride < room:
+        raise ValueError("windows must go on")
+
+    @F.pandas_udf(f"array<{TOKEN}>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+
+        def passed(held: list[tuple], found: list[dict]) -> None:
+            held.sort(key=lambda w: len(w[2]))  # windows of a text stay in order where lengths are equal
+            told = []
+            for k in range(0, len(held), batch):
+                told += list(zip(held[k : k + batch], model([w[2] for w in held[k : k + batch]]), strict=True))
+            for (row, _, _, offsets), predicted in sorted(told, key=lambda w: w[0][:2]):
+                merged(found[row], model.labels, offsets, predicted)
+            held.clear()
+
+        for texts in batches:
+            found, held = [{} for _ in texts], []
+            for row, t in enumerate(texts):
+                if t is None:
+                    continue
+                ids, offsets = model.encode(t)
+                for n, (a, b) in enumerate(windows(len(ids), room, stride) if ids else ()):
+                    held.append((row, n, ids[a:b], offsets[a:b]))
+                    if len(held) >= 8 * batch:
+                        passed(held, found)
+            passed(held, found)
+            names = ("label", "start", "end", "confidence")
+            yield pd.Series([None if t is None else [dict(zip(names, x)) for x in sorted(f.values(), key=lambda x: x[1:3])] for t, f in zip(texts, found)], dtype=object)
+
+    return run(text)
+
+
+class CapitalisedWindows:
+    """A stand-in for a windowed model in tests: a capitalised word is B-PER, or I-PER if the token before it is one."""
+
+    labels = {0: "O", 1: "B-PER", 2: "I-PER"}
+    _token = re.compile(r"\w+|[^\w\s]")
+    _capital = re.compile(r"[A-ZА-ЯЁ]\w")
+
+    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        spans = [m.span() for m in self._token.finditer(text)]
+        return [int(self._capital.match(text, a) is not None) for a, _ in spans], spans
+
+    def __call__(self, windows: list[list[int]]) -> list[list[tuple[int, float]]]:
+        return [[((2 if k and w[k - 1] else 1) if x else 0, 0.9) for k, x in enumerate(w)] for w in windows]
+
+
 class CapitalisedBackend:
     """A stand-in for a model in tests: capitalised words are B-PER, or I-PER after another one."""
 

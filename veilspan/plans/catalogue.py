@@ -9,9 +9,9 @@ from ..functions import spans as S
 from ..functions.lexicon import Lexicon
 from ..operators import analytics, detectors, evaluation, masking, ner, policy
 from ..sources import readers
-from ..streaming import sessions
+from ..streaming import keyed, sessions
 from . import detector_queries  # registers its queries
-from .registry import ORACLES, QUERIES, digits, exploded, in_turn, pick, query, small, table
+from .registry import ORACLES, QUERIES, digits, exploded, in_turn, pick, query, ran, small, streamed, table
 
 __all__ = ["ORACLES", "QUERIES", "detector_queries"]
 
@@ -296,14 +296,38 @@ def api_key(spark, sf_dir):
 )
 def session_batch(spark, sf_dir):
     """Seven requests for each customer's id: mask, retry, restore, conflict, expiry, a new session, too large."""
+    out = sessions.process_batch(_story(table(spark, sf_dir, "customer")), masking.Policy(("EMAIL",)))
+    return out.select(F.col("payload_id").cast("long").alias("id"), F.col("seq").cast("int").alias("seq"), "status", "outcome")
+
+
+def _story(customers):
     key = F.col("c_custkey").cast("string")
     text = F.concat(F.lit("mail user"), key, F.lit("@mail.example.com"))
     other = F.concat(F.lit("other "), key)
     steps = [(0, 0, text), (1, 10, text), (2, 20, F.lit("mail __PII_EMAIL_1__")), (3, 30, other), (4, 150, text), (5, 400, other), (6, 410, F.repeat(F.lit("x"), 400001))]
     events = F.array(*[F.struct(F.lit(n).alias("seq"), F.timestamp_seconds(F.lit(1_700_000_000 + t)).alias("ts"), p.alias("payload")) for n, t, p in steps])
-    rows = table(spark, sf_dir, "customer").select("c_custkey", key.alias("payload_id"), F.inline(events))
-    out = sessions.process_batch(rows, masking.Policy(("EMAIL",)))
-    return out.select(F.col("payload_id").cast("long").alias("id"), F.col("seq").cast("int").alias("seq"), "status", "outcome")
+    return customers.select("c_custkey", key.alias("payload_id"), F.inline(events))
+
+
+@query(
+    """SELECT c_custkey AS id, unnest([0, 1, 2, 3, 4, 5, 6]) AS seq, unnest([200, 200, 200, 409, 410, 200, 413]) AS status,
+    unnest(['mask', 'retry', 'demask', 'conflict', 'expired', 'mask', 'too_large']) AS outcome FROM customer"""
+)
+def session_stream(spark, sf_dir):
+    """The same requests as a stream with keyed state, run until the table is used up."""
+    out = keyed.process_stream(_story(streamed(spark, sf_dir, "customer")), masking.Policy(("EMAIL",)))
+    return ran(out).select(F.col("payload_id").cast("long").alias("id"), F.col("seq").cast("int").alias("seq"), "status", "outcome")
+
+
+@query("SELECT doc_id, text AS restored FROM documents")
+def chunk_stream(spark, sf_dir):
+    """Masked documents come back as a stream of chunks, put in order and restored by keyed state; joined again, they are the documents."""
+    masked = masking.mask(streamed(spark, sf_dir, "documents").select("doc_id", "text"), policy=NATIVE, native=True)
+    chunks = sessions.echo_chunks(masked.select(F.col("doc_id").cast("string").alias("request_id"), "masked", "mapping"), 997)
+    chunks = chunks.withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.pmod(F.xxhash64("request_id"), F.lit(60))))
+    out = ran(keyed.restore_stream(chunks)).where("state = 'ok'")
+    whole = out.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("restored"))
+    return whole.select(F.col("request_id").cast("long").alias("doc_id"), "restored")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey < 100 OR c_custkey BETWEEN 110 AND 209 THEN 200 ELSE 429 END AS status FROM customer")
@@ -436,6 +460,29 @@ def metric_lines(spark, sf_dir):
     return analytics.exporter(counts)
 
 
+@query("SELECT doc_id, text AS restored FROM documents")
+def byte_chunk_demask(spark, sf_dir):
+    """Masked documents come back in chunks of 61 bytes, which cut characters and placeholders anywhere; restored and joined again, they are the documents."""
+    masked = masking.mask(table(spark, sf_dir, "documents").select("doc_id", "text"), policy=NATIVE, native=True)
+    chunks = sessions.echo_bytes(masked.select(F.col("doc_id").cast("string").alias("request_id"), "masked", "mapping"), 61)
+    out = keyed.restore_batch(chunks, "bytes").where("state = 'ok'")
+    whole = out.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("restored"))
+    return whole.select(F.col("request_id").cast("long").alias("doc_id"), "restored")
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'), lambda x: regexp_matches(x, '^[A-ZА-ЯЁ][\p{L}\p{N}_]')) AS capital FROM documents)
+    SELECT doc_id, len(list_filter(capital, lambda x: x))::INT AS tokens,
+      len(list_filter(range(1, len(capital) + 1), lambda i: capital[i] AND (i = 1 OR NOT capital[i - 1])))::INT AS names FROM t"""
+)
+def ner_windows(spark, sf_dir):
+    """A model that sees 32 tokens at a time, over whole documents of any length: capitalised words, and the names that they make up."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = rows.withColumn("tokens", ner.predict_windows(F.col("text"), ner.CapitalisedWindows, 34, 8))
+    found = ner.from_predictions(F.col("text"), F.col("tokens"))
+    return rows.select("doc_id", F.size(F.filter("tokens", lambda x: x["label"] != "O")).alias("tokens"), F.size(found).alias("names"))
+
+
 @query("SELECT 'requests_' || event_type AS name, count(*) AS value FROM events GROUP BY event_type")
 def outcome_counters(spark, sf_dir):
     return sessions.outcome_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("outcome")))

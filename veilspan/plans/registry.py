@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import new_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,6 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files. The path is a pattern, as a stream's path can't name a file otherwise."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def ran(stream: DataFrame) -> DataFrame:
+    """What a stream gives until its source is used up, as a table in the shared folder (removed when the driver ends)."""
+    path = new_folder(stream.sparkSession)
+    query = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows", format="parquet", outputMode="append")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def exploded(df: DataFrame, matches, *keep) -> DataFrame:
     """A row (keep..., m) for each match.
 

@@ -8,6 +8,7 @@ that carries the watermark is left out below it, and ``ts`` goes on as a plain n
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.masking import CONSUMER_DEFAULT, Policy
-from ..operators.restore import ChunkDemasker, Masker, SseDemasker
+from ..operators.restore import ByteDemasker, ChunkDemasker, Masker, SseDemasker
 from .sessions import RESULT, SESSION_OVERHEAD, TOMBSTONE_SECONDS, Session, step
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -250,7 +251,24 @@ class _Events:
     last = property(lambda self: self._d.last)
 
 
-_KINDS = {"chunks": _Chunks, "events": _Events}
+class _Bytes:
+    """A stream of chunks of bytes (in base 64, as state is kept as strings)."""
+
+    def __init__(self, mapping: dict[str, str], held: str = "", last: str | None = None):
+        self._d = ByteDemasker(mapping, held, base64.b64decode(last or ""))
+
+    def feed(self, body: str, is_last: bool) -> tuple[list[str], bool]:
+        return [self._d.feed(base64.b64decode(body)) + (self._d.flush() if is_last else "")], is_last
+
+    def finish(self) -> list[str]:
+        left = self._d.flush()
+        return [left] if left else []
+
+    held = property(lambda self: self._d.held)
+    last = property(lambda self: base64.b64encode(self._d.cut).decode())
+
+
+_KINDS = {"chunks": _Chunks, "events": _Events, "bytes": _Bytes}
 RESTORED = "request_id string, seq long, part int, text string, state string"
 _HEAD = "next long, done boolean, held string, last string, mapping string, latest long"
 
@@ -394,13 +412,14 @@ class OrderProcessor(StatefulProcessor):
 
 def _bodies(rows: DataFrame, kind: str, *more: str) -> DataFrame:
     """request_id, seq, body, is_last, mapping (JSON)."""
-    body, is_last = ("chunk", F.coalesce("is_last", F.lit(False))) if kind == "chunks" else ("line", F.lit(False))
-    return rows.select("request_id", F.col("seq").cast("long").alias("seq"), F.col(body).alias("body"), is_last.alias("is_last"), F.to_json("mapping").alias("mapping"), *more)
+    body = F.col("line") if kind == "events" else F.base64("chunk") if kind == "bytes" else F.col("chunk")
+    is_last = F.lit(False) if kind == "events" else F.coalesce("is_last", F.lit(False))
+    return rows.select("request_id", F.col("seq").cast("long").alias("seq"), body.alias("body"), is_last.alias("is_last"), F.to_json("mapping").alias("mapping"), *more)
 
 
 def restore_stream(rows: DataFrame, kind: str = "chunks", late: str = "1 minute", idle: str = "5 minutes") -> DataFrame:
-    """Restored chunks (request_id, seq from 0, ts, chunk, is_last, mapping) or lines of event streams (kind ``events``; line for
-    chunk and is_last) as RESTORED: ``state`` is ok; held (what was held back at the end of a request that never ended);
+    """Restored chunks (request_id, seq from 0, ts, chunk, is_last, mapping), of text or (kind ``bytes``) of bytes that may be cut within
+    a character, or lines of event streams (kind ``events``; line for chunk and is_last) as RESTORED: ``state`` is ok; held (what was held back at the end of a request that never ended);
     beyond (rows behind a missing one); or late (rows behind the watermark of a request that isn't known any more).
 
     A request ends ``idle`` of event time after its latest row; until then rows wait for the missing ones, and its number of

@@ -300,6 +300,14 @@ def echo_chunks(replies: DataFrame, size: int = 7, text: str = "masked") -> Data
     return out.select("request_id", F.col("seq").cast("long").alias("seq"), F.expr(f"substring(_t, seq * {size} + 1, {size})").alias("chunk"), (F.col("seq") == F.col("_n") - 1).alias("is_last"), F.when(F.col("seq") == 0, F.col("mapping")).alias("mapping"))
 
 
+def echo_bytes(replies: DataFrame, size: int = 7, text: str = "masked") -> DataFrame:
+    """``echo_chunks`` cut to ``size`` bytes, wherever that is in a character."""
+    data = F.col(text).cast("binary")
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / size).cast("int"))
+    out = replies.select("request_id", "mapping", data.alias("_t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"), n.alias("_n"))
+    return out.select("request_id", F.col("seq").cast("long").alias("seq"), F.expr(f"substring(_t, seq * {size} + 1, {size})").alias("chunk"), (F.col("seq") == F.col("_n") - 1).alias("is_last"), F.when(F.col("seq") == 0, F.col("mapping")).alias("mapping"))
+
+
 def outcome_counts(results: DataFrame) -> DataFrame:
     """The service's counters, as rows (name, value)."""
     return results.groupBy(F.concat(F.lit("requests_"), "outcome").alias("name")).agg(F.count("*").alias("value"))
