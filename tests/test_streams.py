@@ -288,3 +288,39 @@ def test_each_row_is_masked_by_its_own_policy_once(spark):
     rows = spark.createDataFrame([("m", "a@b.co"), ("t", "a@b.co"), ("m", None), (None, "a@b.co")], "consumer_id string, text string")
     got = {(r.consumer_id, r.text): (r.status, r.masked) for r in policies.mask_requests(rows, table).collect()}
     assert got == {("m", "a@b.co"): (200, "__PII_EMAIL_1__"), ("t", "a@b.co"): (200, "a@b.co"), ("m", None): (200, None), (None, "a@b.co"): (403, None)}
+
+
+def test_a_restarted_sink_repeats_nothing(spark, tmp_path):
+    """Killed between the sink's commit and Spark's, and with files of failed tasks lying about: the same content."""
+    from veilspan.sources import sinks
+
+    rows = chunked(MASKED, 7, MAPPING, "r") + chunked("plain", 2, {}, "p") + chunked("other text", 3, {}, "o", 50)
+    files = Files(spark, tmp_path, CHUNKS)
+    out, state = tmp_path / "sink", tmp_path / "c"
+
+    def run():
+        reader = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
+        q = sinks.write_stream(keyed.restore_stream(reader, late="1 hour"), f"file://{out}", str(state), availableNow=True)
+        assert q.awaitTermination(120) and q.exception() is None
+
+    def content():
+        got = sinks.committed(spark, str(out), keyed.RESTORED)
+        return sorted(map(tuple, got.collect())), {r.request_id: r.body for r in sinks.bodies(got).collect()}
+
+    files.add(rows[:6], rows[6:12])
+    run()
+    before = content()[0]
+    lists = sorted(p.name for p in (out / "lists").glob("0*"))
+    last = max((state / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # as if the driver had died before it knew of the last micro-batch
+    (state / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    (out / "rows" / "orphan.json").write_text('{"request_id": "r", "seq": 0, "part": 0, "text": "twice", "state": "ok"}\n')
+    (out / "lists" / ".half").write_text('{"epoch": 0, "file": "orphan.json", "rows": 1}\n')
+    run()
+    assert content()[0] == before and sorted(p.name for p in (out / "lists").glob("0*")) == lists
+    files.add(rows[12:])
+    run()
+    got, body = content()
+    want = sorted(map(tuple, keyed.restore_batch(spark.createDataFrame(rows, CHUNKS)).collect()))
+    assert sorted(r[:5] for r in got) == want
+    assert body == {"r": restore.demask(MASKED, MAPPING), "p": "plain", "o": "other text"}
