@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import spans as S
 from ..functions.lexicon import Lexicon
+from ..functions.native_context import NATIVE_CONTEXT, pin
 from ..functions.tables import written
 from .detectors import TYPES, detect
 
@@ -39,20 +40,26 @@ def candidates(text: Column, policy: Policy = Policy(), lexicon: Lexicon | None
     return detect(text, policy.effective(), policy.require_card_for_pin, policy.custom_terms, lexicon, degradation=policy.degradation)
 
 
+def native_candidates(text: Column, policy: Policy) -> Column:
+    """``candidates`` by column expressions, for types that have one."""
+    known = S.NATIVE | NATIVE_CONTEXT | {"PIN": lambda t: pin(t, policy.require_card_for_pin)}
+    missing = set(policy.effective()) - set(known)
+    if missing or policy.custom_terms:
+        raise ValueError(f"no native detector for {sorted(missing) or 'custom terms'}")
+    return F.concat(*[known[k](text) for k in policy.effective()])
+
+
 def mask(df: DataFrame, text: str = "text", policy: Policy = Policy(), lexicon: Lexicon | None = None, native: bool = False, keep_candidates: bool = False) -> DataFrame:
     """Adds matches (resolved), masked, mapping, pii_types and decisions to each row; a null text has nulls.
 
-    ``native`` uses the column expressions of the types that have one (checksums and e-mail) and no Python;
-    the policy may then name no other type. All other columns pass through untouched; one that is named like a column
+    ``native`` uses the column expressions of the types that have one (e-mail, checksums, and what a context decides: see
+    ``native_context``) and no Python; the policy may then name no other type. All other columns pass through untouched; one that is named like a column
     that is added is refused.
     """
     _refuse(df, ["matches", "masked", "mapping", "pii_types", "decisions", *(["candidates"] if keep_candidates else [])])
     t = F.col(text)
     if native:
-        missing = set(policy.effective()) - set(S.NATIVE)
-        if missing:
-            raise ValueError(f"no native detector for {sorted(missing)}")
-        found = F.concat(*[S.NATIVE[k](t) for k in policy.effective()])
+        found = native_candidates(t, policy)
     else:
         found = candidates(t, policy, lexicon)
     out = df.withColumn("__veilspan_found", found).withColumn("__veilspan_ok", S.eligible(F.col("__veilspan_found"), policy.min_confidence)).withColumn("matches", S.resolve(F.col("__veilspan_ok")))
@@ -82,7 +89,7 @@ def mask_chat(df: DataFrame, policy: Policy = Policy(), conv: str = "conv_id", t
     """
     _refuse(df, ["matches", "masked", "mapping"])
     t = F.col(text)
-    found = F.concat(*[S.NATIVE[k](t) for k in policy.effective()]) if native else candidates(t, policy)
+    found = native_candidates(t, policy) if native else candidates(t, policy)
     # read twice, so written: detectors run once a text
     marked = written(df.withColumn("matches", S.resolve(S.eligible(found, policy.min_confidence))))
     counts = marked.select(F.col(conv).alias("__veilspan_conv"), F.col(turn).alias("__veilspan_turn"), F.explode("matches.pii_type").alias("kind"))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions.checks import INN10
+from ..functions.native_context import NATIVE_CONTEXT
 from ..operators import address, masking
 from ..streaming import sessions
 from .registry import digits, exploded, in_turn, pick, query, table
@@ -166,6 +168,19 @@ def _register(name: str, types, cases) -> None:
 for _name, (_types, _cases) in CASES.items():
     _register(_name, _types, _cases)
 
+_NATIVE = {name: case for name, case in CASES.items() if case[0] and set(case[0]) <= set(NATIVE_CONTEXT) | set(spans.NATIVE)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS query, k, {in_turn([m for _, m in cases], 'k')} AS masked FROM (SELECT c_custkey AS k FROM customer)" for name, (_, cases) in _NATIVE.items()))
+def native_context_masks(spark, sf_dir):
+    """The texts of all detectors that context alone decides, masked without Python."""
+    out = None
+    for name, (types, cases) in _NATIVE.items():
+        one = masking.mask(_texts(spark, sf_dir, cases), policy=masking.Policy(types), native=True).select(F.lit(name).alias("query"), "k", "masked")
+        out = one if out is None else out.union(one)
+    return out
+
+
 _ADDRESS = CASES["detect_address"][1][0][0]
 
 
