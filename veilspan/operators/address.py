@@ -63,6 +63,10 @@ _PLACE_PART = re.compile(rf"(?<![\w-])(?i:{_SETTLEMENT})(?![\w-])\.?\s*[А-ЯЁ]
 _REGION_PART = re.compile(rf"(?:[А-ЯЁ][\w-]*\s+)+(?i:{_REGION})(?![\w-])\.?|(?<![\w-])(?i:{_REGION})(?![\w-])\.?\s+[А-ЯЁ][\w-]*(?:\s+[А-ЯЁ][\w-]*)*")
 _ZIP_PART = re.compile(r"(?<![0-9])[0-9]{6}(?![0-9])")
 _BARE = re.compile(r"[0-9]{1,4}\s?[а-яё]?(?:[/\\][0-9]+)?", re.I)
+#: A name and a number without any word for what they are: "Садовая 5", "Полевая 12/1", "ЛЕСНАЯ 7 к 2".
+_PAIR = re.compile(r"([А-ЯЁ][А-ЯЁа-яё-]{2,})\s+([0-9]{1,3}[А-ЯЁа-яё]?)(?:\s*к\.?\s*([0-9]+)|([/\\][0-9]+))?(?![.0-9])")
+#: Marks of a line that a machine has put together.
+_MACHINE = re.compile(r"•|;;|\b(?:RUS|Россия|UKR|TJK|UZB|KAZ|BLR|KGZ|ABH)\b", re.I)
 _PROPER = re.compile(r"[А-ЯЁ][\w.-]*(?:\s+[А-ЯЁа-яё][\w.-]*){0,3}|[А-ЯЁ][А-ЯЁ -]{2,}")
 _CAPITALS = re.compile(r"[А-ЯЁ][\w-]*(?:\s+[А-ЯЁ][\w-]*)*")
 _LABELLED = re.compile(rf"\b(?:{_LABEL})\b", re.I)
@@ -73,10 +77,15 @@ _CUT = re.compile(r"[,;:\n•·()]|[.!?](?=\s|$)")
 class Segment:
     start: int
     end: int
-    kind: str  #: zip, country, region, place, street, house, number, name, or label
+    kind: str  #: zip, country, region, place, street, house, pair (a name and a number), number, name, or label
     after: str  #: the delimiter after it
 
 
+def _is_pair(part: str) -> bool:
+    m = _PAIR.fullmatch(part)
+    return m is not None and not _SERVICE.fullmatch(m[1])
+
+
 def _is_abbreviation(text: str, period: int) -> bool:
     word = re.search(r"[\w-]*$", text[max(0, period - 12) : period]).group().casefold()
     return word in _ABBREVIATIONS
@@ -89,6 +98,8 @@ def _classify(text: str, start: int, end: int) -> tuple[int, int, str] | None:
         return start, end, "zip"
     if _COUNTRY.fullmatch(part):
         return start, end, "country"
+    if _is_pair(part):
+        return start, end, "pair"
     for pattern, kind in ((_STREET_PART, "street"), (_HOUSE_PART, "house"), (_REGION_PART, "region"), (_PLACE_PART, "place"), (_ZIP_PART, "zip")):
         if m := pattern.search(part):
             a = m.start()
@@ -138,11 +149,15 @@ def _accepted(text: str, run: list[Segment]) -> list[Segment]:
         run = run[1:]  # an organisation before its address
     if not run:
         return []
-    while run and run[-1].kind == "name" and run[-1].start > 0 and not any(s.kind in ("street", "house", "region", "place", "zip") for s in run[:-1]):
+    while run and run[-1].kind == "name" and run[-1].start > 0 and not any(s.kind in ("street", "house", "pair", "region", "place", "zip") for s in run[:-1]):
         run = run[:-1]
     kinds = [s.kind for s in run]
     places = kinds.count("place") + kinds.count("region")
-    anchored = "street" in kinds or "house" in kinds and (places or "name" in kinds or labelled or len(kinds) > 1 or kinds == ["house"])
+    # what no word marks needs something else around it that is an address's, or a line made by a machine
+    beside = places or "country" in kinds or "zip" in kinds or labelled or _MACHINE.search(text) is not None and len(kinds) > 1
+    if "pair" in kinds and not beside:
+        return []
+    anchored = "street" in kinds or "pair" in kinds or "house" in kinds and (places or "name" in kinds or labelled or len(kinds) > 1 or kinds == ["house"])
     if not (anchored or places >= 2 or "zip" in kinds and (labelled or places or "name" in kinds and len(kinds) > 1) or "country" in kinds and places):
         return []
     before = text[max(0, run[0].start - ORGANISATION_REACH) : run[0].start]
@@ -154,6 +169,9 @@ def _accepted(text: str, run: list[Segment]) -> list[Segment]:
 
 def names(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The parts of a segment without the service words at its sides and between numbers."""
+    pair = _PAIR.fullmatch(text, start, end)
+    if pair and not _SERVICE.fullmatch(pair[1]):
+        return [pair.span(1), (pair.start(2), pair.end(4) if pair[4] else pair.end(2)), *([pair.span(3)] if pair[3] else [])]
     out, at = [], start
     marks = [m.span() for m in _SERVICE.finditer(text, start, end)]
     inner = [(a, b) for a, b in marks if a == start or b == end or not text[start:a].strip(" ,;") or re.match(r"\s*(?:№\s*)?[0-9]", text[b:end])]
@@ -201,6 +219,9 @@ def _granules(part: str, kind: str) -> list[tuple[str, str]]:
         return _house_parts(part)
     if kind == "number":
         return [("number", part)]
+    if kind == "pair":
+        name, house, corpus, fraction = _PAIR.fullmatch(part.strip()).groups()
+        return [("street", name), ("house", house + (fraction or "")), *([("corpus", corpus)] if corpus else [])]
     if kind == "region":
         return [("district" if re.search(r"\b(?:р-н|район)\b", part, re.I) else "region", part)]
     if kind == "street":

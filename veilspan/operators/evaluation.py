@@ -115,6 +115,38 @@ def rollup(each: DataFrame, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
     return ratios(sums)
 
 
+def quality_metrics():
+    """precision, recall, exact_span and f1 of a group's counts, as a grouped aggregate function over (tp, fp, fn, wrong).
+
+    A group comes to one task whole, so sum long tables first (``quality_table`` does); in SQL it is quality_metrics(...) after ``sql.register``.
+    """
+
+    @F.pandas_udf("array<double>")
+    def metrics(tp: pd.Series, fp: pd.Series, fn: pd.Series, wrong: pd.Series) -> list:
+        hit, false, missed, near = (int(x.sum()) for x in (tp, fp, fn, wrong))
+
+        def share(part: float, of: float) -> float:
+            return part / of if of else 0.0
+
+        p, r = share(hit, hit + false + near), share(hit, hit + missed + near)
+        return [p, r, share(hit, hit + near), share(2 * p * r, p + r)]
+
+    return metrics
+
+
+def quality_table(each: DataFrame, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """``rollup`` by the aggregate function: what each task has of a group is summed before, so the function sees as many rows as there were tasks at most."""
+    wrong = F.sum(F.col("span_errors") + F.col("type_errors")).alias("wrong")
+    parts = each.withColumn("_part", F.spark_partition_id()).groupBy(*by, "pii_type", "_part").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], wrong)
+    out = None
+    keys = [*by, "pii_type"]
+    for n in range(len(keys), -1, -1):  # the aggregate function can't be used with ROLLUP
+        have = [F.col(c) if c in keys[:n] else F.lit(None).cast("string").alias(c) for c in keys]
+        one = parts.groupBy(*keys[:n]).agg(quality_metrics()("tp", "fp", "fn", "wrong").alias("m")).select(*have, "m")
+        out = one if out is None else out.union(one)
+    return out.select(*keys, *[F.get("m", F.lit(i)).alias(c) for i, c in enumerate(("precision", "recall", "exact_span", "f1"))])
+
+
 def macro_micro(table: DataFrame) -> DataFrame:
     """macro_f1: the mean over types; micro_f1: of the totals, from the rows of ``quality``."""
     rows = table.where("dataset is not null")

@@ -380,6 +380,18 @@ def quality_rollup(spark, sf_dir):
     return out.select("dataset", "pii_type", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(
+    f"""WITH each AS ({_EACH_SQL}),
+    sums AS (SELECT dataset, pii_type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(span_errors + type_errors)::BIGINT AS wrong FROM each GROUP BY ROLLUP (dataset, pii_type)),
+    rates AS (SELECT *, tp::DOUBLE / (tp + fp + wrong) AS p, tp::DOUBLE / (tp + fn + wrong) AS r FROM sums)
+    SELECT dataset, pii_type, round(p, 9) AS precision, round(r, 9) AS recall, round(tp::DOUBLE / (tp + wrong), 9) AS exact_span, round(2 * p * r / (p + r), 9) AS f1 FROM rates"""
+)
+def quality_aggregate(spark, sf_dir):
+    """The same ratios by a grouped aggregate function."""
+    out = evaluation.quality_table(_each(spark, sf_dir))
+    return out.select("dataset", "pii_type", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "exact_span", "f1")])
+
+
 @query(
     """SELECT p_partkey, CASE WHEN p_name = p_type THEN 0.0 WHEN p_partkey % 4 = 0 THEN 0.5 ELSE round(1.0::DOUBLE - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type)), 9) END::DOUBLE AS score
     FROM part"""

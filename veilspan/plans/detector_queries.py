@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import spans
 from ..functions.checks import INN10
+from ..functions.lexicon import Lexicon
 from ..functions.native_context import NATIVE_CONTEXT
-from ..operators import address, masking
+from ..operators import address, masking, names
 from ..streaming import sessions
 from .registry import digits, exploded, in_turn, pick, query, table
 
@@ -132,6 +133,20 @@ CASES: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
     "detect_person_latin": (("PERSON",), [_both("we met ", _LATIN, " there", "PERSON"), _both("full name ", pick("Belov Oleg", "Olga Belova"), "", "PERSON"), _trap("'we met ' || " + pick("Big Ben", "Red Square"))]),
     "detect_person_marked": (("PERSON",), [_both("ФИО: ", pick("Мухоедов Лаврентий", "Птицелова Ефросинья"), "", "PERSON"), _both("клиент ", pick("белова ольга павловна", "соколов павел ильич"), "", "PERSON"), _trap("'закон: Мухоедов Лаврентий'")]),
     "detect_person_known": (("PERSON",), [_trap("'читаем: ' || " + pick("Лев Толстой", "Юрий Алексеевич Гагарин", "Пётр Леонидович Капица")), _both("читаем: ", _NAME, "", "PERSON")]),
+    "detect_address_machine": (
+        ("ADDRESS",),
+        [
+            (f"'RUS • ' || {digits(6, 104729)} || ' • г ' || {_CITY} || ' • ' || {_STREET} || ' ' || {_HOUSE}", f"{_mark('ADDRESS')} || ' • ' || {_mark('ADDRESS', 2)} || ' • г ' || {_mark('ADDRESS', 3)} || ' • ' || {_mark('ADDRESS', 4)} || ' ' || {_mark('ADDRESS', 5)}"),
+            (f"{digits(6, 104729)} || ';;' || {_CITY} || ';;' || {_STREET} || ' ' || {_HOUSE} || ';;кв ' || {_HOUSE}", f"{_mark('ADDRESS')} || ';;' || {_mark('ADDRESS', 2)} || ';;' || {_mark('ADDRESS', 3)} || ' ' || {_mark('ADDRESS', 4)} || ';;кв ' || {_mark('ADDRESS', 5)}"),
+            (f"'ул. ' || {_STREET} || ', д. ' || {_HOUSE} || ' • кв. ' || {_HOUSE} || ' • ' || {digits(6, 104729)} || ' • потом'", f"'ул. ' || {_mark('ADDRESS')} || ', д. ' || {_mark('ADDRESS', 2)} || ' • кв. ' || {_mark('ADDRESS', 3)} || ' • ' || {_mark('ADDRESS', 4)} || ' • потом'"),
+            (f"'г. ' || {_CITY} || ', ' || {_STREET} || ' ' || {_HOUSE} || ' к 2'", f"'г. ' || {_mark('ADDRESS')} || ', ' || {_mark('ADDRESS', 2)} || ' ' || {_mark('ADDRESS', 3)} || ' к ' || {_mark('ADDRESS', 4)}"),
+            ("'Тверская область, Калининский район'", f"{_mark('ADDRESS')} || ' область, ' || {_mark('ADDRESS', 2)} || ' район'"),
+            _trap(f"'Привет, ' || {_STREET} || ' ' || {_HOUSE} || ', пока'"),
+            _trap(f"'• пункт ' || {_HOUSE} || ' • заявка • потом'"),
+            _trap("'ТВЕРСКАЯ ОБЛАСТЬ'"),
+            _trap(f"'код ' || {digits(6, 104729)} || ' • готово'"),
+        ],
+    ),
     "detect_address": (
         ("ADDRESS",),
         [
@@ -168,6 +183,13 @@ def _register(name: str, types, cases) -> None:
 for _name, (_types, _cases) in CASES.items():
     _register(_name, _types, _cases)
 
+@query(f"SELECT k, CASE k % 3 WHEN 0 THEN {_NAME} ELSE {_TWO} END AS value FROM (SELECT c_custkey AS k FROM customer) WHERE k % 3 < 2")
+def names_by_table(spark, sf_dir):
+    """Names by a dictionary that is joined, not shipped."""
+    cases = [(f"'договор подписали: ' || {_NAME} || ', свидетель'", ""), (f"'пришла ' || {_TWO} || ' одна'", ""), ("'Большая Садовая Улица, Новый Арбат'", "")]
+    return names.find(_texts(spark, sf_dir, cases), names.lexicon_table(spark, Lexicon()), "k").select("k", "value")
+
+
 _NATIVE = {name: case for name, case in CASES.items() if case[0] and set(case[0]) <= set(NATIVE_CONTEXT) | set(spans.NATIVE)}
 
 

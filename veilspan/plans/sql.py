@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..operators.evaluation import quality_metrics
 from ..operators.masking import Policy
 from ..operators.restore import Masker, detectors_of, resolve
 from ..operators.detectors import find
@@ -17,7 +18,7 @@ SPAN = "pii_type string, value string, start int, end int, confidence double"
 
 
 def register(spark: SparkSession, policy: Policy = Policy()) -> None:
-    """Registers detect_spans(text), a table function, and pii_mask(text), both of a policy.
+    """Registers detect_spans(text), a table function, and pii_mask(text), both of a policy; and quality_metrics(tp, fp, fn, wrong), an aggregate.
 
     detect_spans gives the resolved findings of a text, a row each: SELECT ... FROM t, LATERAL detect_spans(t.text).
     Detectors are made once a task.
@@ -38,3 +39,4 @@ def register(spark: SparkSession, policy: Policy = Policy()) -> None:
 
     spark.udtf.register("detect_spans", udtf(DetectSpans, returnType=SPAN))
     spark.udf.register("pii_mask", pii_mask)
+    spark.udf.register("quality_metrics", quality_metrics())
