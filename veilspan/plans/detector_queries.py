@@ -187,7 +187,7 @@ for _name, (_types, _cases) in CASES.items():
 def names_by_table(spark, sf_dir):
     """Names by a dictionary that is joined, not shipped."""
     cases = [(f"'договор подписали: ' || {_NAME} || ', свидетель'", ""), (f"'пришла ' || {_TWO} || ' одна'", ""), ("'Большая Садовая Улица, Новый Арбат'", "")]
-    return names.find(_texts(spark, sf_dir, cases), names.lexicon_table(spark, Lexicon()), "k").select("k", "value")
+    return names.find(_texts(spark, sf_dir, cases), names.lexicon_table(spark, Lexicon()), "k").select(F.col("doc_id").alias("k"), "value")
 
 
 _NATIVE = {name: case for name, case in CASES.items() if case[0] and set(case[0]) <= set(NATIVE_CONTEXT) | set(spans.NATIVE)}
