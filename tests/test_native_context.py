@@ -57,8 +57,8 @@ def test_native_equals_python_on_all_documents(spark, sf):
 def test_masks_are_the_same_and_no_python_runs(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts(3, 150))], "i int, text string")
     for policy in (Policy(TYPES), Policy(("PIN", "CARD"), require_card_for_pin=False)):
-        native = masking.mask(df, policy=policy, native=True)
+        native = masking.mask(df, policy=policy, native="context")
         assert "Python" not in native._jdf.queryExecution().toString()
         assert {r.i: (r.masked, r.mapping) for r in native.select("i", "masked", "mapping").collect()} == {r.i: (r.masked, r.mapping) for r in masking.mask(df, policy=policy).select("i", "masked", "mapping").collect()}
     with pytest.raises(ValueError, match="ADDRESS"):
-        masking.mask(df, policy=Policy(("ADDRESS",)), native=True)
+        masking.mask(df, policy=Policy(("ADDRESS",)), native="context")

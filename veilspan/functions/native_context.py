@@ -15,17 +15,12 @@ from pyspark.sql import functions as F
 from . import patterns as P
 from .checks import digits_col, inn_col, luhn_col, sequential_col
 from .context import SOFT_FACTOR, Rule
-from .spans import MATCHES, java, spans
+from .spans import MATCHES, java, let, spans
 
 #: A rule that has no threshold of its own keeps all its candidates; others drop those under this.
 OWN_LIMIT = 0.80
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def folded(text: Column) -> Column:
     """Lower case of the same length: a character whose lower case is longer stays."""
     low = F.lower(text)

@@ -40,26 +40,27 @@ def candidates(text: Column, policy: Policy = Policy(), lexicon: Lexicon | None
     return detect(text, policy.effective(), policy.require_card_for_pin, policy.custom_terms, lexicon, degradation=policy.degradation)
 
 
-def native_candidates(text: Column, policy: Policy) -> Column:
-    """``candidates`` by column expressions, for types that have one."""
-    known = S.NATIVE | NATIVE_CONTEXT | {"PIN": lambda t: pin(t, policy.require_card_for_pin)}
+def native_candidates(text: Column, policy: Policy, native: bool | str = "context") -> Column:
+    """``candidates`` by column expressions, for types that have one. ``native`` True: cards and INNs by their checksums only."""
+    known = S.NATIVE | (NATIVE_CONTEXT | {"PIN": lambda t: pin(t, policy.require_card_for_pin)} if native == "context" else {})
     missing = set(policy.effective()) - set(known)
     if missing or policy.custom_terms:
         raise ValueError(f"no native detector for {sorted(missing) or 'custom terms'}")
     return F.concat(*[known[k](text) for k in policy.effective()])
 
 
-def mask(df: DataFrame, text: str = "text", policy: Policy = Policy(), lexicon: Lexicon | None = None, native: bool = False, keep_candidates: bool = False) -> DataFrame:
+def mask(df: DataFrame, text: str = "text", policy: Policy = Policy(), lexicon: Lexicon | None = None, native: bool | str = False, keep_candidates: bool = False) -> DataFrame:
     """Adds matches (resolved), masked, mapping, pii_types and decisions to each row; a null text has nulls.
 
-    ``native`` uses the column expressions of the types that have one (e-mail, checksums, and what a context decides: see
-    ``native_context``) and no Python; the policy may then name no other type. All other columns pass through untouched; one that is named like a column
+    ``native`` uses column expressions and no Python; the policy may then name no type that has none. "context" gives the same
+    matches as Python for the types in ``native_context``, e-mails and SNILS; True knows e-mails and checked numbers only (a
+    card or INN whose checksum fails isn't found by its context). All other columns pass through untouched; one that is named like a column
     that is added is refused.
     """
     _refuse(df, ["matches", "masked", "mapping", "pii_types", "decisions", *(["candidates"] if keep_candidates else [])])
     t = F.col(text)
     if native:
-        found = native_candidates(t, policy)
+        found = native_candidates(t, policy, native)
     else:
         found = candidates(t, policy, lexicon)
     out = df.withColumn("__veilspan_found", found).withColumn("__veilspan_ok", S.eligible(F.col("__veilspan_found"), policy.min_confidence)).withColumn("matches", S.resolve(F.col("__veilspan_ok")))
@@ -80,7 +81,7 @@ def demask(df: DataFrame, masked: str = "masked", mapping: str = "mapping", to:
     return df.withColumn(to, S.demask(F.col(masked), F.col(mapping)) if policy.allow_demasking else F.col(masked))
 
 
-def mask_chat(df: DataFrame, policy: Policy = Policy(), conv: str = "conv_id", turn: str = "turn", text: str = "text", native: bool = False) -> DataFrame:
+def mask_chat(df: DataFrame, policy: Policy = Policy(), conv: str = "conv_id", turn: str = "turn", text: str = "text", native: bool | str = False) -> DataFrame:
     """Masks the messages of conversations with placeholder numbers that go on from message to message.
 
     The counts of each type before a message are sums over the conversation's earlier messages, so a
@@ -89,7 +90,7 @@ def mask_chat(df: DataFrame, policy: Policy = Policy(), conv: str = "conv_id", t
     """
     _refuse(df, ["matches", "masked", "mapping"])
     t = F.col(text)
-    found = native_candidates(t, policy) if native else candidates(t, policy)
+    found = native_candidates(t, policy, native) if native else candidates(t, policy)
     # read twice, so written: detectors run once a text
     marked = written(df.withColumn("matches", S.resolve(S.eligible(found, policy.min_confidence))))
     counts = marked.select(F.col(conv).alias("__veilspan_conv"), F.col(turn).alias("__veilspan_turn"), F.explode("matches.pii_type").alias("kind"))

@@ -198,7 +198,7 @@ def native_context_masks(spark, sf_dir):
     """The texts of all detectors that context alone decides, masked without Python."""
     out = None
     for name, (types, cases) in _NATIVE.items():
-        one = masking.mask(_texts(spark, sf_dir, cases), policy=masking.Policy(types), native=True).select(F.lit(name).alias("query"), "k", "masked")
+        one = masking.mask(_texts(spark, sf_dir, cases), policy=masking.Policy(types), native="context").select(F.lit(name).alias("query"), "k", "masked")
         out = one if out is None else out.union(one)
     return out
 
