@@ -392,7 +392,8 @@ def test_windows_equal_one_pass(spark):
     word = lambda: r.choice(["Anna", "Bo", "said", "to", ",", "x", "Carl-Otto", "é", "Öl"])
     texts = [" ".join(word() for _ in range(n)) for n in (0, 1, 2, 9, 10, 11, 12, 17, 18, 19, 40, 41, 500)] + [None, "  ", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
-    got = {x.i: x.p for x in df.select("i", ner.predict_windows(F.col("t"), Context, 12, 6, 2, 3).alias("p")).collect()}
+    found = ner.with_predictions(df, "t", Context, 12, 6, 2, 3, outside="").select("i", "ner").collect()
+    got = {x.i: x.ner and x.ner.entities for x in found}
     plain = ner.CapitalisedWindows()
     for i, t in enumerate(texts):
         if t is None:
@@ -401,8 +402,9 @@ def test_windows_equal_one_pass(spark):
         ids, spans = plain.encode(t)
         want = [(plain.labels[label], *span) for span, (label, _) in zip(spans, plain([ids])[0])]
         assert [(x.label, x.start, x.end) for x in got[i]] == want, t
+        assert [(m.start, m.end) for m in next(x.ner.matches for x in found if x.i == i)] == [(a, b) for _, a, b, _ in ner.names(t, [(*w, 0.9) for w in want])]
     with pytest.raises(ValueError):
-        ner.predict_windows(F.col("t"), Context, 10, 8, 2)
+        ner.with_predictions(df, "t", Context, 10, 8, 2)
 
 
 def test_an_unknown_label_is_an_error_and_the_surer_window_counts():

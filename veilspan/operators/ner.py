@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon
@@ -131,45 +133,87 @@ def merged(found: dict[tuple[int, int], Token], labels: Mapping[int, str], offse
             found[a, b] = (labels[label], a, b, float(sure))
 
 
-def predict_windows(text: Column, load: Callable[[], WindowModel], size: int = 512, stride: int = 64, specials: int = 2, batch: int = 32) -> Column:
-    """Token predictions of a model that takes ``size`` tokens at most, ``specials`` of which are its own marks, for texts of any length.
+def _predicted(model: WindowModel, texts: list[str | None], room: int, stride: int, batch: int) -> list[list[Token] | None]:
+    """The tokens of some texts, whose windows go to the model together."""
+    found: list[dict] = [{} for _ in texts]
+    held: list[tuple] = []
 
-    Windows share ``stride`` tokens. The windows of many texts go to the model together, ``batch`` at a time, those of like length
-    beside each other (so that padding is short); of a long text only so many are held as a few batches have. ``load``
-    makes the model once a task. A null text has null, one without tokens an empty array.
+    def passed() -> None:
+        held.sort(key=lambda w: len(w[2]))
+        told = []
+        for k in range(0, len(held), batch):
+            told += list(zip(held[k : k + batch], model([w[2] for w in held[k : k + batch]]), strict=True))
+        for (row, _, _, offsets), predicted in sorted(told, key=lambda w: w[0][:2]):
+            merged(found[row], model.labels, offsets, predicted)
+        held.clear()
+
+    for row, t in enumerate(texts):
+        if t is None:
+            continue
+        ids, offsets = model.encode(t)
+        for n, (a, b) in enumerate(windows(len(ids), room, stride) if ids else ()):
+            held.append((row, n, ids[a:b], offsets[a:b]))
+            if len(held) >= 8 * batch:
+                passed()
+    passed()
+    return [None if t is None else sorted(f.values(), key=lambda x: x[1:3]) for t, f in zip(texts, found)]
+
+
+#: Characters of text whose tokens are held together.
+SLICE = 1 << 18
+FOUND = f"struct<entities:array<{TOKEN}>,matches:array<struct<pii_type:string,value:string,start:int,end:int,confidence:double>>>"
+
+
+def with_predictions(
+    df: DataFrame,
+    text: str,
+    load: Callable[[], WindowModel],
+    size: int = 512,
+    stride: int = 64,
+    specials: int = 2,
+    batch: int = 32,
+    minimum: float = 0.80,
+    lexicon: Lexicon | None = None,
+    outside: str = "O",
+    to: str = "ner",
+) -> DataFrame:
+    """Adds FOUND: the tokens that a model labels as anything but ``outside``, and the names that they make up, for texts of any length.
+
+    The model takes ``size`` tokens at most, ``specials`` of which are its own marks; windows share ``stride`` tokens. The windows of
+    many texts go to it together, ``batch`` at a time, those of like length beside each other (so that padding is short). ``load``
+    makes the model once a task. Only the tokens of about ``SLICE`` characters of text (a text at least) are held at a time. A null text
+    has null, one without tokens empty arrays.
     """
     room = size - specials
     if not 0 <= stride < room:
         raise ValueError("windows must go on")
-
-    @F.pandas_udf(f"array<{TOKEN}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at, schema = df.columns.index(text), df.withColumn(to, F.lit(None).cast(FOUND)).schema
+    token = pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())])
+    match = pa.struct([("pii_type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())])
+    kind = pa.struct([("entities", pa.list_(token)), ("matches", pa.list_(match))])
+
+    def found(t: str | None, tokens: list[Token] | None) -> dict | None:
+        if t is None:
+            return None
+        own = [dict(zip(("label", "start", "end", "confidence"), x)) for x in tokens if x[0] != outside]
+        return {"entities": own, "matches": [{"pii_type": k, "value": t[a:b], "start": a, "end": b, "confidence": c} for k, a, b, c in names(t, tokens, minimum, lexicon)]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-
-        def passed(held: list[tuple], found: list[dict]) -> None:
-            held.sort(key=lambda w: len(w[2]))  # windows of a text stay in order where lengths are equal
-            told = []
-            for k in range(0, len(held), batch):
-                told += list(zip(held[k : k + batch], model([w[2] for w in held[k : k + batch]]), strict=True))
-            for (row, _, _, offsets), predicted in sorted(told, key=lambda w: w[0][:2]):
-                merged(found[row], model.labels, offsets, predicted)
-            held.clear()
-
-        for texts in batches:
-            found, held = [{} for _ in texts], []
-            for row, t in enumerate(texts):
-                if t is None:
-                    continue
-                ids, offsets = model.encode(t)
-                for n, (a, b) in enumerate(windows(len(ids), room, stride) if ids else ()):
-                    held.append((row, n, ids[a:b], offsets[a:b]))
-                    if len(held) >= 8 * batch:
-                        passed(held, found)
-            passed(held, found)
-            names = ("label", "start", "end", "confidence")
-            yield pd.Series([None if t is None else [dict(zip(names, x)) for x in sorted(f.values(), key=lambda x: x[1:3])] for t, f in zip(texts, found)], dtype=object)
-
-    return run(text)
+        for rows in batches:
+            lengths = pc.fill_null(pc.utf8_length(rows.column(at)), 0).to_pylist()
+            begin, held = 0, 0
+            for k, n in enumerate([*lengths, None]):
+                if n is None or k > begin and held + n > SLICE:
+                    part = rows.slice(begin, k - begin)
+                    texts = part.column(at).to_pylist()
+                    out = [found(t, p) for t, p in zip(texts, _predicted(model, texts, room, stride, batch))]
+                    if texts:
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], [*part.schema.names, to])
+                    begin, held = k, 0
+                held += n or 0
+
+    return df.mapInArrow(run, schema)
 
 
 class CapitalisedWindows:

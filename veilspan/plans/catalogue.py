@@ -490,9 +490,8 @@ def byte_chunk_demask(spark, sf_dir):
 def ner_windows(spark, sf_dir):
     """A model that sees 32 tokens at a time, over whole documents of any length: capitalised words, and the names that they make up."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = rows.withColumn("tokens", ner.predict_windows(F.col("text"), ner.CapitalisedWindows, 34, 8))
-    found = ner.from_predictions(F.col("text"), F.col("tokens"))
-    return rows.select("doc_id", F.size(F.filter("tokens", lambda x: x["label"] != "O")).alias("tokens"), F.size(found).alias("names"))
+    found = ner.with_predictions(rows, "text", ner.CapitalisedWindows, 34, 8)
+    return found.select("doc_id", F.size("ner.entities").alias("tokens"), F.size("ner.matches").alias("names"))
 
 
 @query("SELECT 'requests_' || event_type AS name, count(*) AS value FROM events GROUP BY event_type")

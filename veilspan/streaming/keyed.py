@@ -269,6 +269,8 @@ class _Bytes:
 
 
 _KINDS = {"chunks": _Chunks, "events": _Events, "bytes": _Bytes}
+#: Early rows of a request that are held in memory within a micro-batch.
+_EARLY = 1000
 RESTORED = "request_id string, seq long, part int, text string, state string"
 _HEAD = "next long, done boolean, held string, last string, mapping string, latest long"
 
@@ -355,11 +357,18 @@ class OrderProcessor(StatefulProcessor):
         self._head = handle.getValueState("head", _HEAD)
         self._waiting = handle.getMapState("waiting", "seq long", "body string, is_last boolean, mapping string")
 
+    def _keep(self, fresh: dict[int, tuple], stored: set[int]) -> None:
+        for seq, row in fresh.items():
+            self._waiting.updateValue((seq,), row)
+        stored.update(fresh)
+        fresh.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now, found = timerValues.getCurrentWatermarkInMs(), self._head.get()
         order = Order(self._kind, Head(*found) if found else Head())
         h = order.head
-        waiting = {k[0] for k in self._waiting.keys()} if found else set()
+        stored = {k[0] for k in self._waiting.keys()} if found else set()
+        fresh: dict[int, tuple] = {}  # early rows of this micro-batch; what is left of them at its end is stored
         late, first = [], not found
         for pdf in rows:
             out = []
@@ -368,24 +377,30 @@ class OrderProcessor(StatefulProcessor):
                     late.append((int(seq), body, bool(is_last), mapping))
                     continue
                 first, h.latest = False, max(h.latest, int(at))
-                if h.done or seq < h.next or seq in waiting:
+                if h.done or seq < h.next or seq in stored or seq in fresh:
                     continue  # a repeated row
                 if seq > h.next:
-                    self._waiting.updateValue((int(seq),), (body, bool(is_last), mapping))
-                    waiting.add(int(seq))
+                    fresh[int(seq)] = (body, bool(is_last), mapping)
+                    if len(fresh) > _EARLY:
+                        self._keep(fresh, stored)
                     continue
                 out += order.take(body, is_last, mapping)
-                while h.next in waiting and not h.done:
-                    at_next = (h.next,)
-                    waiting.discard(h.next)
-                    out += order.take(*self._waiting.getValue(at_next))
-                    self._waiting.removeKey(at_next)
+                while not h.done and (h.next in fresh or h.next in stored):
+                    n = h.next
+                    if n in fresh:
+                        out += order.take(*fresh.pop(n))
+                    else:
+                        out += order.take(*self._waiting.getValue((n,)))
+                        self._waiting.removeKey((n,))
+                        stored.discard(n)
             yield _frame(key[0], out)
         if late:
             yield _frame(key[0], list(Beyond(self._kind, h.mapping, "late").all(sorted(late, key=lambda r: r[0]))))
         if first:
             return
-        if h.done:
+        if not h.done:
+            self._keep(fresh, stored)
+        elif stored:
             self._waiting.clear()
         self._head.update((h.next, h.done, h.held, h.last, h.mapping, h.latest))
         if not found:
