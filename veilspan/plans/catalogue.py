@@ -10,10 +10,10 @@ from ..functions.lexicon import Lexicon
 from ..operators import analytics, detectors, evaluation, masking, ner, policy
 from ..sources import readers
 from ..streaming import keyed, sessions
-from . import detector_queries  # registers its queries
+from . import detector_queries, source_queries  # register their queries
 from .registry import ORACLES, QUERIES, digits, exploded, in_turn, pick, query, ran, small, streamed, table
 
-__all__ = ["ORACLES", "QUERIES", "detector_queries"]
+__all__ = ["ORACLES", "QUERIES", "detector_queries", "source_queries"]
 
 NATIVE = masking.Policy(types=("EMAIL", "CARD"))
 
