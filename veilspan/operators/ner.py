@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Protocol
@@ -30,11 +31,18 @@ def dedupe(tokens: Iterable[Token]) -> list[Token]:
     return sorted(best.values(), key=lambda t: (t[1], t[2]))
 
 
+@functools.lru_cache(maxsize=1024)
+def _label(label: str) -> tuple[str, str]:
+    """The B or I before a label's hyphen, if there is one, and the label."""
+    prefix, _, rest = label.upper().rpartition("-") if label.count("-") == 1 else ("", "", label.upper())
+    return prefix, rest
+
+
 def runs(text: str, tokens: Iterable[Token], accepted: Iterable[str] = ACCEPTED) -> Iterator[list[tuple[str, Token]]]:
     """Neighbouring accepted tokens with only blanks and hyphens between them, each with its B or I prefix."""
     labels, run, end = {x.upper() for x in accepted}, [], 0
     for t in sorted(tokens, key=lambda t: (t[1], t[2])):
-        prefix, _, label = t[0].upper().rpartition("-") if t[0].upper().count("-") == 1 else ("", "", t[0].upper())
+        prefix, label = _label(t[0])
         fits = label in labels and 0 <= t[1] < t[2] <= len(text)
         if run and not (fits and t[1] >= end and _GAP.fullmatch(text, end, t[1])):
             yield run
@@ -124,13 +132,14 @@ def merged(found: dict[tuple[int, int], Token], labels: Mapping[int, str], offse
 
     Tokens without extent (a model's marks) are left out. An id without a label is an error.
     """
-    for (a, b), (label, sure) in zip(offsets, predicted, strict=True):
-        if a == b:
+    for span, (label, sure) in zip(offsets, predicted, strict=True):
+        if span[0] == span[1]:
             continue
+        known = found.get(span)
         if label not in labels:
             raise ValueError(f"the model gave an unknown label {label}")
-        if (a, b) not in found or sure > found[a, b][3]:
-            found[a, b] = (labels[label], a, b, float(sure))
+        if known is None or sure > known[3]:
+            found[span] = (labels[label], *span, sure)
 
 
 def _predicted(model: WindowModel, texts: list[str | None], room: int, stride: int, batch: int) -> list[list[Token] | None]:
@@ -156,7 +165,7 @@ def _predicted(model: WindowModel, texts: list[str | None], room: int, stride: i
             if len(held) >= 8 * batch:
                 passed()
     passed()
-    return [None if t is None else sorted(f.values(), key=lambda x: x[1:3]) for t, f in zip(texts, found)]
+    return [None if t is None else [f[span] for span in sorted(f)] for t, f in zip(texts, found)]
 
 
 #: Characters of text whose tokens are held together.
