@@ -225,3 +225,69 @@ def test_long_candidates_like_all_their_windows():
     known = text.index("/files")
     pieces = secrets.candidates(text, [{"start": a, "end": known, "kind": "hex"}])
     assert [(c["start"], c["end"], c["label"]) for c in pieces] == [(a, known, 1), (known + 1, b, 2)]
+
+
+def stems(n):
+    """Items that share the stem of a question."""
+    return [(i, f"what is the w{i} of the q{i}") for i in range(n)]
+
+
+def test_items_that_share_a_stem_cost_no_more(monkeypatch):
+    """Of many items with a stem in common only those are aligned whose own words are there; the time stays flat."""
+    import time
+
+    import pyarrow as pa
+
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["what is the", "of the", "w17", "blue", f"x{r.randint(0, 999)}", "q5"]) for _ in range(250)) for _ in range(20)]
+    texts[3] += " so what is the w1234 of the q1234 then"
+    column = pa.array(texts, pa.large_string())
+    took = []
+    for n in (2000, 20000):
+        find = decontam.Finder(decontam.items_of(stems(n)))
+        decontam._score(find, *decontam.string_bytes(column))
+        best = []
+        for _ in range(3):
+            begun = time.perf_counter()
+            score, item = decontam._score(find, *decontam.string_bytes(column))
+            best.append(time.perf_counter() - begun)
+        took.append(min(best))
+        assert score[3] == 1.0 and find.items.ids[item[3]] == 1234
+    assert took[1] < 1.5 * took[0] + 0.05, took
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_shared_stems_and_copies_of_items(spark, monkeypatch, joined):
+    """Both ways find the item that is there, the smaller id of equal items, and items that have common words only."""
+    if joined:
+        monkeypatch.setattr(decontam, "BLOCK_ITEMS", 0)
+    monkeypatch.setattr(decontam, "COMMON", 4)
+    items = stems(60) + [(1000 + i, "the very same words for many of the items here") for i in range(30)] + [(None, "the very same words for many of the items here")]
+    # all n-grams of these are common: they are made of each other's
+    items += [(2000 + i, " ".join(["alpha beta gamma"] * 3 + ["delta epsilon"] * (1 + i))) for i in range(12)]
+    docs = [(1, "I ask what is the w17 of the q17 now"), (2, "what is the question of the day"), (3, "x the very same words for many of the items here y"), (4, " ".join(["alpha beta gamma"] * 3 + ["delta epsilon"] * 12)), (5, None), (6, "what is the w3 of those")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {x.doc_id: (x.item_id, x.score) for x in decontam.contamination(d, b).collect()}
+    assert got[1] == (17, 1.0) and got[3] == (1000, 1.0) and got[4] == (2000, 1.0) and got[5] == (None, 0.0)
+    assert got[6][0] == 3 and got[6][1] >= 0.5
+    assert got[2] == (None, 0.0)  # the stem alone tells no item
+
+
+def test_rare_seeds_leave_no_room_for_an_alignment():
+    r = random.Random(12)
+    import numpy as np
+
+    for _ in range(200):
+        n = r.randint(3, 40)
+        words = np.array([r.randint(1, 6) for _ in range(n)], np.uint64)
+        size = decontam.SHORT_N if n <= decontam.SHORT else decontam.N
+        grams = decontam.window_hash(words, size)
+        common = {g: r.randint(40, 90) for g in grams.tolist() if r.random() < 0.8}
+        seeds = set(decontam.rare_seeds(words, common, 0.5).tolist())
+        assert {g for g in grams.tolist() if g not in common} <= seeds
+        covered = np.zeros(n, bool)
+        for k, g in enumerate(grams.tolist()):
+            if g in seeds:
+                covered[k : k + size] = True
+        assert (~covered).sum() < 0.5 * n

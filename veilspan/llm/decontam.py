@@ -1,7 +1,10 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into n-grams of three words (of two, for items of up to ``SHORT`` words), which are all
-seeds: how many documents hold an n-gram says nothing of whether it is common or has leaked. One
+Test items are cut into n-grams of three words (of two, for items of up to ``SHORT`` words). Their seeds are the rare ones,
+those of ``COMMON`` items at most: an n-gram that many items share, like the stem of a question, doesn't tell one of them.
+(How many documents hold an n-gram doesn't count: it may be common there because it has leaked.) Where the words that no rare
+seed covers could reach the threshold alone, the item keeps its rarest common ones until they can't: an
+alignment that reaches it then always takes in a word of a seed. Items of equal words are one, with the smallest id. One
 seed that a document shares with an item is enough: the item is aligned with the words around it, as
 far as an alignment that reaches the threshold can go. Left out are only items of which too few words
 are there at all to reach it. The score is the best local alignment (match 2, mismatch and gap -1)
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_rows, maybe_broadcast, written
+from ._shared import BROADCAST_BYTES, arrow_rows, maybe_broadcast, plan_bytes, written
 from ._text import mix, slices, string_bytes, tidied, window_hash
 from .toxicity import _BITS, look_up, word_hashes
 
@@ -31,6 +34,10 @@ N = 3
 #: Items of up to so many words have seeds of two words, as few edits can break all of three; items of fewer than LEAST are never found.
 SHORT, SHORT_N, LEAST = 16, 2, 3
 THRESHOLD = 0.5
+#: A seed of more items than this is common.
+COMMON = 32
+#: Parts in which the documents that hold a seed meet its items, where the benchmark is joined.
+PARTS = 16
 #: A benchmark of up to so many items and bytes is broadcast.
 BLOCK_ITEMS = 20000
 BLOCK_BYTES = 16 << 20
@@ -67,13 +74,43 @@ def seeds_of(words: np.ndarray) -> np.ndarray:
     return np.unique(window_hash(words, n)) if len(words) >= LEAST else np.zeros(0, np.uint64)
 
 
-def items_of(rows: list[tuple]) -> Items:
-    """From (item_id, text) rows."""
-    ids = [r[0] for r in rows]
+def rare_seeds(words: np.ndarray, items: dict[int, int], threshold: float) -> np.ndarray:
+    """An item's seeds: those that aren't in ``items`` (common seed -> its items), and of those as few as keep an
+    alignment that reaches the threshold from missing all seeds, the rarest first."""
+    n = SHORT_N if len(words) <= SHORT else N
+    if len(words) < LEAST:
+        return np.zeros(0, np.uint64)
+    grams = window_hash(words, n)
+    known = np.array([items.get(g, 0) for g in grams.tolist()], np.int64)
+    covered, chosen = np.zeros(len(words), bool), known == 0
+
+    def cover() -> None:
+        covered[:] = False
+        for k in range(n):
+            covered[k : k + len(grams)] |= chosen
+
+    cover()
+    for k in np.argsort(known, kind="stable"):
+        if (~covered).sum() < threshold * len(words):
+            break
+        if not chosen[k]:
+            chosen[k] = True
+            cover()
+    return np.unique(grams[chosen])
+
+
+def items_of(rows: list[tuple], threshold: float = THRESHOLD) -> Items:
+    """From (item_id, text) rows, in order of item_id, null last."""
     data, offsets = string_bytes(pa.array([r[1] for r in rows], pa.large_string()))
     hashes, first = word_hashes(data, offsets)
-    words = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-    gram = [seeds_of(w) for w in words]
+    each = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
+    own: dict[bytes, int] = {}
+    for k, w in enumerate(each):
+        own.setdefault(w.tobytes(), k)
+    ids, words = [rows[k][0] for k in own.values()], [each[k] for k in own.values()]
+    every, n_items = np.unique(np.concatenate([*(seeds_of(w) for w in words), np.zeros(0, np.uint64)]), return_counts=True)
+    common = dict(zip(every[n_items > COMMON].tolist(), n_items[n_items > COMMON].tolist()))
+    gram = [rare_seeds(w, common, threshold) for w in words]
     owner = np.repeat(np.arange(len(ids)), [len(g) for g in gram])
     every = np.concatenate([*gram, np.zeros(0, np.uint64)])
     order = np.lexsort((owner, every))
@@ -214,7 +251,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, it
     size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if size[0] > BLOCK_ITEMS or size[1] > BLOCK_BYTES:
         return _joined(docs, items, threshold)
-    ship = docs.sparkSession.sparkContext.broadcast(items_of([(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()]))  # BLOCK_BYTES at most
+    ship = docs.sparkSession.sparkContext.broadcast(items_of([(r[0], r[1]) for r in items.orderBy(F.col("item_id").asc_nulls_last(), "text").collect()], threshold))  # BLOCK_BYTES at most
     at = docs.columns.index("text")
 
     @tidied
@@ -246,9 +283,22 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                 n = pa.array([len(w) for w in words], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), n, _longs(words), _longs([seeds_of(w) for w in words])], ["item_id", "n", "words", "seeds"])
 
-    made = written(items.mapInArrow(cut, "item_id long, n int, words array<long>, seeds array<long>").where(F.size("seeds") > 0))
+    made = items.mapInArrow(cut, "item_id long, n int, words array<long>, seeds array<long>").where(F.size("seeds") > 0)
+    made = written(made.groupBy("words").agg(F.min("item_id").alias("item_id"), F.first("n").alias("n"), F.first("seeds").alias("seeds")))
     made = written(made.withColumn("item", F.monotonically_increasing_id()))
-    seeds = written(made.select("item", "n", F.explode("seeds").alias("seed")))
+    every = written(made.select("item", F.explode("seeds").alias("seed")))
+    common = maybe_broadcast(written(every.groupBy("seed").agg(F.count("*").alias("items")).where(F.col("items") > COMMON)))
+    marked = every.join(common, "seed").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("seed", "items"))).alias("common"))  # an item's own seeds
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, known = b.column(2), b.column(3).to_pylist()
+            each = [rare_seeds(words[i].values.to_numpy().view(np.uint64), {k & (1 << 64) - 1: v for k, v in known[i]}, threshold) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _longs(each)], ["item", "n", "seeds"])
+
+    rare = made.join(marked, "item", "left").where("common is not null").select("item", "n", "words", "common").mapInArrow(choose, "item long, n int, seeds array<long>")
+    plain = made.join(marked, "item", "left_anti").select("item", "n", "seeds")
+    seeds = written(plain.union(rare).select("item", "n", F.explode("seeds").alias("seed")))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
@@ -281,7 +331,12 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 
     hits = rows.mapInArrow(seek, "doc_id long, thash long, seed long, at int")
     cell = F.floor(F.col("at") / (4 * F.col("n")))
-    cells = hits.join(maybe_broadcast(seeds), "seed").groupBy("doc_id", "thash", "item", cell.alias("cell")).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    if plan_bytes(seeds) <= BROADCAST_BYTES:
+        met = hits.join(F.broadcast(seeds), "seed")
+    else:  # a seed that has leaked can be in very many documents
+        parted = seeds.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        met = hits.withColumn("part", F.pmod(F.xxhash64("doc_id", "thash", "at"), F.lit(PARTS)).cast("int")).join(parted, ["seed", "part"]).drop("part")
+    cells = met.groupBy("doc_id", "thash", "item", cell.alias("cell")).agg(F.min("at").alias("low"), F.max("at").alias("high"))
     pairs = written(cells.join(maybe_broadcast(made.select("item", "item_id", "words")), "item").select("doc_id", "thash", "item_id", "words", "low", "high"))
     keys = maybe_broadcast(written(pairs.select(F.col("doc_id").alias("f_id"), F.col("thash").alias("f_hash")).distinct()))
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("thash") == F.col("f_hash"))
