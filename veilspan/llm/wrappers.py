@@ -371,15 +371,16 @@ def extract(pages: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return _met(_hosted(pages), template, hosts, _extract, "page_id long, url string, text string, n_chars long", limit)
 
 
-#: For the pages of the tables, whose articles are marked as such and hold headings and paragraphs only.
+#: For the pages of the tables, whose articles are marked as such and hold headings and paragraphs only. These four references count without a
+#: semicolon too, as in HTML: a heading can end within one.
 ORACLE_SQL = r"""
 with a as (
   select page_id, url, regexp_split_to_array(coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), ''), '</?(p|h1)>') as parts
   from pages),
 b as (
   select page_id, url, list_filter(list_transform(parts, lambda p: trim(regexp_replace(
-           replace(replace(replace(replace(regexp_replace(replace(p, '<br>', ' '), '<[^>]*>', '', 'g'),
-           '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda p: p <> '') as blocks
+           regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(p, '<br>', ' '), '<[^>]*>', '', 'g'),
+           '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda p: p <> '') as blocks
   from a)
 select page_id, url, coalesce(array_to_string(blocks, chr(10)), '') as text,
        cast(length(coalesce(array_to_string(blocks, chr(10)), '')) as bigint) as n_chars
