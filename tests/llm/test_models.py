@@ -115,3 +115,71 @@ def test_language_many_languages_and_odd_rows(spark):
     assert {(100, "und"), (101, "und"), (102, "und")} <= got and all(p != "und" for i, p in got if i in (103, None))
     assert langid.identify(df, langid.fit([], [])).where("lang_pred <> 'und'").count() == 0
     assert langid.identify(df.limit(0), model).count() == 0
+
+
+def test_toxicity_like_plain_python():
+    """Sentences, words, weights and the noisy-or, worked out again one by one from the learned weights."""
+    import math
+
+    r = np.random.default_rng(3)
+    ordinary, bad = [f"word{k}" for k in range(60)], ["vilest", "scumbag", "horridly"]
+    texts, labels = [], []
+    for i in range(400):
+        toxic = i % 2
+        lines = [" ".join(r.choice(ordinary, 6)) for _ in range(int(r.integers(1, 5)))]
+        if toxic:
+            lines[int(r.integers(0, len(lines)))] += " " + bad[i % 3]
+        texts.append(". ".join(lines) + ".")
+        labels.append(toxic)
+    model = toxicity.fit(pa.array(texts, pa.string()), np.array(labels))
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist()))
+    assert weight
+    ends, inside = ({b for b in range(256) if t[b]} for t in (toxicity._END, toxicity._WORD))
+
+    def hashed(piece, seed):
+        return int(toxicity.span_hash(toxicity.LOWER[np.frombuffer(piece, np.uint8)], np.array([0]), np.array([len(piece)]), seed=seed)[0])
+
+    def plain(text):
+        data, clean = text.encode(), 1 - 1 / (1 + math.exp(-model.leak))
+        starts = [0] + [i for i in range(1, len(data)) if data[i - 1] in ends and data[i] not in ends]
+        for a, b in zip(starts, [*starts[1:], len(data)]):
+            words, word = [], b""
+            for c in [*data[a:b], None]:
+                if c is not None and c in inside:
+                    word += bytes([c])
+                elif word:
+                    words.append(word)
+                    word = b""
+            found = {hashed(w, 3) for w in words} | {hashed(w[:n], 3 + n) for w in words for n in toxicity.PREFIXES if len(w) > n}
+            z = toxicity.BIAS + sum(weight.get(h, 0.0) for h in found)
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - clean
+
+    asked = [*texts[:40], "", "VILEST vilest scumbag!", "word1 word2\nvilest", "é vilestly? so!! word3", "...", "scumbag"]
+    data = "".join(asked).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in asked)])
+    got = toxicity.Trained(model).scores(np.frombuffer(data, np.uint8), offsets)
+    assert np.allclose(got, [plain(t) for t in asked], atol=1e-9)
+    assert got[asked.index("scumbag")] > 0.5 > got[asked.index("")]
+
+
+def test_language_prediction_like_plain_python():
+    """Counts by language, their correction, the prior, the choice and the score, gram by gram."""
+    texts = [b"the cat sat on the mat and the dog ran", b"der hund und die katze auf der matte hier", "el niño está aquí con el gato".encode()] * 3
+    names = ["en", "de", "es"] * 3
+    model = langid.fit(texts, names)
+    asked = [b"the dog and the cat", "der Hund está".encode(), b"", b"abcd", b"zzzzzzzzzz", "niño niño".encode(), b"THE MAT"]
+    best, score = langid.predict(model, np.frombuffer(b"".join(asked), np.uint8), np.cumsum([0, *map(len, asked)]))
+    for k, text in enumerate(asked):
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in text)
+        grams = [low[i : i + langid.N] for i in range(len(low) - langid.N + 1)]
+        shares = []
+        for i in range(len(model.langs)):
+            count = 0
+            for g in grams:
+                h = langid.grams(np.frombuffer(g, np.uint8), np.array([0, len(g)]))[0]
+                count += bool(len(h)) and all(int(model.planes[0][int(langid._slots(h, j)[0])]) >> i & 1 for j in range(langid.HASHES))
+            rate = model.false_rate[i]
+            shares.append(max(count - len(grams) * rate, 0) / (1 - rate) + 0.5 * model.prior[i])
+        assert best[k] == int(np.argmax(shares)) and abs(score[k] - max(shares) / sum(shares)) < 1e-9
+    assert [model.langs[b] for b in best[[0, 1, 5, 6]]] == ["en", "de", "es", "en"]

@@ -121,3 +121,19 @@ def test_plan_has_no_python(spark, sf):
 
     plan = op4_url_reputation(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_large_posteriors_are_judged_alike_on_both_sides_of_the_switch(spark, monkeypatch):
+    """Just under and over NORMAL pages the beta bound and the normal one decide alike, but for a narrow band around the limit."""
+    cases = []
+    for pages in (19_990.0, 20_010.0):
+        for rate in (0.02, 0.1, 0.4):
+            sd = (rate * (1 - rate) / (pages + 1)) ** 0.5
+            cases += [(pages * rate, pages * (1 - rate), rate - d * sd, d) for d in (-1.0, 0.5, 1.0, 1.55, 1.75, 2.5, 4.0)]
+    df = spark.createDataFrame(cases, "a double, b double, x double, d double")
+    switched = [x.s for x in df.select(F.expr(urls._sure("a", "b", "x", urls._FOLD)).alias("s")).collect()]
+    monkeypatch.setattr(urls, "NORMAL", 10**9)
+    exact = [x.s for x in df.select(F.expr(urls._sure("a", "b", "x", urls._FOLD)).alias("s")).collect()]
+    for (a, b, _, d), s, e in zip(cases, switched, exact):
+        assert (s > urls.SURE) == (e > urls.SURE) == (d > 1.645), (a, b, d, s, e)
+        assert a + b > 20_000 or abs(s - e) < 1e-12
