@@ -370,5 +370,8 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, that hold no benchmark item."""
+    """The rows, with all their columns, that hold no benchmark item.
+
+    Null and empty texts hold none and stay, repeated rows stay or go together, an empty benchmark keeps all rows.
+    """
     return mark(docs, benchmark, threshold).where(F.col(_SCORE) < threshold).drop(_ITEM, _SCORE)

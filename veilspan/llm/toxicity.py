@@ -267,7 +267,10 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
 
 
 def keep_clean(df: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose score is under the threshold; ``text`` is scored."""
+    """The rows, with all their columns, whose score is under the threshold; ``text`` is scored.
+
+    Null and empty texts have the leak's score and stay unless that reaches the threshold; repeated rows stay or go together.
+    """
     arrow_rows(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index("text")
