@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import bpe, decontam, secrets, simhash, toxicity
-from veilspan.llm._shared import written
+from veilspan.llm._shared import dropped, written
 from veilspan.llm.queries import tokenizer_path
 
 
@@ -56,6 +56,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        dropped(*before)  # what the stage read is needed no more
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
