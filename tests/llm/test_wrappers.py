@@ -9,7 +9,7 @@ from veilspan.llm.wrappers import Matcher
 
 
 def text(html):
-    return "\n".join(wrappers.texts_of(Matcher().tree(dom.cleaned(dom.read(html))), set()))
+    return "\n".join(wrappers.texts_of(dom.cleaned(dom.read(html)), set()))
 
 
 @pytest.mark.parametrize(

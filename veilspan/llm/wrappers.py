@@ -96,9 +96,8 @@ class Matcher:
 
     def _weights(self, xs: tuple, ys: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct shapes' matching sizes, and which row and column each child has."""
-        ux, ix = np.unique(np.array(xs), return_inverse=True)
-        uy, iy = np.unique(np.array(ys), return_inverse=True)
-        return np.array([[self.size(int(p), int(q)) for q in uy] for p in ux], np.int64), ix, iy
+        ux, uy = ({s: k for k, s in enumerate(dict.fromkeys(shapes))} for shapes in (xs, ys))
+        return np.array([[self.size(p, q) for q in uy] for p in ux], np.int64), np.array([ux[s] for s in xs]), np.array([uy[s] for s in ys])
 
     def matched(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
         """The pairs of nodes of a matching of the most nodes (of these, one with the most equal texts among siblings)."""
@@ -106,7 +105,9 @@ class Matcher:
         while todo:
             x, y = todo.pop()
             yield x, y
-            if x.kids and y.kids:
+            if len(x.kids) == len(y.kids) == 1:
+                todo += [(x.kids[0], y.kids[0])] if self.size(x.kids[0].shape, y.kids[0].shape) else []
+            elif x.kids and y.kids:
                 weights, ix, iy = self._weights(tuple(k.shape for k in x.kids), tuple(k.shape for k in y.kids))
                 texts: dict[str, int] = {}
                 tx = np.array([texts.setdefault(k.text, len(texts)) for k in x.kids])
@@ -175,9 +176,8 @@ def nodes(node: Node) -> Iterator[Node]:
         todo += x.kids
 
 
-def same_nodes(matcher: Matcher, pattern: Node, page: Node) -> set[int] | None:
-    """Keys of the pattern's nodes that have the same text in the page; None if the page is a copy of the pattern, or has no text."""
-    chars = sum(x.chars for x in nodes(page))
+def same_nodes(matcher: Matcher, pattern: Node, page: Node, chars: int) -> set[int] | None:
+    """Keys of the pattern's nodes that have the same text in the page (of ``chars`` characters); None if the page is a copy of the pattern, or has no text."""
     same = [x for x, y in matcher.matched(pattern, page) if x.text and x.text == y.text]
     if not chars or sum(x.chars for x in same) > COPY * chars:
         return None
@@ -190,9 +190,17 @@ def content_bit(page: Node) -> int:
     return 1 << xxhash.xxh64_intdigest(longest) % 63
 
 
-def texts_of(page: Node, template: set[int]) -> list[str]:
-    """A page's texts in order, without the nodes in the template."""
-    runs = [r for x in nodes(page) if x.runs and not (template and node_key(x) in template) for r in x.runs]
+def texts_of(page: Block, template: set[int]) -> list[str]:
+    """The texts of a page's article in order, without the nodes in the template."""
+    runs, todo = [], [(page, 0)]
+    while todo:
+        block, path = todo.pop()
+        if template:
+            node = Node(block, path)
+            path = node.path
+        if block.runs and not (template and node_key(node) in template):
+            runs += block.runs
+        todo += [(kid, path) for kid in block.kids]
     return [r[1] for r in sorted(runs)]
 
 
@@ -302,12 +310,12 @@ def _align(rows: Rows) -> Iterator[pa.RecordBatch]:
             if matcher.full() or len(trees) > 4 * READ_HOSTS:
                 matcher, trees = Matcher(), {}
             page = matcher.tree(cleaned(read(html)))
+            chars, bit = sum(x.chars for x in nodes(page)), content_bit(page)
             for name, source in patterns(payloads):
                 if name not in trees:
                     trees[name] = matcher.tree(cleaned(read(source)))
-                same = same_nodes(matcher, trees[name], page)
+                same = same_nodes(matcher, trees[name], page, chars)
                 if same is not None:
-                    bit = content_bit(page)
                     for key in ((name, None), *((name, key) for key in same)):
                         counts[key] += 1
                         contents[key] = contents.get(key, 0) | bit
@@ -318,12 +326,9 @@ def _align(rows: Rows) -> Iterator[pa.RecordBatch]:
 
 def _extract(rows: Rows) -> Iterator[pa.RecordBatch]:
     template_of = _reader(lambda payloads: {int.from_bytes(p, "big", signed=True) for p in payloads})
-    matcher = Matcher()
     for payloads, part in rows:
-        if matcher.full():
-            matcher = Matcher()
         template = template_of(payloads) if payloads else set()
-        texts = ["\n".join(texts_of(matcher.tree(cleaned(read(html))), template)) if html else "" for html in part.column(2).to_pylist()]
+        texts = ["\n".join(texts_of(cleaned(read(html)), template)) if html else "" for html in part.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
