@@ -31,3 +31,11 @@ def test_cards_before_letters(spark, tmp_path, name, rows):
         assert sum(n * row[2] for row, n in query.items()) == rows
     else:
         assert len(query) == rows
+
+
+def test_equal_spans_are_of_one_island(spark, tmp_path):
+    """Of equal spans the first begins an island, whatever order an engine takes them in."""
+    rows = "SELECT i // 7 AS l_orderkey, CASE WHEN i % 7 < 3 THEN 12 ELSE 22 END AS l_partkey, 1 AS l_suppkey, i % 7 AS l_linenumber, 'N' AS l_returnflag FROM range(70000) t(i) ORDER BY hash(i)"
+    duckdb.sql(rows).write_parquet(str(tmp_path / "lineitem.parquet"))
+    query, sql = _both(spark, tmp_path, "interval_merge")
+    assert query == sql == Counter({(doc, start, start + 2): 1 for doc in range(10000) for start in (12, 22)})

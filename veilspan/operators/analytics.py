@@ -77,7 +77,7 @@ def merge_intervals(spans: DataFrame, by: str = "doc_id", gap: int = 2) -> DataF
     order = Window.partitionBy(by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("start") <= reach + gap, 0).otherwise(1)
-    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # equal spans are of one island, whichever comes first
     return spans.withColumn("_new", new).withColumn("_k", island).groupBy(by, "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_k")
 
 

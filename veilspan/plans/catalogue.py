@@ -208,7 +208,7 @@ def overlap_resolution(spark, sf_dir):
 @query(
     f"""WITH spans AS ({_SPANS_SQL}),
     marked AS (SELECT doc, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY doc ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 0 ELSE 1 END AS new FROM spans),
-    islands AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM marked)
+    islands AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS k FROM marked)
     SELECT doc, min(s) AS start, max(e) AS "end" FROM islands GROUP BY doc, k"""
 )
 def interval_merge(spark, sf_dir):
