@@ -19,6 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def parts(spark: SparkSession) -> int:
+    """Partitions for work that costs more than its rows' bytes tell: as many as a shuffle has, each core with one at least.
+
+    A number that is asked for isn't lowered by adaptive execution, which goes by bytes.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Few bytes that much work comes from (a table's keys, say, which a file may hold in one piece) dealt to ``parts`` partitions."""
+    return rows.repartition(parts(rows.sparkSession), *by)
+
+
 def _files(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

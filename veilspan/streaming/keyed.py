@@ -1,6 +1,6 @@
 """Streams with state by key: sessions, and chunks and event streams that come in any order.
 
-All three are stateful processors (``transformWithStateInPandas``): values and maps in the state store, timers in event time.
+All three are stateful processors (``transformWithState``; rows, as a data frame for each key costs more than its work): values and maps in the state store, timers in event time.
 Time is the rows' ``ts`` and the watermark behind the latest of them, so a stream that stands still forgets nothing.
 Rows behind the watermark aren't dropped by Spark but come to the processor, which answers them: the column
 that carries the watermark is left out below it, and ``ts`` goes on as a plain number.
@@ -10,23 +10,25 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.tables import parts
 from ..operators.masking import CONSUMER_DEFAULT, Policy
 from ..operators.restore import ByteDemasker, ChunkDemasker, Masker, SseDemasker
-from .sessions import RESULT, SESSION_OVERHEAD, TOMBSTONE_SECONDS, Session, step
+from .sessions import RESULT, SESSION_OVERHEAD, TOMBSTONE_SECONDS, Session, requests, step
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 #: Changes that a row brings about, beside its answer; a row without status is a change that time brought about.
 METERS = ("new_ids", "evicted", "sessions", "tombstones", "bytes", "pending")
 METERED = RESULT + "".join(f", {m} long" for m in METERS)
+_ANSWER = Row(*[c.split()[0] for c in METERED.split(", ")])
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -81,9 +83,13 @@ class Ledger:
             self.count(tombstones=-1)
             self.kept = None
 
-    def request(self, now: float, payload: str | None, allowed: bool, late: bool) -> tuple[int, str | None, str]:
+    def request(self, now: float, payload: str | None, allowed: bool, late: bool, large: bool = False) -> tuple[int, str | None, str]:
         if not allowed:
             return 403, None, "forbidden"
+        if large:
+            if not late:
+                self.pass_time(now)
+            return 413, None, "too_large"
         if not isinstance(payload, str):
             return 422, None, "invalid"
         if late and self.kept is None:
@@ -109,86 +115,80 @@ class SessionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._session = handle.getValueState("session", "original string, masked string, completed boolean, expires_at double, gone boolean")
-        self._timer = handle.getValueState("timer", "at long")
-        self._inbox = handle.getMapState("inbox", "at long, seq long, n long", "payload string, allowed boolean")
+        # the session (null without one) and the time of its timer (milliseconds; 0: none) are one value, as each call to the store takes its time
+        self._session = handle.getValueState("session", "original string, masked string, completed boolean, expires_at double, gone boolean, timer long")
+        self._inbox = handle.getMapState("inbox", "at long, seq long, n long", "payload string, allowed boolean, large boolean")
 
-    def _ledger(self, key: str) -> Ledger:
+    def _ledger(self, key: str) -> tuple[Ledger, tuple | None]:
+        """The id's session, and the state as it is stored."""
         found = self._session.get()
-        kept = Kept(Session(*found[:4]), found[4]) if found else None
-        return Ledger(key, kept, lambda text: Masker(self._policy).mask(text))
-
-    def _store(self, ledger: Ledger, waiting: list[tuple]) -> None:
-        """Writes the state back and sets the one timer to the next time that changes something."""
-        kept, was = ledger.kept, self._timer.get()
-        if kept:
-            s = kept.session
-            self._session.update((s.original, s.masked, s.completed, s.expires_at, kept.gone))
-        else:
-            self._session.clear()
+        kept = Kept(Session(*found[:4]), found[4]) if found and found[0] is not None else None
+        return Ledger(key, kept, lambda text: Masker(self._policy).mask(text)), tuple(found) if found else None
+
+    def _store(self, ledger: Ledger, waiting: list[tuple], stored: tuple | None, gone_off: bool = False) -> None:
+        """Writes the state back if it has changed, and sets the one timer to the next time that changes something."""
+        kept, was = ledger.kept, stored[5] if stored and not gone_off else 0
         due = [int(-(-kept.due * 1000 // 1))] if kept else []
         due += [min(waiting)[0] // 1000 + 1] if waiting else []
-        if was and (not due or was[0] != min(due)):
-            self._handle.deleteTimer(was[0])
-            self._timer.clear()
-        if due and (not was or was[0] != min(due)):
-            self._handle.registerTimer(min(due))
-            self._timer.update((min(due),))
-
-    @staticmethod
-    def _answers(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=[c.split()[0] for c in METERED.split(", ")])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at = min(due, default=0)
+        if was and was != at:
+            self._handle.deleteTimer(was)
+        if at and was != at:
+            self._handle.registerTimer(at)
+        s = kept.session if kept else None
+        new = (s.original, s.masked, s.completed, s.expires_at, kept.gone, at) if s else (None, None, None, None, None, at)
+        if at and new != stored:
+            self._session.update(new)
+        elif not at and stored:
+            self._session.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        ledger, out = self._ledger(key[0]), []
+        (ledger, stored), out = self._ledger(key[0]), []
         if self._wait:
             waiting = list(self._inbox.keys())
             n = max((k[2] for k in waiting), default=0)
             ready = []
-            for pdf in rows:
-                for at, seq, payload, allowed in zip(pdf["at"], pdf["seq"], pdf["payload"], pdf["allowed"]):
-                    n += 1
-                    if at < now:
-                        ready.append((at, seq, n, payload, allowed))
-                    else:
-                        self._inbox.updateValue((int(at), int(seq), n), (payload, bool(allowed)))
-                        waiting.append((int(at), int(seq), n))
-                        ledger.count(pending=1)
+            for _, seq, payload, allowed, large, at in rows:
+                n += 1
+                if at < now:
+                    ready.append((at, seq, n, payload, allowed, large))
+                else:
+                    self._inbox.updateValue((at, seq, n), (payload, allowed, large))
+                    waiting.append((at, seq, n))
+                    ledger.count(pending=1)
         else:
             waiting = []
-            ready = [(at, seq, n, payload, allowed) for pdf in rows for n, (at, seq, payload, allowed) in enumerate(zip(pdf["at"], pdf["seq"], pdf["payload"], pdf["allowed"]))]
-        for at, seq, _, payload, allowed in sorted(ready, key=lambda r: r[:3]):
-            out.append((key[0], seq, *ledger.request(at / 1e6, payload, allowed, at < now), *ledger.changes()))
-        self._store(ledger, waiting)
+            ready = [(at, seq, n, payload, allowed, large) for n, (_, seq, payload, allowed, large, at) in enumerate(rows)]
+        for at, seq, _, payload, allowed, large in sorted(ready, key=lambda r: r[:3]):
+            out.append(_ANSWER(key[0], seq, *ledger.request(at / 1e6, payload, allowed, at < now, large), *ledger.changes()))
+        self._store(ledger, waiting, stored)
         left = ledger.changes()
         if any(left):
-            out.append((key[0], None, None, None, None, *left))
-        yield self._answers(out)
+            out.append(_ANSWER(key[0], None, None, None, None, *left))
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        self._timer.clear()  # it has gone off
-        ledger, out = self._ledger(key[0]), []
+        (ledger, stored), out = self._ledger(key[0]), []
         waiting = sorted(self._inbox.keys())
         for k in [k for k in waiting if k[0] < now * 1000]:
-            payload, allowed = self._inbox.getValue(k)
+            payload, allowed, large = self._inbox.getValue(k)
             self._inbox.removeKey(k)
             ledger.count(pending=-1)
-            out.append((key[0], k[1], *ledger.request(k[0] / 1e6, payload, allowed, False), *ledger.changes()))
+            out.append(_ANSWER(key[0], k[1], *ledger.request(k[0] / 1e6, payload, allowed, False, large), *ledger.changes()))
         waiting = [k for k in waiting if k[0] >= now * 1000]
         ledger.pass_time(now / 1e3)
         left = ledger.changes()
         if any(left):
-            out.append((key[0], None, None, None, None, *left))
-        self._store(ledger, waiting)
-        yield self._answers(out)
+            out.append(_ANSWER(key[0], None, None, None, None, *left))
+        self._store(ledger, waiting, stored, gone_off=True)
+        yield from out
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for row in initialState.itertuples(index=False):
-            ledger = self._ledger(key[0])
-            ledger.kept = Kept(Session(row.original, row.masked, bool(row.completed), float(row.expires_at)))
-            self._store(ledger, [])
+        ledger, stored = self._ledger(key[0])
+        ledger.kept = Kept(Session(initialState.original, initialState.masked, initialState.completed, initialState.expires_at))
+        self._store(ledger, [], stored)
 
     def close(self) -> None:
         pass
@@ -197,11 +197,10 @@ class SessionProcessor(StatefulProcessor):
 def answer_stream(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, late: str = "1 minute", wait: bool = False, initial: DataFrame | None = None) -> DataFrame:
     """``process_stream`` with the meters and the rows that only carry meters (their status is null)."""
     use_rocksdb(events.sparkSession)
-    allowed = F.coalesce(F.col("allowed"), F.lit(False)) if "allowed" in events.columns else F.lit(True)
-    rows = events.select(F.col("seq").cast("long").alias("seq"), "ts", "payload_id", "payload", allowed.alias("allowed")).where("payload_id is not null and ts is not null")
-    groups = timed(rows, late, "payload_id", "seq", "payload", "allowed").groupBy("payload_id")
+    rows = requests(events).where("payload_id is not null and ts is not null")
+    groups = timed(rows, late, "payload_id", "seq", "payload", "allowed", "large").groupBy("payload_id")
     known = initial.select("payload_id", "original", "masked", "completed", "expires_at").groupBy("payload_id") if initial is not None else None
-    return groups.transformWithStateInPandas(SessionProcessor(policy, wait), METERED, "append", "eventTime", known)
+    return groups.transformWithState(SessionProcessor(policy, wait), METERED, "append", "eventTime", known)
 
 
 def process_stream(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, late: str = "1 minute", wait: bool = False, initial: DataFrame | None = None) -> DataFrame:
@@ -272,6 +271,7 @@ _KINDS = {"chunks": _Chunks, "events": _Events, "bytes": _Bytes}
 #: Early rows of a request that are held in memory within a micro-batch.
 _EARLY = 1000
 RESTORED = "request_id string, seq long, part int, text string, state string"
+_RESTORED = Row(*[c.split()[0] for c in RESTORED.split(", ")])
 _HEAD = "next long, done boolean, held string, last string, mapping string, latest long"
 
 
@@ -342,6 +342,10 @@ class Beyond:
         yield from self.left()
 
 
+def _rows(key: str, out: Iterable[tuple]) -> Iterator[Row]:
+    return (_RESTORED(key, *r) for r in out)
+
+
 def _frame(key: str, out: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(key, *r) for r in out], columns=["request_id", "seq", "part", "text", "state"])
 
@@ -363,39 +367,36 @@ class OrderProcessor(StatefulProcessor):
         stored.update(fresh)
         fresh.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now, found = timerValues.getCurrentWatermarkInMs(), self._head.get()
         order = Order(self._kind, Head(*found) if found else Head())
         h = order.head
         stored = {k[0] for k in self._waiting.keys()} if found else set()
         fresh: dict[int, tuple] = {}  # early rows of this micro-batch; what is left of them at its end is stored
         late, first = [], not found
-        for pdf in rows:
-            out = []
-            for seq, at, body, is_last, mapping in zip(pdf["seq"], pdf["at"], pdf["body"], pdf["is_last"], pdf["mapping"]):
-                if not found and at < now * 1000:
-                    late.append((int(seq), body, bool(is_last), mapping))
-                    continue
-                first, h.latest = False, max(h.latest, int(at))
-                if h.done or seq < h.next or seq in stored or seq in fresh:
-                    continue  # a repeated row
-                if seq > h.next:
-                    fresh[int(seq)] = (body, bool(is_last), mapping)
-                    if len(fresh) > _EARLY:
-                        self._keep(fresh, stored)
-                    continue
-                out += order.take(body, is_last, mapping)
-                while not h.done and (h.next in fresh or h.next in stored):
-                    n = h.next
-                    if n in fresh:
-                        out += order.take(*fresh.pop(n))
-                    else:
-                        out += order.take(*self._waiting.getValue((n,)))
-                        self._waiting.removeKey((n,))
-                        stored.discard(n)
-            yield _frame(key[0], out)
+        for _, seq, body, is_last, mapping, at in rows:
+            if not found and at < now * 1000:
+                late.append((seq, body, is_last, mapping))
+                continue
+            first, h.latest = False, max(h.latest, at)
+            if h.done or seq < h.next or seq in stored or seq in fresh:
+                continue  # a repeated row
+            if seq > h.next:
+                fresh[seq] = (body, is_last, mapping)
+                if len(fresh) > _EARLY:
+                    self._keep(fresh, stored)
+                continue
+            yield from _rows(key[0], order.take(body, is_last, mapping))
+            while not h.done and (h.next in fresh or h.next in stored):
+                n = h.next
+                if n in fresh:
+                    yield from _rows(key[0], order.take(*fresh.pop(n)))
+                else:
+                    yield from _rows(key[0], order.take(*self._waiting.getValue((n,))))
+                    self._waiting.removeKey((n,))
+                    stored.discard(n)
         if late:
-            yield _frame(key[0], list(Beyond(self._kind, h.mapping, "late").all(sorted(late, key=lambda r: r[0]))))
+            yield from _rows(key[0], list(Beyond(self._kind, h.mapping, "late").all(sorted(late, key=lambda r: r[0]))))
         if first:
             return
         if not h.done:
@@ -406,7 +407,7 @@ class OrderProcessor(StatefulProcessor):
         if not found:
             self._handle.registerTimer(h.latest // 1000 + self._idle)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         head = Head(*self._head.get())
         due = head.latest // 1000 + self._idle
         if due > timerValues.getCurrentWatermarkInMs():  # rows have come since
@@ -419,7 +420,7 @@ class OrderProcessor(StatefulProcessor):
             out += Beyond(self._kind, head.mapping, "beyond").all(left)
         self._head.clear()
         self._waiting.clear()
-        yield _frame(key[0], out)
+        yield from _rows(key[0], out)
 
     def close(self) -> None:
         pass
@@ -444,7 +445,7 @@ def restore_stream(rows: DataFrame, kind: str = "chunks", late: str = "1 minute"
     use_rocksdb(rows.sparkSession)
     known = _bodies(rows, kind, "ts").where("request_id is not null and seq is not null and ts is not null")
     groups = timed(known, late, "request_id", "seq", "body", "is_last", "mapping").groupBy("request_id")
-    return groups.transformWithStateInPandas(OrderProcessor(kind, pd.Timedelta(idle).total_seconds()), RESTORED, "append", "eventTime")
+    return groups.transformWithState(OrderProcessor(kind, pd.Timedelta(idle).total_seconds()), RESTORED, "append", "eventTime")
 
 
 def restore_batch(rows: DataFrame, kind: str = "chunks") -> DataFrame:
@@ -474,4 +475,4 @@ def restore_batch(rows: DataFrame, kind: str = "chunks") -> DataFrame:
         yield _frame(key, ended())
 
     known = _bodies(rows, kind).where("request_id is not null and seq is not null")
-    return known.repartition("request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, RESTORED)
+    return known.repartition(parts(rows.sparkSession), "request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, RESTORED)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.masking import CONSUMER_DEFAULT, Policy
+from ..functions.tables import parts
 from ..operators.restore import ChunkDemasker, Masker, SseDemasker
 
 ACTIVE_SECONDS, COMPLETED_SECONDS, TOMBSTONE_SECONDS = 900.0, 120.0, 60.0
@@ -162,9 +163,11 @@ def _masker(policy: Policy) -> Callable[[str], str]:
 _COLUMNS = ["payload_id", "seq", "status", "result", "outcome"]
 
 
-def _requests(events: DataFrame) -> DataFrame:
+def requests(events: DataFrame) -> DataFrame:
+    """seq, ts, payload_id, payload, allowed, large: a payload that is too large is 413 whatever its session, so it isn't sent on."""
     allowed = F.coalesce(F.col("allowed"), F.lit(False)) if "allowed" in events.columns else F.lit(True)
-    return events.select(F.col("seq").cast("long").alias("seq"), "ts", "payload_id", "payload", allowed.alias("allowed"))
+    large = F.coalesce(admission(F.col("payload")) == 413, F.lit(False))
+    return events.select(F.col("seq").cast("long").alias("seq"), "ts", "payload_id", F.when(~large, F.col("payload")).alias("payload"), allowed.alias("allowed"), large.alias("large"))
 
 
 def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, limits: Limits | None = None) -> DataFrame:
@@ -181,15 +184,18 @@ def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, limits:
         mask, key, session = _masker(policy), None, None
         for rows in batches:
             out = []
-            for seq, ts, who, payload, ok in zip(rows["seq"], rows["ts"], rows["payload_id"], rows["payload"], rows["allowed"]):
+            for seq, ts, who, payload, ok, large in zip(rows["seq"], rows["ts"], rows["payload_id"], rows["payload"], rows["allowed"], rows["large"]):
                 if who != key:
                     key, session = who, None
                 if not ok:
                     out.append((who, seq, 403, None, "forbidden"))
                     continue
-                if not isinstance(who, str) or not isinstance(payload, str):
+                if not isinstance(who, str) or not (large or isinstance(payload, str)):
                     out.append((who, seq, 422, None, "invalid"))
                     continue
+                if large:
+                    out.append((who, seq, 413, None, "too_large"))
+                    continue
                 session, status, result, outcome = step(session, ts.timestamp(), payload, mask)
                 out.append((who, seq, status, result, outcome))
             yield pd.DataFrame(out, columns=_COLUMNS)
@@ -198,21 +204,25 @@ def process_batch(events: DataFrame, policy: Policy = CONSUMER_DEFAULT, limits:
         mask, shard, store = _masker(policy), None, Store(limits)
         for rows in batches:
             out = []
-            for of, seq, ts, who, payload, ok in zip(rows["shard"], rows["seq"], rows["ts"], rows["payload_id"], rows["payload"], rows["allowed"]):
+            for of, seq, ts, who, payload, ok, large in zip(rows["shard"], rows["seq"], rows["ts"], rows["payload_id"], rows["payload"], rows["allowed"], rows["large"]):
                 if of != shard:
                     shard, store = of, Store(limits)
                 if not ok:
                     out.append((who, seq, 403, None, "forbidden"))
                     continue
-                if not isinstance(who, str) or not isinstance(payload, str):
+                if not isinstance(who, str) or not (large or isinstance(payload, str)):
                     out.append((who, seq, 422, None, "invalid"))
                     continue
+                if large:
+                    store.evict(ts.timestamp())
+                    out.append((who, seq, 413, None, "too_large"))
+                    continue
                 out.append((who, seq, *store.request(who, ts.timestamp(), payload, mask)))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
-    rows = _requests(events)
+    rows = requests(events)
     if limits is None:
-        return rows.repartition("payload_id").sortWithinPartitions("payload_id", "ts", "seq").mapInPandas(run, RESULT)
+        return rows.repartition(parts(rows.sparkSession), "payload_id").sortWithinPartitions("payload_id", "ts", "seq").mapInPandas(run, RESULT)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("payload_id"), F.lit(limits.shards)))
     return rows.repartition("shard").sortWithinPartitions("shard", "ts", "seq").mapInPandas(run_shards, RESULT)
 
@@ -237,8 +247,8 @@ def open_sessions(events: DataFrame, policy: Policy = CONSUMER_DEFAULT) -> DataF
             yield pd.DataFrame(out, columns=_SESSION_COLUMNS)
         yield pd.DataFrame(kept(), columns=_SESSION_COLUMNS)
 
-    rows = _requests(events).where("payload_id is not null")
-    return rows.repartition("payload_id").sortWithinPartitions("payload_id", "ts", "seq").mapInPandas(run, SESSION)
+    rows = requests(events).where("payload_id is not null")
+    return rows.repartition(parts(rows.sparkSession), "payload_id").sortWithinPartitions("payload_id", "ts", "seq").mapInPandas(run, SESSION)
 
 
 CHUNK_RESULT = "request_id string, seq long, text string"
@@ -267,7 +277,7 @@ def demask_batch(chunks: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["request_id", "seq", "text"])
 
     rows = chunks.select("request_id", "seq", "chunk", "is_last", "mapping")
-    return rows.repartition("request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, CHUNK_RESULT)
+    return rows.repartition(parts(rows.sparkSession), "request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, CHUNK_RESULT)
 
 
 SSE_RESULT = "request_id string, seq long, part int, line string"
@@ -290,7 +300,7 @@ def demask_sse_batch(lines: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["request_id", "seq", "part", "line"])
 
     rows = lines.select("request_id", "seq", "line", "mapping")
-    return rows.repartition("request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, SSE_RESULT)
+    return rows.repartition(parts(rows.sparkSession), "request_id").sortWithinPartitions("request_id", "seq").mapInPandas(run, SSE_RESULT)
 
 
 def echo_chunks(replies: DataFrame, size: int = 7, text: str = "masked") -> DataFrame:
