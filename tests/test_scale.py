@@ -22,6 +22,12 @@ def test_large_payloads_are_not_shuffled(spark):
         assert status == {0: 413, 1: 200, 2: 413, 3: 422, 4: 422, 5: 200 if limits is None else 429}
 
 
+@pytest.mark.parametrize("name", ["detect_several_types", "address_granules", "address_spans", "ner_names", "sql_table_function", "native_context_masks"])
+def test_texts_of_customers_are_dealt_to_all_partitions(spark, sf, name):
+    """The table is one piece of few bytes, so it would be one task."""
+    assert catalogue.QUERIES[name](spark, sf).rdd.getNumPartitions() >= parts(spark)
+
+
 def test_sessions_are_dealt_to_all_partitions(spark):
     assert sessions.process_batch(_requests(spark), Policy(("EMAIL",))).rdd.getNumPartitions() == parts(spark)
 
@@ -32,7 +38,7 @@ class _Handle:
     def __init__(self):
         self.calls, self.value = [], None
 
-    def getValueState(self, name, schema):
+    def getValueState(self, *schema):
         return self
 
     getMapState = getValueState

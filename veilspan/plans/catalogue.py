@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import checks as C
 from ..functions import spans as S
 from ..functions.lexicon import Lexicon
+from ..functions.tables import spread
 from ..operators import analytics, detectors, evaluation, masking, ner, policy
 from ..sources import readers
 from ..streaming import keyed, sessions
@@ -557,7 +558,7 @@ _CITY, _STREET = pick("Тверь", "Казань", "Омск", "Пермь"), p
 
 
 def _spans(spark, sf_dir, text, types):
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"{text} AS text")
+    rows = spread(table(spark, sf_dir, "customer").selectExpr("c_custkey AS k"), "k").selectExpr("k", f"{text} AS text")
     return exploded(masking.mask(rows, policy=masking.Policy(types)), "matches", "k").select("k", "m.pii_type", "m.start", "m.value")
 
 
@@ -610,7 +611,7 @@ def context_scores(spark, sf_dir):
     """How the score of a number falls with its distance to a phrase, over a soft and a hard boundary, and for a phrase against it."""
     n, number = "(1 + CASE WHEN k % 4 = 3 THEN k % 60 ELSE k % 40 END)", f"'9' || {digits(9)}"
     text = in_turn([f"'телефон' || repeat(' ', {n}) || {number}", f"'телефон:' || repeat(' ', {n} - 1) || {number}", f"'телефон;' || repeat(' ', {n} - 1) || {number}", f"'договор' || repeat(' ', {n}) || {number}"])
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"{text} AS text")
+    rows = spread(table(spark, sf_dir, "customer").selectExpr("c_custkey AS k"), "k").selectExpr("k", f"{text} AS text")
     return exploded(rows, detectors.detect(F.col("text"), ("PHONE",)), "k").select("k", F.round("m.confidence", 9).alias("confidence"))
 
 
@@ -637,7 +638,7 @@ _FIRST, _SECOND = pick("Белова Ольга", "Соколов Павел", "
 )
 def ner_names(spark, sf_dir):
     """Token predictions of each customer's text to names: cut at conjunctions, as sure as the least sure token, other labels and doubtful names left out."""
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"{_FIRST} AS a", f"{_SECOND} AS b")
+    rows = spread(table(spark, sf_dir, "customer").selectExpr("c_custkey AS k"), "k").selectExpr("k", f"{_FIRST} AS a", f"{_SECOND} AS b")
     text = F.concat("a", F.lit(" и "), "b", F.lit(", ООО Вега"))
     n, first, second = F.length("a"), F.position(F.lit(" "), F.col("a")), F.position(F.lit(" "), F.col("b"))
 

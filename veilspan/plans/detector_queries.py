@@ -12,6 +12,7 @@ from ..functions import spans
 from ..functions.checks import INN10
 from ..functions.lexicon import Lexicon
 from ..functions.native_context import NATIVE_CONTEXT
+from ..functions.tables import spread
 from ..operators import address, masking, names
 from ..streaming import sessions
 from .registry import digits, exploded, in_turn, pick, query, table
@@ -171,7 +172,7 @@ CASES: dict[str, tuple[tuple[str, ...], list[tuple[str, str]]]] = {
 
 
 def _texts(spark, sf_dir, cases):
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"{in_turn([t for t, _ in cases], 'k')} AS text")
+    return spread(table(spark, sf_dir, "customer").selectExpr("c_custkey AS k"), "k").selectExpr("k", f"{in_turn([t for t, _ in cases], 'k')} AS text")
 
 
 def _register(name: str, types, cases) -> None:
