@@ -51,7 +51,9 @@ def _influence(left: Column, right: Column, phrases: dict[str, float], rule: Rul
             of(after, lambda gap: F.substring(right, F.lit(1), gap), x["weight"]),
         )
 
-    return F.array_max(F.transform(table, one))
+    # few phrases of a rule are near a candidate, and those that aren't count nothing
+    near = F.filter(table, lambda x: F.contains(left, x["phrase"]) | F.contains(right, x["phrase"]))
+    return F.coalesce(F.array_max(F.transform(near, one)), F.lit(0.0))
 
 
 def confidence(left: Column, right: Column, rule: Rule) -> Column:
