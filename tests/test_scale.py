@@ -69,3 +69,25 @@ def test_a_session_is_three_calls_to_the_store():
     handle.calls.clear()
     assert [r.outcome for r in processor.handleInputRows(("a",), iter([row]), handle)] == ["retry"]
     assert handle.calls == ["get"]  # nothing has changed
+
+
+def test_tokens_are_made_by_slices(spark, monkeypatch):
+    """A batch's tokens aren't all Python objects at once, and slices change no result."""
+    import pyarrow as pa
+
+    from veilspan.operators import ner
+
+    model, held = ner.CapitalisedBackend(), []
+
+    def one(text):
+        held.append(text)
+        return text
+
+    real = pa.array
+    monkeypatch.setattr(ner, "SLICE", 100)
+    texts = real(["Anna Belova met Oleg"] * 50 + [None, "", "x" * 500])
+    assert [b - a for a, b in ner._slices(texts)] == [5] * 9 + [7, 1]
+    assert ner._in_slices(one, pa.string(), texts).to_pylist() == texts.to_pylist() == held
+    assert ner._in_slices(one, pa.string(), real([], pa.string())).to_pylist() == []
+    got = spark.createDataFrame([(t,) for t in texts.to_pylist()], "text string").select(ner.predict(F.col("text"), ner.CapitalisedBackend).alias("t"), "text").collect()
+    assert [r.t and [tuple(x) for x in r.t] for r in got] == [None if r.text is None else model(r.text) for r in got]

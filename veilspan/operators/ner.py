@@ -7,7 +7,6 @@ import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Protocol
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -78,17 +77,40 @@ def suspicious(text: str, tokens: Iterable[Token], accepted: Iterable[str] = ACC
     return any(len(re.findall(r"\w+", text[r[0][1][1] : r[-1][1][2]])) > 4 for r in runs(text, tokens, accepted))
 
 
+#: Characters of text whose tokens are held together.
+SLICE = 1 << 18
+_TOKEN = pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())])
+_MATCH = pa.struct([("pii_type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())])
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of about SLICE characters, of a row at least."""
+    begin, held = 0, 0
+    for k, n in enumerate([*pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), None]):
+        if n is None or k > begin and held + n > SLICE:
+            if k > begin:
+                yield begin, k
+            begin, held = k, 0
+        held += n or 0
+
+
+def _in_slices(one: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``one`` of each row (the first column is the texts); only a slice's objects are held in Python."""
+    parts = [pa.array([one(*row) for row in zip(*(c.slice(a, b - a).to_pylist() for c in columns))], kind) for a, b in _slices(columns[0])]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def from_predictions(text: Column, tokens: Column, minimum: float = 0.80, lexicon: Lexicon | None = None) -> Column:
     """Matches of a column of token predictions."""
 
-    @F.pandas_udf("array<struct<pii_type:string,value:string,start:int,end:int,confidence:double>>")
-    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
-        def one(t, p):
-            if t is None or p is None:
-                return None
-            return [{"pii_type": k, "value": t[a:b], "start": a, "end": b, "confidence": c} for k, a, b, c in names(t, [tuple(x.values()) for x in p], minimum, lexicon)]
+    def one(t, p):
+        if t is None or p is None:
+            return None
+        return [{"pii_type": k, "value": t[a:b], "start": a, "end": b, "confidence": c} for k, a, b, c in names(t, [tuple(x.values()) for x in p], minimum, lexicon)]
 
-        return pd.Series([one(t, p) for t, p in zip(texts, found)], dtype=object)
+    @F.arrow_udf("array<struct<pii_type:string,value:string,start:int,end:int,confidence:double>>")
+    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return _in_slices(one, pa.list_(_MATCH), texts, found)
 
     return run(text, tokens)
 
@@ -96,11 +118,11 @@ def from_predictions(text: Column, tokens: Column, minimum: float = 0.80, lexico
 def predict(text: Column, load: Callable[[], Callable[[str], Iterable[Token]]]) -> Column:
     """Token predictions of a back end. ``load`` makes it once a task; it gives (label, start, end, confidence) for a text."""
 
-    @F.pandas_udf(f"array<{TOKEN}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(f"array<{TOKEN}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else [dict(zip(("label", "start", "end", "confidence"), x)) for x in dedupe(model(t))])
+            yield _in_slices(lambda t: None if t is None else [dict(zip(("label", "start", "end", "confidence"), x)) for x in dedupe(model(t))], pa.list_(_TOKEN), texts)
 
     return run(text)
 
@@ -168,8 +190,6 @@ def _predicted(model: WindowModel, texts: list[str | None], room: int, stride: i
     return [None if t is None else [f[span] for span in sorted(f)] for t, f in zip(texts, found)]
 
 
-#: Characters of text whose tokens are held together.
-SLICE = 1 << 18
 FOUND = f"struct<entities:array<{TOKEN}>,matches:array<struct<pii_type:string,value:string,start:int,end:int,confidence:double>>>"
 
 
@@ -197,9 +217,7 @@ def with_predictions(
     if not 0 <= stride < room:
         raise ValueError("windows must go on")
     at, schema = df.columns.index(text), df.withColumn(to, F.lit(None).cast(FOUND)).schema
-    token = pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())])
-    match = pa.struct([("pii_type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())])
-    kind = pa.struct([("entities", pa.list_(token)), ("matches", pa.list_(match))])
+    kind = pa.struct([("entities", pa.list_(_TOKEN)), ("matches", pa.list_(_MATCH))])
 
     def found(t: str | None, tokens: list[Token] | None) -> dict | None:
         if t is None:
@@ -210,17 +228,11 @@ def with_predictions(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for rows in batches:
-            lengths = pc.fill_null(pc.utf8_length(rows.column(at)), 0).to_pylist()
-            begin, held = 0, 0
-            for k, n in enumerate([*lengths, None]):
-                if n is None or k > begin and held + n > SLICE:
-                    part = rows.slice(begin, k - begin)
-                    texts = part.column(at).to_pylist()
-                    out = [found(t, p) for t, p in zip(texts, _predicted(model, texts, room, stride, batch))]
-                    if texts:
-                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], [*part.schema.names, to])
-                    begin, held = k, 0
-                held += n or 0
+            for a, b in _slices(rows.column(at)):
+                part = rows.slice(a, b - a)
+                texts = part.column(at).to_pylist()
+                out = [found(t, p) for t, p in zip(texts, _predicted(model, texts, room, stride, batch))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], [*part.schema.names, to])
 
     return df.mapInArrow(run, schema)
 
