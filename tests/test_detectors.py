@@ -151,3 +151,12 @@ def test_plugin(spark):
     assert len(df.select(detectors.detect(F.col("t"), (), plugins=both, degradation="rule_only")).first()[0]) == 1
     with pytest.raises(Exception, match="down"):
         df.select(detectors.detect(F.col("t"), (), plugins=both)).collect()
+
+
+def test_known_persons_by_lookup():
+    """Names that begin or end with a known one of several words, as told by going through them all."""
+    lex = Lexicon()
+    words = [w for k in sorted(lex.known)[::3] for w in k.split()] + ["иван", "x"]
+    names = [f"{a} {b} {c}".strip() for a in words[:12] for b in words[::4] for c in ("", "лев толстой", "циолковский")] + sorted(lex.known) + [k + "х" for k in sorted(lex.known)] + ["я" + k for k in sorted(lex.known)]
+    for name in names:
+        assert lex.is_known(name) == (name in lex.known or any(" " in k and (name.startswith(k) or name.endswith(k)) for k in lex.known))

@@ -1,6 +1,7 @@
 """Sessions, chunks, policies, models, readers, evaluation, names by a model, and analytics."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -438,3 +439,30 @@ def test_byte_chunks_like_text(spark):
     cut = [x for x in sessions.echo_bytes(replies, 1).collect() if x.request_id == "r" and x.seq < 9]
     held = keyed.restore_batch(spark.createDataFrame(cut, "request_id string, seq long, chunk binary, is_last boolean, mapping array<struct<placeholder:string,value:string>>"), "bytes").collect()
     assert "".join(x.text for x in sorted(held, key=lambda x: (x.seq, x.part))) == text[:8]
+
+
+def test_windows_make_tokens_of_names_only():
+    """Of tokens outside only those that end a name are made, and names and entities are those of all tokens, merged window by window."""
+    r = random.Random(2)
+
+    class Unsure(ner.CapitalisedWindows):
+        def __call__(self, windows):
+            return [[(label, r.choice((0.7, 0.85, 0.9))) for label, _ in w] for w in super().__call__(windows)]
+
+    for _ in range(50):
+        text = " ".join(r.choice(("Anna", "Maria-Eva", "word", "x", "и", "- -", "Ян .")) for _ in range(r.randint(0, 120)))
+        log, model = [], Unsure()
+        calls = Unsure.__call__
+        model.__class__ = type("Logged", (Unsure,), {"__call__": lambda self, w: (log.append((w, calls(self, w))), log[-1][1])[1]})
+        got = ner._predicted(model, [text, None], 10, 4, 1)
+        ids, offsets = model.encode(text)
+        told = {}
+        for w, out in log:
+            told.setdefault(tuple(w[0]), []).append(out[0])
+        whole = {}
+        for a, b in ner.windows(len(ids), 10, 4) if ids else ():
+            ner.merged(whole, model.labels, offsets[a:b], told[tuple(ids[a:b])].pop(0))
+        want = [whole[s] for s in sorted(whole)]
+        assert got[1] is None and [t for t in got[0] if t[0] != "O"] == [t for t in want if t[0] != "O"]
+        assert ner.names(text, got[0]) == ner.names(text, want)
+        assert sum(t[0] == "O" for t in got[0]) <= sum(t[0] != "O" for t in got[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 # Common Russian given names, written for this package.
@@ -110,4 +111,19 @@ class Lexicon:
     def is_known(self, value: str) -> bool:
         """Exactly a known person, or begins or ends with a known name of several words."""
         name = " ".join(value.casefold().split())
-        return name in self.known or any(" " in k and (name.startswith(k) or name.endswith(k)) for k in self.known)
+        if " " not in name or name in self.known:
+            return name in self.known
+        several, lengths = self._several
+        return any(name[:n] in several or name[-n:] in several for n in lengths)
+
+    @functools.cached_property
+    def _several(self) -> tuple[frozenset[str], tuple[int, ...]]:
+        """The known names of several words, and their lengths."""
+        several = frozenset(k for k in self.known if " " in k)
+        return several, tuple({len(k) for k in several})
+
+
+@functools.lru_cache(maxsize=1)
+def default_lexicon() -> Lexicon:
+    """The built-in one, made once a process."""
+    return Lexicon()

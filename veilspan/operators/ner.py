@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Protocol
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import Lexicon
+from ..functions.lexicon import Lexicon, default_lexicon
 
 TOKEN = "struct<label:string,start:int,end:int,confidence:double>"
 ACCEPTED = ("PER", "PERSON")
@@ -55,7 +56,7 @@ def runs(text: str, tokens: Iterable[Token], accepted: Iterable[str] = ACCEPTED)
 
 def names(text: str, tokens: Iterable[Token], minimum: float = 0.80, lexicon: Lexicon | None = None, accepted: Iterable[str] = ACCEPTED) -> list[tuple[str, int, int, float]]:
     """PERSON spans: runs are cut at B- and at conjunctions that stand alone; a name is as sure as its least sure token."""
-    known = (lexicon or Lexicon()).is_known
+    known = (lexicon or default_lexicon()).is_known
     out = []
     for run in runs(text, tokens, accepted):
         groups: list[list[Token]] = [[]]
@@ -164,30 +165,61 @@ def merged(found: dict[tuple[int, int], Token], labels: Mapping[int, str], offse
             found[span] = (labels[label], *span, sure)
 
 
-def _predicted(model: WindowModel, texts: list[str | None], room: int, stride: int, batch: int) -> list[list[Token] | None]:
-    """The tokens of some texts, whose windows go to the model together."""
-    found: list[dict] = [{} for _ in texts]
-    held: list[tuple] = []
+def _tokens(labels: Mapping[int, str], offsets: list[tuple[int, int]], predicted: list[tuple[int, float]], outside: str) -> list[Token]:
+    """The tokens of a text, in order; of those outside, which only end a name, the first after each of the others."""
+    ordered = all(a < b for a, b in itertools.pairwise(offsets))
+    if not ordered:  # a model's tokens can have the same span, or come in another order
+        found: dict[tuple[int, int], Token] = {}
+        merged(found, labels, offsets, predicted)
+        return [found[span] for span in sorted(found)]
+    inside = {k for k, label in labels.items() if label != outside}
+    own = [i for i, p in enumerate(predicted) if p[0] in inside and offsets[i][0] != offsets[i][1]]
+    out: list[Token] = []
+    for n, i in enumerate(own):
+        out.append((labels[predicted[i][0]], *offsets[i], predicted[i][1]))
+        j, end = i + 1, own[n + 1] if n + 1 < len(own) else len(offsets)
+        while j < end and offsets[j][0] == offsets[j][1]:
+            j += 1
+        if j < end:
+            out.append((outside, *offsets[j], predicted[j][1]))
+    return out
+
+
+def _predicted(model: WindowModel, texts: list[str | None], room: int, stride: int, batch: int, outside: str = "O") -> list[list[Token] | None]:
+    """The tokens of some texts, whose windows go to the model together; a text's last windows decide on what they share with those before."""
+    best: list[list[tuple[int, float]]] = [[] for _ in texts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    held: list[tuple[int, int, list[int]]] = []
+    known = set(model.labels)
 
     def passed() -> None:
         held.sort(key=lambda w: len(w[2]))
         told = []
         for k in range(0, len(held), batch):
             told += list(zip(held[k : k + batch], model([w[2] for w in held[k : k + batch]]), strict=True))
-        for (row, _, _, offsets), predicted in sorted(told, key=lambda w: w[0][:2]):
-            merged(found[row], model.labels, offsets, predicted)
+        for (row, at, ids), predicted in sorted(told, key=lambda w: w[0][:2]):
+            if len(ids) != len(predicted):
+                raise ValueError("the model gave another number of labels than it was given tokens")
+            if not known.issuperset([p[0] for p in predicted]):
+                merged({}, model.labels, spans[row][at : at + len(ids)], predicted)  # an error, unless of tokens without extent
+            own = best[row]
+            shared = len(own) - at
+            for i in range(shared):
+                if predicted[i][1] > own[at + i][1]:
+                    own[at + i] = predicted[i]
+            own += predicted[shared:]
         held.clear()
 
     for row, t in enumerate(texts):
         if t is None:
             continue
-        ids, offsets = model.encode(t)
-        for n, (a, b) in enumerate(windows(len(ids), room, stride) if ids else ()):
-            held.append((row, n, ids[a:b], offsets[a:b]))
+        ids, spans[row] = model.encode(t)
+        for a, b in windows(len(ids), room, stride) if ids else ():
+            held.append((row, a, ids[a:b]))
             if len(held) >= 8 * batch:
                 passed()
     passed()
-    return [None if t is None else [f[span] for span in sorted(f)] for t, f in zip(texts, found)]
+    return [None if t is None else _tokens(model.labels, own, p, outside) for t, own, p in zip(texts, spans, best)]
 
 
 FOUND = f"struct<entities:array<{TOKEN}>,matches:array<struct<pii_type:string,value:string,start:int,end:int,confidence:double>>>"
@@ -231,7 +263,7 @@ def with_predictions(
             for a, b in _slices(rows.column(at)):
                 part = rows.slice(a, b - a)
                 texts = part.column(at).to_pylist()
-                out = [found(t, p) for t, p in zip(texts, _predicted(model, texts, room, stride, batch))]
+                out = [found(t, p) for t, p in zip(texts, _predicted(model, texts, room, stride, batch, outside))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], [*part.schema.names, to])
 
     return df.mapInArrow(run, schema)
@@ -241,15 +273,15 @@ class CapitalisedWindows:
     """A stand-in for a windowed model in tests: a capitalised word is B-PER, or I-PER if the token before it is one."""
 
     labels = {0: "O", 1: "B-PER", 2: "I-PER"}
-    _token = re.compile(r"\w+|[^\w\s]")
-    _capital = re.compile(r"[A-ZА-ЯЁ]\w")
+    _token = re.compile(r"([A-ZА-ЯЁ]\w+)|\w+|[^\w\s]")
+    _told = (((0, 0.9), (0, 0.9)), ((1, 0.9), (2, 0.9)))
 
     def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        spans = [m.span() for m in self._token.finditer(text)]
-        return [int(self._capital.match(text, a) is not None) for a, _ in spans], spans
+        found = list(self._token.finditer(text))
+        return [m.lastindex or 0 for m in found], [m.span() for m in found]
 
     def __call__(self, windows: list[list[int]]) -> list[list[tuple[int, float]]]:
-        return [[((2 if k and w[k - 1] else 1) if x else 0, 0.9) for k, x in enumerate(w)] for w in windows]
+        return [[self._told[x][before] for x, before in zip(w, (0, *w))] for w in windows]
 
 
 class CapitalisedBackend:
