@@ -183,3 +183,24 @@ def test_language_prediction_like_plain_python():
             shares.append(max(count - len(grams) * rate, 0) / (1 - rate) + 0.5 * model.prior[i])
         assert best[k] == int(np.argmax(shares)) and abs(score[k] - max(shares) / sum(shares)) < 1e-9
     assert [model.langs[b] for b in best[[0, 1, 5, 6]]] == ["en", "de", "es", "en"]
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """A word of 25 toxic documents out of 2,500, those a sample by the hash of the id takes last, gets its weight; pieces flag the same texts as the whole."""
+    base = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"), F.xxhash64("id").alias("h")).toPandas()
+    late = set(base[base.toxic == 1].sort_values("h").doc_id.tail(25))
+    texts = [(i, ("Brgl." if i in late else "Nitwit.") if y else f"Nice day {i}.", y) for i, y in zip(base.doc_id.tolist(), base.toxic.tolist())]
+    texts = [(i, f"{t} Then number{i} came along, place{i} was quiet, time{i} went by." + " Ok." * (i % 83), y) for i, t, y in texts]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    asked = spark.createDataFrame([(1, "A brgl."), (2, "A nitwit."), (3, "A nice day."), (4, None)], "doc_id long, text string")
+    flags = []
+    for piece in (toxicity.PIECE, 60):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
+        flags.append({x.doc_id: x.score >= 0.5 for x in toxicity.score(asked, model).collect()})
+    assert flags == [{1: True, 2: True, 3: False, 4: False}] * 2
+
+
+def test_near_copies_teach_once(spark):
+    rows = [(1, 0, "one two three four five six seven eight nine ten"), (2, 0, "one two three four five six seven eight nine ten eleven"), (3, 1, "other words are in this one here"), (4, 0, ""), (5, 0, "")]
+    assert [r.doc_id for r in toxicity._copies(spark.createDataFrame(rows, "doc_id long, toxic int, text string")).collect()] == [2]

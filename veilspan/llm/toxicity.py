@@ -8,15 +8,16 @@ labels that no sentence explains, and the sentence bias is fixed and low, so tha
 isn't toxic for being long. Words that toxic training documents don't hold far more often than
 chance would have it (``MIN_EVIDENCE``) get no weight.
 
-The model is fitted on the driver on a bounded sample of labelled rows (``MAX_PER_CLASS`` of each
-class, taken by a hash of the id; of a text over ``MAX_TRAIN_BYTES`` a stretch of that length). Scoring runs over all rows
-and whole texts, by table look-ups for a batch at a time.
+The model learns from all labelled rows and their whole texts, near copies once. Words are counted by tasks; what a
+document says of the words that count (which of its sentences hold which of them, and how many hold none) is a pattern, and equal patterns
+are one row with a number. The weights are fitted on pieces of up to about ``PIECE`` patterns by tasks and averaged, a word's by its
+documents in each piece. Scoring runs over all rows and whole texts, by table look-ups for a batch at a time.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_rows, sliced
+from ._shared import arrow_rows, dropped, maybe_broadcast, written
 from ._text import LOWER, mask_runs, slices, span_hash, string_bytes, tidied, window_hash, words
 
-MAX_PER_CLASS = 2000
-MAX_TRAIN_BYTES = 16384
+#: Patterns of labelled documents that a task fits the weights on, and toxic documents that a piece has at least.
+PIECE, PIECE_TOXIC = 1 << 16, 100
 #: Words in fewer training documents than this have no weight.
 MIN_DOCS = 3
 #: A word counts if its toxic documents are more than chance would give, by this many nats (Chernoff's bound).
@@ -201,53 +202,185 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, counts: tuple
     if not n:
         return flat
     s, w = _distinct(np.searchsorted(at, starts[keep], "right") - 1, new[which[keep]], n)
-    sentence_row = np.repeat(np.arange(len(labels)), np.diff(first))
-    ones, zeros = labels.sum(), (1 - labels).sum()
+    inside, s = np.unique(s, return_inverse=True)
+    sentence_row = np.searchsorted(first, inside, "right") - 1
+    empty = np.diff(first) - np.bincount(sentence_row, minlength=len(labels))
+    weights, leak = _descended(labels, np.ones(len(labels)), empty, sentence_row, s, w, n, epochs, counts)
+    return Model(vocab[often], weights, leak)
+
+
+def _descended(
+    labels: np.ndarray, times: np.ndarray, empty: np.ndarray, sentence_row: np.ndarray, s: np.ndarray, w: np.ndarray, n: int, epochs: int = EPOCHS, counts: tuple[int, int] | None = None
+) -> tuple[np.ndarray, float]:
+    """Weights of n words and the leak. Rows have a label, a number of copies and one of sentences without words that count;
+    each other sentence has its row, and words w are in sentences s."""
+    ones, zeros = (labels * times).sum(), ((1 - labels) * times).sum()
     zero_all, one_all = counts or (zeros, ones)
-    weight = np.where(labels == 1, one_all / ones, zero_all / zeros) * len(labels) / (one_all + zero_all)
+    weight = np.where(labels == 1, one_all / ones, zero_all / zeros) * (ones + zeros) / (one_all + zero_all) * times
     weights, leak = np.full(n, START), float(np.log(one_all / zero_all))
     m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, epochs + 1):
-        z = BIAS + np.bincount(s, weights[w], len(at))
+        z = BIAS + np.bincount(s, weights[w], len(sentence_row))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        whole = np.clip(noisy_or(z, first, leak), 1e-9, 1 - 1e-9)
+        total = np.bincount(sentence_row, np.logaddexp(0, z), len(labels)) + empty * np.logaddexp(0, BIAS) + np.logaddexp(0, leak)
+        whole = np.clip(-np.expm1(-total), 1e-9, 1 - 1e-9)
         # d loss / d z of a sentence: p for a 0, -p (1 - P) / P for a 1; likewise for the leak
         g = np.where(labels == 1, -(1 - whole) / whole, 1.0) * weight
-        grad = np.append(np.bincount(w, (g[sentence_row] * p)[s], n), g.sum() / (1 + np.exp(-leak))) / len(labels)
+        grad = np.append(np.bincount(w, (g[sentence_row] * p)[s], n), g.sum() / (1 + np.exp(-leak))) / (ones + zeros)
         grad[:-1] += L2 * (weights - START)
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad**2
         move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         weights -= move[:-1]
         leak -= move[-1]
-    return Model(vocab[often], weights, float(leak))
+    return weights, float(leak)
 
 
 def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
+def _by_rows(rows: DataFrame, one: Callable[[pa.RecordBatch], dict[str, pa.Array]], schema: str) -> DataFrame:
+    """``one`` of each slice of (doc_id, toxic, text)."""
+    arrow_rows(rows.sparkSession)
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_pydict(one(part))
+
+    return rows.select("doc_id", "toxic", "text").mapInArrow(run, schema)
+
+
+def _sketches(part: pa.RecordBatch) -> dict[str, pa.Array]:
+    starts, ends, first = words(*string_bytes(part.column(2)))
+    unit = span_hash(LOWER[string_bytes(part.column(2))[0]], starts, ends)
+    own = [np.unique(window_hash(unit[a:b], min(3, b - a)))[:SKETCH].view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(first[:-1], first[1:])]
+    return {"doc_id": part.column(0), "sketch": pa.array(own, pa.list_(pa.int64()))}
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """Ids of documents that share at least half of their sketch with an earlier one: for each of its shingles the first document that has it counts."""
+    each = _by_rows(rows, _sketches, "doc_id long, sketch array<long>").select("doc_id", F.size("sketch").alias("n"), F.explode("sketch").alias("h"))
+    each = written(each)
+    first = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    shared = each.join(first, "h").where("first < doc_id").groupBy("doc_id", "first", "n").count()
+    out = written(shared.where("2 * count >= n").select("doc_id").distinct())
+    dropped(each)
+    return out
+
+
+def _evidence(rows: DataFrame, share: float) -> np.ndarray:
+    """Hashes of the words that count, in order; counted over all rows."""
+
+    def one(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        data, offsets = string_bytes(part.column(2))
+        hashes, at = features(data, offsets)
+        vocab, which = np.unique(hashes, return_inverse=True)
+        n, labels = part.num_rows, part.column(1).to_numpy()
+        pairs = np.unique(which * np.int64(n) + np.searchsorted(offsets, at, "right") - 1)
+        docs, toxic = np.bincount(pairs // n, minlength=len(vocab)), np.bincount(pairs // n, labels[pairs % n], len(vocab))
+        return {"h": pa.array(vocab.view(np.int64)), "docs": pa.array(docs), "toxic": pa.array(toxic.astype(np.int64))}
+
+    told = _by_rows(rows, one, "h long, docs long, toxic long").groupBy("h").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    rate = F.least(F.greatest(F.col("toxic") / F.col("docs"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    excess = F.col("docs") * (rate * F.log(rate / share) + (1 - rate) * F.log((1 - rate) / (1 - share)))
+    often = told.where((F.col("docs") >= MIN_DOCS) & (rate > share) & (excess >= MIN_EVIDENCE))
+    return np.sort(often.select("h").toArrow()["h"].to_numpy().view(np.uint64))
+
+
+def _patterns(rows: DataFrame, vocab: np.ndarray) -> DataFrame:
+    """(toxic, empty, sentences, n): the sentences with words that count, as lists of these words, the number of the others, and how many documents are like this."""
+    shipped = rows.sparkSession.sparkContext.broadcast(vocab)
+
+    def one(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        known = shipped.value
+        data, offsets = string_bytes(part.column(2))
+        at, first = sentences(data, offsets)
+        hashes, starts = features(data, offsets)
+        k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hit = known[k] == hashes
+        s, w = _distinct(np.searchsorted(at, starts[hit], "right") - 1, k[hit], len(known))
+        inside, begin = np.unique(s, return_index=True)
+        own: list[list] = [[] for _ in range(part.num_rows)]
+        for row, x in zip((np.searchsorted(first, inside, "right") - 1).tolist(), np.split(w, begin[1:]) if len(w) else []):
+            own[row].append(x.tolist())
+        empty = np.diff(first) - np.array([len(x) for x in own], np.int64)
+        return {"toxic": part.column(1), "empty": pa.array(empty), "sentences": pa.array([sorted(x) for x in own], pa.list_(pa.list_(pa.int64())))}
+
+    each = _by_rows(rows, one, "toxic int, empty long, sentences array<array<long>>")
+    return each.groupBy("toxic", "empty", "sentences").agg(F.count("*").alias("n"))
+
+
+_FIXED = 1 << 30
+
+
+def _fitted(patterns: DataFrame, words_n: int, count: int, counts: tuple[int, int]) -> tuple[np.ndarray, float]:
+    """The weights and the leak, as means over the pieces; in fixed point, so that the order doesn't matter."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for b in batches:
+            piece = b.column(0).to_numpy()
+            for k in np.unique(piece).tolist():
+                held.setdefault(k, []).append(b.filter(pa.array(piece == k)))
+        for k in sorted(held):
+            t = pa.Table.from_batches(held.pop(k)).to_pydict()
+            labels, times, empty = (np.array(t[c], np.float64) for c in ("toxic", "n", "empty"))
+            if labels.min() == labels.max():
+                continue
+            row = np.repeat(np.arange(len(labels)), [len(x) for x in t["sentences"]])
+            each = [x for own in t["sentences"] for x in own]
+            s = np.repeat(np.arange(len(each)), [len(x) for x in each])
+            w = np.array([i for x in each for i in x], np.int64)
+            weights, leak = _descended(labels, times, empty, row, s, w, words_n, EPOCHS, counts)
+            seen = np.bincount(w, times[row[s]], words_n)
+            by = np.append(seen, times.sum()).astype(np.int64)
+            x = np.round(np.append(weights, leak) * _FIXED).astype(np.int64)
+            at = np.flatnonzero(by)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at), "x": pa.array(x[at]), "by": pa.array(by[at])})
+
+    piece = F.pmod(F.xxhash64("toxic", "empty", "sentences"), F.lit(count)).cast("int")
+    dealt = patterns.select(piece.alias("piece"), "*").repartition(count, "piece").sortWithinPartitions("piece", "toxic", "empty", "sentences")
+    told = dealt.mapInArrow(run, "at long, x long, by long").groupBy("at").agg(F.sum(F.col("x").cast("decimal(38)") * F.col("by")).alias("x"), F.sum("by").alias("by")).collect()
+    out = np.full(words_n + 1, START)
+    for r in told:
+        out[r["at"]] = float(r["x"]) / r["by"] / _FIXED
+    return out[:-1], float(out[-1])
+
+
 def train(documents: DataFrame, labels: DataFrame, usable: Column, text: str = "text") -> Model:
-    """Fits a model on labelled documents for which ``usable`` (an expression on doc_id) holds.
+    """Fits a model on all labelled documents for which ``usable`` (an expression on doc_id) holds.
 
     Rows with a null doc_id, text or label take no part; an id with several labels counts as toxic
     if one of them says so; of repeated documents of an id one is taken.
     """
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), sliced(F.col(text), MAX_TRAIN_BYTES).alias("text"))
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    ids = documents.where("text is not null").select("doc_id").distinct()
-    chosen = marks.where(usable).join(ids, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = chosen.where("toxic = 1").orderBy(*order).limit(MAX_PER_CLASS).union(chosen.where("toxic = 0").orderBy(*order).limit(MAX_PER_CLASS))
-    few = [(r[0], r[1]) for r in picked.collect()]  # 2 * MAX_PER_CLASS rows at most
-    total = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
-    spark = documents.sparkSession
-    small = F.broadcast(spark.createDataFrame(few, "doc_id long, toxic int"))
-    rows = documents.where("text is not null").join(small, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = rows.toArrow().sort_by("doc_id")
-    texts = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    return fit(texts, rows["toxic"].to_numpy(), counts=(total.get(0, 0), total.get(1, 0)))
+    rows = written(documents.where("text is not null").join(marks.where(usable), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    total = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    zeros, ones = total.get(0, 0), total.get(1, 0)
+    flat = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((ones + 0.5) / (zeros + 0.5))))
+    if not zeros or not ones:
+        return flat
+    copies = _copies(rows)
+    kept = written(rows.join(maybe_broadcast(copies), "doc_id", "left_anti"))  # copies would count as evidence again
+    dropped(rows, copies)
+    n = {r[0]: r[1] for r in kept.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return flat
+    vocab = _evidence(kept, n[1] / (n[0] + n[1]))
+    if not len(vocab):
+        return flat
+    patterns = written(_patterns(kept, vocab))
+    dropped(kept)
+    count = max(1, min(-(-patterns.count() // PIECE), n[1] // PIECE_TOXIC))
+    weights, leak = _fitted(patterns, len(vocab), count, (zeros, ones))
+    dropped(patterns)
+    return Model(vocab, weights, leak)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
