@@ -3,7 +3,9 @@
 import json
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,92 @@ def test_chunks_in_any_order_like_batch(spark, tmp_path):
     assert sorted((x[0], x[1], x[3]) for x in want if x[0] in ("r", "p", "e")) == sorted(map(tuple, plain))
 
 
+class Store:
+    """A bucket's state in memory, with the calls that a worker would make to the state store."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), 0
+
+    def _call(self, f):
+        def called(*args):
+            self.calls += 1
+            return f(*args)
+
+        return called
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=self._call(lambda: self.value), update=self._call(lambda v: setattr(self, "value", v)), clear=self._call(lambda: setattr(self, "value", None)))
+
+    def getMapState(self, name, key, value):
+        return SimpleNamespace(getValue=self._call(self.map.__getitem__), updateValue=self._call(self.map.__setitem__), removeKey=self._call(self.map.__delitem__))
+
+    def registerTimer(self, at):
+        self._call(self.timers.add)(at)
+
+    def deleteTimer(self, at):
+        self._call(self.timers.remove)(at)
+
+
+def bucket(store, idle=300.0):
+    """A processor over the state, given micro-batches of rows (request_id, seq, second, body, is_last, mapping) and the watermark; or the watermark alone, for timers."""
+    p = keyed.OrderProcessor("chunks", idle)
+    p.init(store)
+
+    def run(rows, watermark):
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark * 1000)
+        if rows:
+            frame = pd.DataFrame([(w, s, b, last, json.dumps([{"placeholder": k, "value": v} for k, v in m]) if m else None, t * 1_000_000) for w, s, t, b, last, m in rows], columns=["request_id", "seq", "body", "is_last", "mapping", "at"])
+            out = list(p.handleInputRows((0,), iter([frame[:7], frame[7:]]), times))
+        else:
+            out = [f for t in sorted(store.timers) if t <= watermark * 1000 for f in p.handleExpiredTimer((0,), times, None)]
+            store.timers -= {t for t in store.timers if t <= watermark * 1000}
+        return [tuple(r) for f in out for r in f.itertuples(index=False)]
+
+    return run
+
+
+@pytest.mark.parametrize("n", [10, 400])
+def test_calls_to_the_store_dont_grow_with_requests(n):
+    rows = [(f"r{i}", seq, 100 + i % 60, f"{c} __PII_EMAIL_1__", seq == 2, list(MAPPING.items()) if seq == 0 else None) for i in range(n) for seq, c in enumerate("abc")]
+    store = Store()
+    run = bucket(store)
+    out = run(rows, 50)
+    assert sorted(out) == sorted((r[0], r[1], 0, f"{'abc'[r[1]]} x@y.zz", "ok") for r in rows) and store.calls <= 4
+    assert run(rows[: n * 2], 50) == [] and store.calls <= 8  # repeated rows
+    assert run([], 399) == [] and len(json.loads(store.value[1])) == n
+    assert run([], 1000) == [] and store.value is None and not store.map and not store.timers and store.calls <= 16
+
+
+def test_a_bucket_holds_few_early_rows_and_forgets_each_request_in_its_time(monkeypatch):
+    monkeypatch.setattr(keyed, "_EARLY", 5)
+    texts = {f"r{i}": MASKED * (i % 3 + 1) for i in range(9)}
+    rows = [(w, s, 100 + 20 * k, b, last, m) for k, (w, t) in enumerate(texts.items()) for w, s, _, b, last, m in chunked(t, 11, MAPPING, w)]
+    lost = [r for r in chunked(MASKED, 11, MAPPING, "lost") if r[1] != 1]
+    rows = random.Random(8).sample(rows + [(w, s, 250, b, last, m) for w, s, _, b, last, m in lost], len(rows) + len(lost))
+    store = Store()
+    run = bucket(store)
+    out = run(rows[:20], 0) + run(rows[20:35], 0) + run(rows[10:], 0)
+    assert {w: "".join(x[3] for x in sorted(out) if x[0] == w) for w in texts} == {w: restore.demask(t, MAPPING) for w, t in texts.items()}
+    assert {k[0] for k in store.map} == {"lost"} and store.timers == {400_000}
+    assert run([], 410) == [] and store.timers == {420_000} and len(json.loads(store.value[1])) == 9
+    # a forgotten request's row is late; a known one's isn't, whatever its time
+    assert run([("r0", 0, 100, "x", True, None), ("r8", 0, 100, "x", True, None)], 410) == [("r0", 0, 0, "x", "late")]
+    got = run([], 600)
+    assert {x[4] for x in got} == {"held", "beyond"} and {x[1] for x in got} >= {r[1] for r in lost} - {0} and store.value is None and not store.map and not store.timers
+
+
+def test_many_requests_share_few_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKETS", 3)
+    rows = [x for i in range(40) for x in chunked(MASKED[: 5 + i], 7, MAPPING, f"r{i}", begin=i * 20) if i % 4 or x[1] != 1]
+    mixed = random.Random(9).sample(rows, len(rows))
+    want = sorted(map(tuple, keyed.restore_batch(spark.createDataFrame(rows, CHUNKS)).collect()))
+    assert {x[4] for x in want} == {"ok", "held", "beyond"}
+    files = Files(spark, tmp_path, CHUNKS)
+    files.add(mixed[:60], mixed[60:90], mixed[80:], [("end", 0, at(100_000), "", True, None)], [("end2", 0, at(200_000), "", True, None)])
+    got = files.run(lambda s: keyed.restore_stream(s, late="1 hour", idle="5 minutes"), "buckets")
+    assert sorted(tuple(x) for x in got if not x.request_id.startswith("end")) == want
+
+
 def test_late_chunks_come_out(spark, tmp_path):
     rows = chunked("one __PII_EMAIL_1__ two", 30, MAPPING, "late") + chunked("x", 1, {}, "now", 5000)
     files = Files(spark, tmp_path, CHUNKS)

@@ -1,6 +1,8 @@
 """Streams with state by key: sessions, and chunks and event streams that come in any order.
 
-All three are stateful processors (``transformWithState``; rows, as a data frame for each key costs more than its work): values and maps in the state store, timers in event time.
+All three are stateful processors: values and maps in the state store, timers in event time. A session is a key of its own, and its processor
+takes rows (``transformWithState``), as a data frame for each key costs more than its work; requests of chunks and events are dealt to buckets, and
+theirs takes data frames (``transformWithStateInPandas``), as calls to the store for each request cost more than restoring it.
 Time is the rows' ``ts`` and the watermark behind the latest of them, so a stream that stands still forgets nothing.
 Rows behind the watermark aren't dropped by Spark but come to the processor, which answers them: the column
 that carries the watermark is left out below it, and ``ts`` goes on as a plain number.
@@ -11,7 +13,8 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -268,16 +271,19 @@ class _Bytes:
 
 
 _KINDS = {"chunks": _Chunks, "events": _Events, "bytes": _Bytes}
-#: Early rows of a request that are held in memory within a micro-batch.
+#: Groups that requests are dealt to; each is a key of the state store. It must stay the same as long as a checkpoint is used.
+BUCKETS = 4096
+#: Early rows of a bucket that are held in memory within a micro-batch.
 _EARLY = 1000
+#: Rows that are given out at a time.
+_OUT = 1000
 RESTORED = "request_id string, seq long, part int, text string, state string"
-_RESTORED = Row(*[c.split()[0] for c in RESTORED.split(", ")])
-_HEAD = "next long, done boolean, held string, last string, mapping string, latest long"
+_NAMES = [c.split()[0] for c in RESTORED.split(", ")]
 
 
 @dataclass
 class Head:
-    """How far a request has come: the next number, what is held back, the mapping, and the time of the latest row (microseconds)."""
+    """How far a request has come: the next number, what is held back, the mapping, the time of the latest row (microseconds), and the numbers of the rows that wait."""
 
     next: int = 0
     done: bool = False
@@ -285,6 +291,16 @@ class Head:
     last: str | None = None
     mapping: str | None = None
     latest: int = 0
+    waiting: set[int] = field(default_factory=set)
+
+    def packed(self) -> list:
+        """As it is stored: the latest time first, and of a request that has ended nothing else."""
+        return [self.latest] if self.done else [self.latest, self.next, self.held, self.last, self.mapping, sorted(self.waiting)]
+
+    @classmethod
+    def unpacked(cls, kept: list) -> Head:
+        latest, *more = kept
+        return cls(more[0], False, *more[1:4], latest, set(more[4])) if more else cls(done=True, latest=latest)
 
 
 def _pairs(mapping: str | None) -> dict[str, str]:
@@ -342,85 +358,141 @@ class Beyond:
         yield from self.left()
 
 
-def _rows(key: str, out: Iterable[tuple]) -> Iterator[Row]:
-    return (_RESTORED(key, *r) for r in out)
+def _frame(key: str, out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([(key, *r) for r in out], columns=_NAMES)
+
 
+def _frames(out: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+    return (pd.DataFrame(some, columns=_NAMES) for some in batched(out, _OUT))
 
-def _frame(key: str, out: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(key, *r) for r in out], columns=["request_id", "seq", "part", "text", "state"])
+
+class Open:
+    """A request that has rows in a micro-batch: those that are early wait in ``fresh`` until the micro-batch ends or there are too many."""
+
+    def __init__(self, kind: str, kept: list | None):
+        self.known, self.head = kept is not None, Head.unpacked(kept) if kept else Head()
+        self.order = Order(kind, self.head) if not self.head.done else None
+        self.fresh: dict[int, tuple] = {}
+        self.late: list[tuple] = []
+        self.on_time = self.known
 
 
 class OrderProcessor(StatefulProcessor):
-    """Restores a request's rows in order of their numbers, in whatever order they come; those that are early wait in a map state."""
+    """Restores the rows of a bucket of requests, each request's in order of their numbers, in whatever order they come; those that are early wait in a map state.
+
+    The heads of a bucket's requests are one value (JSON) and have one timer, as each call to the store takes its time. It is read and written
+    by the micro-batches in which the bucket has rows or a request of it ends. Requests that have ended are a number in it until they are forgotten.
+    """
 
     def __init__(self, kind: str, idle: float):
         self._kind, self._idle = kind, int(idle * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._head = handle.getValueState("head", _HEAD)
-        self._waiting = handle.getMapState("waiting", "seq long", "body string, is_last boolean, mapping string")
-
-    def _keep(self, fresh: dict[int, tuple], stored: set[int]) -> None:
-        for seq, row in fresh.items():
-            self._waiting.updateValue((seq,), row)
-        stored.update(fresh)
-        fresh.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now, found = timerValues.getCurrentWatermarkInMs(), self._head.get()
-        order = Order(self._kind, Head(*found) if found else Head())
-        h = order.head
-        stored = {k[0] for k in self._waiting.keys()} if found else set()
-        fresh: dict[int, tuple] = {}  # early rows of this micro-batch; what is left of them at its end is stored
-        late, first = [], not found
-        for _, seq, body, is_last, mapping, at in rows:
-            if not found and at < now * 1000:
-                late.append((seq, body, is_last, mapping))
+        self._heads = handle.getValueState("heads", "timer long, heads string")
+        self._waiting = handle.getMapState("waiting", "request_id string, seq long", "body string, is_last boolean, mapping string")
+
+    def _load(self) -> tuple[dict[str, list], int]:
+        """The packed heads by request, and the time of the timer (milliseconds; 0: none)."""
+        found = self._heads.get()
+        return (json.loads(found[1]), found[0]) if found else ({}, 0)
+
+    def _due(self, kept: list) -> int:
+        """When a request ends if nothing more comes (milliseconds)."""
+        return kept[0] // 1000 + self._idle
+
+    def _store(self, heads: dict[str, list], timer: int) -> None:
+        """Writes the heads; the timer is set to the first that is due, or stays where it is if that is earlier."""
+        if not heads:
+            self._heads.clear()
+            return
+        first = min(map(self._due, heads.values()))
+        if timer and first < timer:
+            self._handle.deleteTimer(timer)
+        if not timer or first < timer:
+            self._handle.registerTimer(first)
+            timer = first
+        self._heads.update((timer, json.dumps(heads, ensure_ascii=False, separators=(",", ":"))))
+
+    def _keep(self, who: str, request: Open) -> int:
+        """Early rows go to the store; how many."""
+        n = len(request.fresh)
+        for seq, row in request.fresh.items():
+            self._waiting.updateValue((who, seq), row)
+        request.head.waiting.update(request.fresh)
+        request.fresh.clear()
+        return n
+
+    def _taken(self, who: str, seq: int) -> tuple:
+        row = self._waiting.getValue((who, seq))
+        self._waiting.removeKey((who, seq))
+        return row
+
+    def _restored(self, frames: Iterator[pd.DataFrame], now: int) -> Iterator[tuple]:
+        heads, timer = self._load()
+        here: dict[str, Open] = {}
+        early = 0
+        for pdf in frames:
+            for who, seq, body, is_last, mapping, at in zip(pdf["request_id"], pdf["seq"], pdf["body"], pdf["is_last"], pdf["mapping"], pdf["at"]):
+                r = here.get(who)
+                if r is None:
+                    r = here[who] = Open(self._kind, heads.get(who))
+                h, seq, at = r.head, int(seq), int(at)
+                row = (body if isinstance(body, str) else None, bool(is_last), mapping if isinstance(mapping, str) else None)
+                if not r.known and at < now * 1000:
+                    r.late.append((seq, *row))
+                    continue
+                r.on_time, h.latest = True, max(h.latest, at)
+                if h.done or seq < h.next or seq in h.waiting or seq in r.fresh:
+                    continue  # a repeated row
+                if seq > h.next:
+                    r.fresh[seq] = row
+                    early += 1
+                    if early > _EARLY:
+                        early -= sum(self._keep(w, x) for w, x in here.items() if x.fresh)
+                    continue
+                yield from ((who, *x) for x in r.order.take(*row))
+                while not h.done and (h.next in r.fresh or h.next in h.waiting):
+                    if h.next in r.fresh:
+                        row = r.fresh.pop(h.next)
+                        early -= 1
+                    else:
+                        row = self._taken(who, h.next)
+                        h.waiting.discard(h.next)
+                    yield from ((who, *x) for x in r.order.take(*row))
+                if h.done:
+                    early -= len(r.fresh)
+                    r.fresh.clear()
+                    r.order = None
+        for who, r in here.items():
+            if r.late:
+                yield from ((who, *x) for x in Beyond(self._kind, r.head.mapping, "late").all(sorted(r.late, key=lambda x: x[0])))
+            if not r.on_time:
                 continue
-            first, h.latest = False, max(h.latest, at)
-            if h.done or seq < h.next or seq in stored or seq in fresh:
-                continue  # a repeated row
-            if seq > h.next:
-                fresh[seq] = (body, is_last, mapping)
-                if len(fresh) > _EARLY:
-                    self._keep(fresh, stored)
+            self._keep(who, r)
+            if r.head.done:
+                for seq in r.head.waiting:
+                    self._waiting.removeKey((who, seq))
+            heads[who] = r.head.packed()
+        if any(r.on_time for r in here.values()):
+            self._store(heads, timer)
+
+    def _ended(self, now: int) -> Iterator[tuple]:
+        heads = self._load()[0]
+        for who in [w for w, kept in heads.items() if self._due(kept) <= now]:
+            head = Head.unpacked(heads.pop(who))
+            if head.done:
                 continue
-            yield from _rows(key[0], order.take(body, is_last, mapping))
-            while not h.done and (h.next in fresh or h.next in stored):
-                n = h.next
-                if n in fresh:
-                    yield from _rows(key[0], order.take(*fresh.pop(n)))
-                else:
-                    yield from _rows(key[0], order.take(*self._waiting.getValue((n,))))
-                    self._waiting.removeKey((n,))
-                    stored.discard(n)
-        if late:
-            yield from _rows(key[0], list(Beyond(self._kind, h.mapping, "late").all(sorted(late, key=lambda r: r[0]))))
-        if first:
-            return
-        if not h.done:
-            self._keep(fresh, stored)
-        elif stored:
-            self._waiting.clear()
-        self._head.update((h.next, h.done, h.held, h.last, h.mapping, h.latest))
-        if not found:
-            self._handle.registerTimer(h.latest // 1000 + self._idle)
+            yield from ((who, *x) for x in Order(self._kind, head).finish())
+            left = ((seq, *self._taken(who, seq)) for seq in sorted(head.waiting))
+            yield from ((who, *x) for x in Beyond(self._kind, head.mapping, "beyond").all(left))
+        self._store(heads, 0)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        head = Head(*self._head.get())
-        due = head.latest // 1000 + self._idle
-        if due > timerValues.getCurrentWatermarkInMs():  # rows have come since
-            self._handle.registerTimer(due)
-            return
-        order = Order(self._kind, head)
-        out = list(order.finish())
-        if not head.done:
-            left = ((k, *self._waiting.getValue((k,))) for k in sorted(k[0] for k in self._waiting.keys()))
-            out += Beyond(self._kind, head.mapping, "beyond").all(left)
-        self._head.clear()
-        self._waiting.clear()
-        yield from _rows(key[0], out)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from _frames(self._restored(rows, timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from _frames(self._ended(timerValues.getCurrentWatermarkInMs()))
 
     def close(self) -> None:
         pass
@@ -441,11 +513,14 @@ def restore_stream(rows: DataFrame, kind: str = "chunks", late: str = "1 minute"
     A request ends ``idle`` of event time after its latest row; until then rows wait for the missing ones, and its number of
     repeated rows doesn't matter. No row is lost: what can't be put in its place comes out as beyond or late. Rows without
     request_id, seq or ts are left out. Equals ``restore_batch`` for rows that aren't late.
+
+    State is by bucket of requests (BUCKETS): a bucket's heads are read and written together, by the micro-batches that concern one of them.
     """
     use_rocksdb(rows.sparkSession)
     known = _bodies(rows, kind, "ts").where("request_id is not null and seq is not null and ts is not null")
-    groups = timed(known, late, "request_id", "seq", "body", "is_last", "mapping").groupBy("request_id")
-    return groups.transformWithState(OrderProcessor(kind, pd.Timedelta(idle).total_seconds()), RESTORED, "append", "eventTime")
+    rows = timed(known, late, "request_id", "seq", "body", "is_last", "mapping")
+    groups = rows.withColumn("bucket", F.pmod(F.xxhash64("request_id"), F.lit(BUCKETS))).groupBy("bucket")
+    return groups.transformWithStateInPandas(OrderProcessor(kind, pd.Timedelta(idle).total_seconds()), RESTORED, "append", "eventTime")
 
 
 def restore_batch(rows: DataFrame, kind: str = "chunks") -> DataFrame:
